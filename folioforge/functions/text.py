@@ -57,13 +57,21 @@ def word_count(value: Column | str) -> Column:
     """Words separated by whitespace; blank text has none."""
     return let(
         trim_ws(value),
-        lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+"))),
+        lambda t: F.when(t == "", F.lit(0)).otherwise(inner_word_count(t)),
     )
 
 
+def inner_word_count(value: Column) -> Column:
+    """Words of text that is already trimmed and not empty (gaps between words plus one).
+
+    For use inside lambdas: the pattern is compiled once per task, not once per call.
+    """
+    return F.regexp_count(value, F.lit(f"{WS}+")) + 1
+
+
 def word_count_raw(value: Column | str) -> Column:
     """Pieces of a plain whitespace split: empty text counts as one piece."""
-    return F.size(F.split(as_col(value), f"{WS}+"))
+    return F.regexp_count(as_col(value), F.lit(f"{WS}+")) + 1
 
 
 def count_matches(value: Column | str, char_class: str) -> Column:
@@ -134,6 +142,10 @@ def trimmed_lines(value: Column | str) -> Column:
     return F.filter(F.transform(F.split(as_col(value), "\n"), trim_ws), lambda line: line != "")
 
 
+def one_line(value: Column) -> Column:
+    return F.instr(value, "\n") == 0
+
+
 def sentences(value: Column) -> Column:
     return F.filter(F.split(value, SENTENCE_GAP), lambda s: s != "")
 
@@ -203,3 +215,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys)
+
+
+def explode_indexed(
+    df: DataFrame, array_col: str, keep: Sequence[str], index: str, item: str, count: str
+) -> DataFrame:
+    """One row per element of a computed array, with its position and the array size.
+
+    The outer form is used and its null row removed afterwards: for a plain explode the
+    optimizer infers a ``size(array) > 0`` filter and pushes it below the projection,
+    which would compute the array a second time.
+    """
+    sized = df.select(*keep, F.size(array_col).alias(count), array_col)
+    rows = sized.select(*keep, count, F.posexplode_outer(array_col).alias(index, item))
+    return rows.filter(F.col(index).isNotNull())

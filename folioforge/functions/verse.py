@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIACRITICS, NOT_EOL, as_col, let, trimmed_lines
+from .text import DIACRITICS, NOT_EOL, as_col, let, one_line, trimmed_lines
 
 
 def _mean_length(lines: Column) -> Column:
@@ -33,7 +33,8 @@ def is_verse_block(value: Column | str) -> Column:
         )
         return F.when(n < 2, F.lit(False)).otherwise(quoted | stanza)
 
-    return let(trimmed_lines(value), test)
+    c = as_col(value)
+    return F.when(one_line(c), F.lit(False)).otherwise(let(trimmed_lines(c), test))
 
 
 def is_verse_like(value: Column | str) -> Column:

@@ -171,25 +171,25 @@ def bounded_any(literals: Sequence[str], ignore_case: bool = True) -> str:
     one path instead of trying every word.
     """
     words = {s.lower() if ignore_case else s for s in literals}
-    tree: dict = {}
+    inside, outside = {}, {}  # words that start with a word character, and the others
     for word in words:
-        node = tree
+        node = inside if _is_word(word[0]) else outside
         for ch in word:
             node = node.setdefault(ch, {})
-        node[""] = {}
-    edges = {_is_word(w[0]) and _is_word(w[-1]) for w in words}
-    if edges != {True}:
-        raise ValueError("whole-word search needs words that start and end in [A-Za-z0-9_]")
-    flag = "(?i)" if ignore_case else ""
-    return f"{flag}(?<!{WORD_CHAR}){_prefix_regex(tree)}(?!{WORD_CHAR})"
+        node[""] = f"(?!{WORD_CHAR})" if _is_word(word[-1]) else ""
+    sides = []
+    if inside:
+        sides.append(f"(?<!{WORD_CHAR}){_prefix_regex(inside)}")
+    if outside:
+        sides.append(_prefix_regex(outside))
+    return ("(?i)" if ignore_case else "") + "|".join(sides)
 
 
 def _prefix_regex(node: dict) -> str:
     branches = [_escape(ch) + _prefix_regex(nxt) for ch, nxt in sorted(node.items()) if ch]
-    if not branches:
-        return ""
-    body = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
-    return f"(?:{body})?" if "" in node else body
+    if "" in node:  # a word ends here: tried last, so that longer words win
+        branches.append(node[""])
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def _escape(literal: str) -> str:

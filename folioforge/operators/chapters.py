@@ -204,14 +204,20 @@ def chapters_of(
                 )
                 for name in strategies
             ]
-            picked = F.struct(F.lit(None).cast("string").alias("strategy"), _none().alias("chapters"))
-            for attempt in reversed(tried):
-                following = picked
-                picked = let(
-                    attempt,
-                    lambda a, rest=following: F.when(F.size(a["chapters"]) > 0, a).otherwise(rest),
-                )
-            return picked
+            nothing = F.struct(
+                F.lit(None).cast("string").alias("strategy"), _none().alias("chapters")
+            )
+
+            def first_found(attempts: list[Column]) -> Column:
+                if not attempts:
+                    return nothing
+
+                def keep(a: Column) -> Column:
+                    return F.when(F.size(a["chapters"]) > 0, a).otherwise(first_found(attempts[1:]))
+
+                return let(attempts[0], keep)
+
+            return first_found(tried)
 
         return let(F.split(t, "\n"), on_lines)
 

@@ -8,6 +8,8 @@ One SQL text serves Spark and the oracle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STANDINS = {
     "translations": """
@@ -118,7 +120,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = STANDINS[name]
     used = {t: load(spark, sf_dir, t) for t in SOURCES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    view = spark.sql(sql, **used)
+    zoned = [
+        F.col(f.name).cast("timestamp").alias(f.name)
+        if isinstance(f.dataType, T.TimestampNTZType)
+        else F.col(f.name)
+        for f in view.schema.fields
+    ]
+    return view.select(*zoned)
 
 
 def standin_sql(*names: str) -> str:

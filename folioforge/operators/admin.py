@@ -48,7 +48,9 @@ def status_counts(jobs: DataFrame, vocabulary: list[str] | None = None) -> DataF
     """Count per status; statuses without jobs are kept with zero."""
     names = vocabulary or TRANSLIT_STATUSES
     counts = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    known = jobs.sparkSession.createDataFrame([(s,) for s in names], "status string")
+    known = jobs.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(s) for s in names])).alias("status")
+    )
     return known.join(counts, "status", "left").select(
         "status", F.coalesce("n", F.lit(0)).alias("n")
     )

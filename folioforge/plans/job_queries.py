@@ -41,7 +41,7 @@ def _page_sql(where: str) -> str:
     with {TR},
     p as (select {_PAGE_COLS}, created_at, row_number() over (order by created_at desc, translation_id desc) as rn
           from translations {where})
-    select {_PAGE_COLS}, {ts_text('created_at')} as created_at,
+    select {_PAGE_COLS}, {ts_text('p.created_at')} as created_at,
       case when (select count(*) from p) > 20 then (select translation_id from p where rn = 20) end as next_cursor
     from p where rn <= 20
     """
@@ -57,7 +57,8 @@ def _page(spark, sf_dir):
 @query(
     "history_page_after_cursor",
     _page_sql(
-        "where (created_at, translation_id) < (select created_at, translation_id from translations where translation_id = 100)"
+        "where created_at < (select o_orderdate from orders where o_orderkey = 100) or "
+        "(created_at = (select o_orderdate from orders where o_orderkey = 100) and translation_id < 100)"
     ),
 )
 def _page_after(spark, sf_dir):

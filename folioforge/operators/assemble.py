@@ -125,7 +125,7 @@ def assemble(
                 F.collect_list(F.struct(F.col(order_col).alias("o"), raw.alias("t")))
             ).alias("rows")
         )
-        .select(*ids, "block", F.size("rows").alias("n_rows"), F.col("rows")["t"].alias("rows"))
+        .select(*ids, "block", F.col("rows")["t"].alias("rows"))
     )
     kept = F.col("rows")
     if trim:
@@ -138,9 +138,14 @@ def assemble(
         parts = F.transform(kept, lambda t: F.struct(t.alias("text")))
     blocks = blocks.withColumn("parts", parts)
 
-    # Documents with one block only have entry 0 and part 0; the others need the fold.
-    several = blocks.filter(F.col("block") != 0).select(*ids).distinct()
-    summary = blocks.select(
+    # Documents with one block only have entry 0 and part 0; only the others need the fold.
+    # All branches read the same columns of the same grouping, so its shuffle is reused;
+    # the slim key table decides which blocks are summarised at all.  (Inner joins on unique
+    # keys: a semi join would be pushed below the grouping and break the reuse.)
+    present = blocks.filter(F.size("rows") > 0).select(*ids, "block")
+    several = present.filter(F.col("block") != 0).select(*ids).distinct()
+    needed = present.join(several, ids)
+    summary = blocks.join(needed, [*ids, "block"]).select(
         *ids,
         "block",
         F.size("parts").alias("n"),
@@ -148,12 +153,11 @@ def assemble(
             "parts", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["text"])
         ).alias("chars"),
         *_block_edges(max_overlap),
-    ).join(several, ids, "left_semi")
+    )
     entries = _fold_blocks(summary, ids, max_overlap, part_chars)
     placed = blocks.join(entries, [*ids, "block"], "left").select(
         *ids,
         "block",
-        "n_rows",
         "rows",
         "parts",
         F.col("entry").isNull().alias("alone"),
@@ -172,7 +176,7 @@ def assemble(
         "block",
         F.size("parts").alias("pieces"),
         F.when(F.size("parts") > 0, F.array_join(texts, separator)).alias("text"),
-        F.when(F.col("alone") & (F.col("n_rows") == 1), F.element_at("rows", 1)).alias("single"),
+        F.when(F.col("alone") & (F.size("rows") == 1), F.element_at("rows", 1)).alias("single"),
     )
     out = placed.groupBy(*ids, "part").agg(
         F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"),

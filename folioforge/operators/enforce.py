@@ -7,6 +7,7 @@ wording rules -> space clean-up -> dates -> double quotes -> single quotes -> da
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,22 +82,26 @@ def _any_rule(rules: Sequence[Rule]) -> str:
     return "|".join(parts)
 
 
+_RULE = "array<struct<pattern:string,p1:string,r1:string,p2:string,r2:string,label:string>>"
+
+
 def _rule_literals(rules: Sequence[Rule]) -> Column:
+    """The rules as one constant array (one literal in the plan, folded at planning)."""
     rows = []
     for rule in rules:
         steps = rule.steps()
-        second = steps[1] if len(steps) > 1 else (None, None)
+        (p2, r2) = steps[1] if len(steps) > 1 else (None, None)
         rows.append(
-            F.struct(
-                F.lit(rule.pattern).alias("pattern"),
-                F.lit(steps[0][0]).alias("p1"),
-                F.lit(steps[0][1]).alias("r1"),
-                F.lit(second[0]).cast("string").alias("p2"),
-                F.lit(second[1]).cast("string").alias("r2"),
-                F.lit(rule.label).alias("label"),
-            )
+            {
+                "pattern": rule.pattern,
+                "p1": steps[0][0],
+                "r1": steps[0][1],
+                "p2": p2,
+                "r2": r2,
+                "label": rule.label,
+            }
         )
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _RULE)
 
 
 def _rewrite(text: Column, rule: Column) -> Column:
@@ -256,16 +261,25 @@ def _audit_marks(text: Column, mapping: Sequence[tuple[str, str]]) -> Column:
                 ),
             ),
         ]
-        for source, target in mapping:
-            n = count_literal(c, source)
-            rows.append(
-                F.when(
-                    n > 0, _correction(F.lit(source), F.lit(target), F.lit(DIACRITIC_LABEL), n)
-                )
-            )
+        pairs = F.from_json(
+            F.lit(json.dumps([{"f": a, "t": b} for a, b in mapping], ensure_ascii=False)),
+            "array<struct<f:string,t:string>>",
+        )
+        letters = F.transform(
+            pairs,
+            lambda m: _correction(
+                m["f"],
+                m["t"],
+                F.lit(DIACRITIC_LABEL),
+                F.length(c) - F.length(F.replace(c, m["f"], F.lit(""))),
+            ),
+        )
         return F.struct(
             strip_diacritics(c, mapping).alias("text"),
-            F.filter(F.array(*rows), lambda r: r.isNotNull()).alias("corrections"),
+            F.concat(
+                F.filter(F.array(*rows), lambda r: r.isNotNull()),
+                F.filter(letters, lambda r: r["count"] > 0),
+            ).alias("corrections"),
         )
 
     return let(text, quotes)

@@ -6,6 +6,8 @@ carries an ``error_code`` with the message, the stage and the first 200 characte
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,7 @@ def annotate_responses(
     stage_col: str = "stage",
     raw_col: str = "raw",
     lenient: bool | str = False,
+    stages: Sequence[str] = tuple(STAGE_TAGS),
 ) -> DataFrame:
     """Add ``text``, ``flags``, ``error_code``, ``error`` and ``preview`` to responses.
 
@@ -129,7 +132,7 @@ def annotate_responses(
     """
     mode = {False: "strict", True: "first"}.get(lenient, "closed")
     parsed = F.lit(None).cast(_RESULT)
-    for stage in STAGE_TAGS:
+    for stage in stages:
         parsed = F.when(
             F.col(stage_col) == stage, parse_response(raw_col, stage, mode)
         ).otherwise(parsed)

@@ -106,7 +106,7 @@ def _stage(
     requests = build_requests(chunks, stage, text_col=text_col)
     answered = apply_model(requests, model, keys=keys, materialise=materialise)
     held = answered.select(*[F.col(c).alias(f"__{c}") for c in keep], "stage", "raw")
-    parsed = annotate_responses(held, lenient=lenient)
+    parsed = annotate_responses(held, lenient=lenient, stages=[stage])
     return parsed.select(
         *[F.col(f"__{c}").alias(c) for c in keep],
         F.col("text").alias("out"),
@@ -286,6 +286,8 @@ def transliterate_flow(
                 F.col("text")
             ),
         )
+        if materialise:  # finished pages are an output of their own and feed the job text
+            pages = cut_lineage(pages)
         joined = assemble(
             pages.withColumn("__at", F.col(page_col).cast("long") * 1_000_000 + F.col("part")),
             id_col=id_col,

@@ -271,7 +271,7 @@ def _flow_sql(reject_quotes: bool) -> str:
     """,
 )
 def _translate(spark, sf_dir):
-    flow = translate_flow(documents(spark, sf_dir), echo_model, materialise=False)
+    flow = translate_flow(documents(spark, sf_dir), echo_model)
     return flow.documents.select(
         "doc_id",
         F.md5("output").alias("output_hash"),
@@ -291,7 +291,7 @@ def _translate(spark, sf_dir):
     """,
 )
 def _translate_chunks(spark, sf_dir):
-    flow = translate_flow(documents(spark, sf_dir), echo_model, materialise=False)
+    flow = translate_flow(documents(spark, sf_dir), echo_model)
     return flow.chunks.select(
         "doc_id", "chunk_index", F.md5("translation").alias("translation_hash"), "fallback"
     )
@@ -307,7 +307,7 @@ def _translate_chunks(spark, sf_dir):
     """,
 )
 def _translate_rejects(spark, sf_dir):
-    flow = translate_flow(documents(spark, sf_dir), echo_model, materialise=False)
+    flow = translate_flow(documents(spark, sf_dir), echo_model)
     return flow.rejects
 
 
@@ -319,7 +319,7 @@ def _translate_rejects(spark, sf_dir):
     """,
 )
 def _secondary(spark, sf_dir):
-    flow = secondary_flow(documents(spark, sf_dir), echo_model, materialise=False)
+    flow = secondary_flow(documents(spark, sf_dir), echo_model)
     return flow.documents.select("doc_id", F.md5("output").alias("output_hash"))
 
 
@@ -331,7 +331,7 @@ def _secondary(spark, sf_dir):
     """,
 )
 def _transliterate(spark, sf_dir):
-    flow = transliterate_flow(documents(spark, sf_dir), echo_model, materialise=False)
+    flow = transliterate_flow(documents(spark, sf_dir), echo_model)
     return flow.documents.select("doc_id", F.md5("output").alias("output_hash"), "chunk_count")
 
 
@@ -344,9 +344,7 @@ def _transliterate(spark, sf_dir):
 )
 def _by_page(spark, sf_dir):
     pages = standin(spark, sf_dir, "job_pages").withColumnRenamed("source_text", "text")
-    flow = transliterate_flow(
-        pages, echo_model, by="page", id_col="job_id", materialise=False
-    )
+    flow = transliterate_flow(pages, echo_model, by="page", id_col="job_id")
     return flow.documents.select("job_id", F.md5("output").alias("output_hash"), "chunk_count")
 
 

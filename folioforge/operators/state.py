@@ -238,8 +238,14 @@ def rate_limit(
     time alone.  So requests are pre-aggregated to one row per (key, cell), these rows
     are folded in order (a key has at most one per interval, however many requests it
     sends), and each request is then judged against its cell.
+
+    This needs a bucket of two or more: with ``capacity=1`` the request that passes
+    decides the next full time, so that case replays each key's sorted requests as a
+    stream (constant memory, one task per key).
     """
     width = refill_seconds * 1_000_000
+    if capacity == 1:
+        return _replay_single(requests, key_col, ts_col, id_col, width)
     keyed = requests.withColumn("__s", F.unix_micros(F.col(ts_col).cast("timestamp")))
     keyed = keyed.withColumn("__cell", F.floor(F.col("__s") / F.lit(width)).cast("long"))
     slim = keyed.select(F.col(key_col).alias("k"), "__cell", "__s", F.col(id_col).alias("i"))
@@ -299,6 +305,38 @@ def rate_limit(
     )
 
 
+def _replay_single(
+    requests: DataFrame, key_col: str, ts_col: str, id_col: str, width: int
+) -> DataFrame:
+    slim = requests.select(
+        F.col(key_col).alias("k"),
+        F.unix_micros(F.col(ts_col).cast("timestamp")).alias("s"),
+        F.col(id_col).alias("i"),
+    )
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free_at = None, 0
+        for pdf in batches:
+            out = []
+            for k, s, i in zip(pdf["k"], pdf["s"], pdf["i"], strict=True):
+                if k != key:
+                    key, free_at = k, s
+                passes = s >= free_at
+                out.append((k, i, passes, 0 if passes else -(-(free_at - s) // 1_000_000)))
+                if passes:
+                    free_at = s + width
+            yield pd.DataFrame(out, columns=["k", "i", "allowed", "retry_after_seconds"])
+
+    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = f"k {types['k']}, i {types['i']}, allowed boolean, retry_after_seconds int"
+    ordered = slim.repartition("k").sortWithinPartitions("k", "s", "i")
+    verdicts = ordered.mapInPandas(replay, schema)
+    joined = requests.withColumn("k", F.col(key_col)).withColumn("i", F.col(id_col))
+    return joined.join(verdicts, ["k", "i"]).select(
+        *requests.columns, "allowed", F.lit(0).alias("remaining"), "retry_after_seconds"
+    )
+
+
 def _fold_cells(cells: DataFrame, width: int, capacity: int) -> DataFrame:
     """Per cell: ``x`` at its first request and ``m``, the requests that pass at once."""
 

@@ -451,7 +451,28 @@ def _drift(spark, sf_dir):
     return out.withColumn("bounded", F.coalesce(F.col("drift") < 0.05, F.lit(False)))
 
 
-@query("preserve_macrons")
+@query(
+    "preserve_macrons",
+    """
+    with recursive d as (select doc_id, text as after, translate(text, 'aA', 'āĀ') as before from documents),
+    l as (select doc_id, list_filter(string_split(before, chr(10)), lambda x: regexp_matches(x, '[Āā]')) as ls,
+            length(regexp_replace(before, '[^Āā]', '', 'g')) as nb, length(regexp_replace(after, '[^Āā]', '', 'g')) as na
+          from d),
+    v as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i from l where nb > 0 and na < nb),
+    m as (
+      select doc_id, cast(0 as bigint) as i, after as t, cast(0 as bigint) as restored from d
+      union all
+      select m.doc_id, v.i,
+        case when not contains(m.t, v.line) and contains(m.t, translate(v.line, 'āĀ', 'aA'))
+          then left(m.t, strpos(m.t, translate(v.line, 'āĀ', 'aA')) - 1) || v.line
+            || substr(m.t, strpos(m.t, translate(v.line, 'āĀ', 'aA')) + length(v.line)) else m.t end,
+        case when not contains(m.t, v.line) and contains(m.t, translate(v.line, 'āĀ', 'aA'))
+          then m.restored + length(regexp_replace(v.line, '[^Āā]', '', 'g')) else m.restored end
+      from m join v on v.doc_id = m.doc_id and v.i = m.i + 1)
+    select doc_id, md5(arg_max(t, i)) as text_hash, cast(arg_max(restored, i) as bigint) as restored
+    from m group by doc_id
+    """,
+)
 def _macrons(spark, sf_dir):
     """Lines whose ``a`` had a macron before and lost it after."""
     pairs = documents(spark, sf_dir).select(
@@ -716,6 +737,32 @@ def _slices(spark, sf_dir):
     )
 
 
+@query(
+    "chapters_by_words",
+    f"""
+    with recursive t as (select page_id, string_split({PAGE_TEXT_SQL}, chr(10)) as ls from pages),
+    w as (select page_id, len(ls) as n, cast(least(50, floor(len(ls) * 0.05)) as bigint) as skip,
+            list_transform(ls, lambda l: {words('l')}) as ws from t),
+    f as (
+      select page_id, n, ws, skip as i, cast(0 as bigint) as total, [skip] as starts from w where list_sum(ws) >= 200
+      union all
+      select page_id, n, ws, case when cut > 0 then cut else i + 1 end, case when cut > 0 then 0 else total end,
+        case when cut > 0 then list_append(starts, cut) else starts end
+      from (select *, case when total >= 200 and gap > 0 and i + gap < n then i + gap else 0 end as cut
+            from (select page_id, n, ws, i, starts, cast(total + ws[i + 1] as bigint) as total,
+                    coalesce(list_position(ws[i + 1 : i + 20], 0), 0) as gap from f where i < n))),
+    e as (select page_id, starts from f where i >= n and len(starts) > 1),
+    u as (select page_id, unnest(starts) as start_line, unnest(range(len(starts))) as chapter_index from e)
+    select page_id, 'words' as strategy, chapter_index, 'Section ' || (chapter_index + 1) as title,
+      cast(start_line as bigint) as start_line from u
+    """,
+)
+def _by_words(spark, sf_dir):
+    return detect_chapters(
+        page_texts(spark, sf_dir), id_col="page_id", strategies=("words",), target_words=200
+    )
+
+
 @query("chapters_detected")
 def _detected(spark, sf_dir):
     """All strategies over page texts, with short word-count sections."""

@@ -25,15 +25,17 @@ def read_json_table(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame
     Fields that are not declared are ignored (older rows carry extras); a line that does
     not fit the schema goes to the rejects with its text.
     """
-    rows = (
-        spark.read.schema(f"{ddl}, {CORRUPT} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSS]X")
-        .json(path)
+    options = {
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]X",
+    }
+    parsed = spark.read.text(path).select(
+        "value", F.from_json("value", f"{ddl}, {CORRUPT} string", options).alias("row")
     )
-    valid = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    fits = F.col("row").isNotNull() & F.col(f"row.{CORRUPT}").isNull()
+    valid = parsed.filter(fits).select("row.*").drop(CORRUPT)
+    rejects = parsed.filter(~fits).select(F.col("value").alias("line"))
     return valid, rejects
 
 

@@ -159,30 +159,43 @@ def bounded(literal: str, ignore_case: bool = True) -> str:
     """
     body = _escape(literal)
     body = f"(?i:{body})" if ignore_case else body
-    left = f"(?<!{WORD_CHAR}{body})" if _is_word(literal[0]) else f"(?<={WORD_CHAR}{body})"
-    right = f"(?!{WORD_CHAR})" if _is_word(literal[-1]) else f"(?={WORD_CHAR})"
+    left = f"(?<!{WORD_CHAR}{body})" if is_word_char(literal[0]) else f"(?<={WORD_CHAR}{body})"
+    right = f"(?!{WORD_CHAR})" if is_word_char(literal[-1]) else f"(?={WORD_CHAR})"
     return f"{body}{right}{left}"
 
 
-def bounded_any(literals: Sequence[str], ignore_case: bool = True) -> str:
-    """One pattern that finds any of many whole words, the longest first.
+def _any_pattern(literals: Sequence[str], ignore_case: bool) -> str:
+    """One pattern that finds any of many whole words, the longest first, as group 1 or 2.
 
-    The words are merged by common prefix, so at each word start the engine follows
-    one path instead of trying every word.
+    The words are merged by common prefix, so at each word start the engine follows one
+    path instead of trying every word.  The character before a word is matched, not
+    looked back at: most positions fail on that first, cheap test.  (The text gets a
+    leading blank for that; the character after a word is only looked at, so a match
+    never uses up the start of the next one.)
     """
     words = {s.lower() if ignore_case else s for s in literals}
     inside, outside = {}, {}  # words that start with a word character, and the others
     for word in words:
-        node = inside if _is_word(word[0]) else outside
+        node = inside if is_word_char(word[0]) else outside
         for ch in word:
             node = node.setdefault(ch, {})
-        node[""] = f"(?!{WORD_CHAR})" if _is_word(word[-1]) else ""
-    sides = []
-    if inside:
-        sides.append(f"(?<!{WORD_CHAR}){_prefix_regex(inside)}")
-    if outside:
-        sides.append(_prefix_regex(outside))
-    return ("(?i)" if ignore_case else "") + "|".join(sides)
+        node[""] = f"(?!{WORD_CHAR})" if is_word_char(word[-1]) else ""
+    inner = f"[^A-Za-z0-9_]({_prefix_regex(inside)})" if inside else None
+    outer = f"({_prefix_regex(outside)})" if outside else None
+    return ("(?i)" if ignore_case else "") + "|".join(p for p in (inner, outer) if p)
+
+
+def contains_any(value: Column, literals: Sequence[str], ignore_case: bool = True) -> Column:
+    return F.rlike(F.concat(F.lit(" "), value), F.lit(_any_pattern(literals, ignore_case)))
+
+
+def extract_any(value: Column, literals: Sequence[str], ignore_case: bool = True) -> Column:
+    """All occurrences of the words, as written in the text."""
+    kinds = {is_word_char(s[0]) for s in literals}
+    if len(kinds) > 1:
+        raise ValueError("words with and without a leading word character need two passes")
+    pattern = _any_pattern(literals, ignore_case)
+    return F.regexp_extract_all(F.concat(F.lit(" "), value), F.lit(pattern), 1)
 
 
 def _prefix_regex(node: dict) -> str:
@@ -196,7 +209,7 @@ def _escape(literal: str) -> str:
     return re.escape(literal).replace("\\ ", " ").replace("\\-", "-")
 
 
-def _is_word(ch: str) -> bool:
+def is_word_char(ch: str) -> bool:
     return re.match(r"[A-Za-z0-9_]", ch) is not None
 
 

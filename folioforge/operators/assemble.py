@@ -10,9 +10,10 @@ one group:
    of the three possible entries, plus its first and last two sentences.  The few
    documents with more than one block pass these summaries (not the text) through a
    streaming fold in document order, which yields the entry of every block.
-3. Finished blocks are joined to one text per document; a document longer than
-   ``part_chars`` comes out as several consecutive ``part`` rows whose texts, joined
-   with the separator, are the whole.
+3. A document of one block is finished there: its texts are shuffled once.  The blocks
+   of longer documents are joined per ``part``: a document longer than ``part_chars``
+   comes out as several consecutive ``part`` rows whose texts, joined with the
+   separator, are the whole.
 """
 
 from __future__ import annotations
@@ -155,40 +156,48 @@ def assemble(
         *_block_edges(max_overlap),
     )
     entries = _fold_blocks(summary, ids, max_overlap, part_chars)
-    placed = blocks.join(entries, [*ids, "block"], "left").select(
-        *ids,
-        "block",
-        "rows",
-        "parts",
-        F.col("entry").isNull().alias("alone"),
-        F.coalesce("entry", F.lit(0)).alias("entry"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+
+    def joined_text(entry: Column) -> Column:
+        """Text of one block; null when the block has no piece."""
+        if max_overlap:
+            texts = F.zip_with("parts", _losses(F.col("parts"), entry, max_overlap), _cut)
+        else:
+            texts = F.col("parts")["text"]
+        return F.when(F.size("parts") > 0, F.array_join(texts, separator))
+
+    # One block: the document is finished where its block is, without another shuffle.
+    # (A left join and a null test: an anti join would be pushed below the grouping.)
+    alone = blocks.join(entries, [*ids, "block"], "left").filter(F.col("entry").isNull())
+    text = F.coalesce(joined_text(F.lit(0)), F.lit(""))
+    if trim:
+        text = F.when(F.size("rows") == 1, F.element_at("rows", 1)).otherwise(text)
+    short = alone.select(
+        *ids, F.lit(0).alias("part"), text.alias("text"), F.size("parts").alias("pieces")
     )
-    if max_overlap:
-        texts = F.zip_with(
-            "parts", _losses(F.col("parts"), F.col("entry"), max_overlap), _cut
+    # Several blocks: finished blocks are joined per part.
+    long = (
+        blocks.join(entries, [*ids, "block"])
+        .select(
+            *ids,
+            "part",
+            "block",
+            F.size("parts").alias("pieces"),
+            joined_text(F.col("entry")).alias("text"),
+            F.when(F.size("rows") == 1, F.element_at("rows", 1)).alias("single"),
+        )
+        .groupBy(*ids, "part")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"),
+            F.sum("pieces").cast("int").alias("pieces"),
+            F.max("single").alias("single"),
         )
-    else:
-        texts = F.col("parts")["text"]
-    placed = placed.select(
-        *ids,
-        "part",
-        "block",
-        F.size("parts").alias("pieces"),
-        F.when(F.size("parts") > 0, F.array_join(texts, separator)).alias("text"),
-        F.when(F.col("alone") & (F.size("rows") == 1), F.element_at("rows", 1)).alias("single"),
-    )
-    out = placed.groupBy(*ids, "part").agg(
-        F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"),
-        F.sum("pieces").cast("int").alias("pieces"),
-        F.max("single").alias("single"),
-    )
-    joined = F.array_join(
-        F.filter(F.col("blocks")["text"], lambda t: t.isNotNull()), separator
     )
-    if trim:
-        joined = F.coalesce("single", joined)
-    return out.select(*ids, "part", joined.alias("text"), "pieces")
+    whole = F.array_join(F.filter(F.col("blocks")["text"], lambda t: t.isNotNull()), separator)
+    if trim:  # a document of one row whose order number lies beyond the first block
+        only = (F.col("part") == 0) & (F.size("blocks") == 1) & F.col("single").isNotNull()
+        whole = F.when(only, F.col("single")).otherwise(whole)
+    long = long.select(*ids, "part", whole.alias("text"), "pieces")
+    return short.unionByName(long)
 
 
 def _block_edges(max_overlap: int) -> list[Column]:

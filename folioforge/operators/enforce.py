@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, bounded_any, count_literal, let, macron_count
+from ..functions.text import as_col, contains_any, count_literal, let, macron_count
 from .rules import DIACRITIC_LABEL, EXTENDED_DIACRITIC_MAP, Rule, RuleBook
 
 CORRECTIONS = "array<struct<from:string,to:string,rule:string,count:int>>"
@@ -73,13 +74,13 @@ def strip_verse_tags(text: Column | str) -> Column:
 # --- rule chains -------------------------------------------------------------------
 
 
-def _any_rule(rules: Sequence[Rule]) -> str:
-    """A pattern that matches wherever at least one rule would (it may match more)."""
+def _any_rule(text: Column, rules: Sequence[Rule]) -> Column:
+    """True wherever at least one rule would fire (it may be true elsewhere, too)."""
+    tests = [F.rlike(text, F.lit(r.hint or r.pattern)) for r in rules if r.regex]
     phrases = [r.phrase for r in rules if not r.regex]
-    parts = [f"(?:{r.hint or r.pattern})" for r in rules if r.regex]
     if phrases:
-        parts.insert(0, f"(?:{bounded_any(phrases)})")
-    return "|".join(parts)
+        tests.insert(0, contains_any(text, phrases))
+    return reduce(lambda a, b: a | b, tests)
 
 
 _RULE = "array<struct<pattern:string,p1:string,r1:string,p2:string,r2:string,label:string>>"
@@ -123,7 +124,7 @@ def _fold_rules(text: Column, rules: Sequence[Rule], start, step) -> Column:
     return let(
         text,
         lambda t: F.when(
-            F.rlike(t, F.lit(_any_rule(rules))),
+            _any_rule(t, rules),
             F.aggregate(_rule_literals(rules), start(t), step),
         ).otherwise(start(t)),
     )

@@ -8,13 +8,14 @@ count a pattern of its own would give.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, bounded_any, explode_indexed, let
+from ..functions.text import as_col, explode_indexed, extract_any, is_word_char, let
 from .rules import FORBIDDEN_VOCABULARY, PROTECTED_TERMS
 
 MAX_TERMS = 20_000
@@ -23,18 +24,15 @@ MAX_TERMS = 20_000
 def _may_overlap(a: str, b: str) -> bool:
     """Can whole-word occurrences of the two different phrases share a character?"""
 
-    def word(ch: str) -> bool:
-        return re.match(r"\w", ch, re.ASCII) is not None
-
     def starts_within(x: str, y: str) -> bool:
         for at in range(len(x)):
-            if at and word(x[at - 1]):
+            if at and is_word_char(x[at - 1]):
                 continue
             shared = min(len(x) - at, len(y))
             if x[at : at + shared] != y[:shared]:
                 continue
             rest = x[at + shared : at + shared + 1] or y[shared : shared + 1]
-            if not (rest and word(rest)):
+            if not (rest and is_word_char(rest)):
                 return True
         return False
 
@@ -51,7 +49,8 @@ def term_layers(terms: Sequence[str], ignore_case: bool = True) -> list[list[str
     first_layer_open = len(layers)
     for term in sorted(seen - set(singles), key=lambda t: (-len(t), t)):
         for layer in layers[first_layer_open:]:
-            if not any(_may_overlap(term, other) for other in layer):
+            same_kind = is_word_char(term[0]) == is_word_char(layer[0][0])
+            if same_kind and not any(_may_overlap(term, other) for other in layer):
                 layer.append(term)
                 break
         else:
@@ -63,7 +62,7 @@ def term_counts(text: Column | str, terms: Sequence[str], ignore_case: bool = Tr
     """``array<struct<term, count>>`` of the terms that occur, whole words only."""
     c = as_col(text)
     found = [
-        F.regexp_extract_all(c, F.lit(bounded_any(layer, ignore_case)), 0)
+        extract_any(c, layer, ignore_case)
         for layer in term_layers(terms, ignore_case)
     ]
     hits = F.concat(*found) if len(found) > 1 else found[0]
@@ -159,29 +158,34 @@ def glossary_table(spark: SparkSession, text: str) -> DataFrame:
     )
 
 
-def _small_list(df: DataFrame, column: Column, what: str) -> list[str]:
-    rows = df.select(column.alias("v")).distinct().limit(MAX_TERMS + 1).collect()
+def _small_map(df: DataFrame, key: Column, value: Column, what: str) -> dict[str, str]:
+    """A reference table as a mapping (lower-case key -> smallest value), size checked."""
+    pairs = df.select(F.lower(key).alias("k"), value.alias("v")).filter("k is not null and k <> ''")
+    rows = pairs.groupBy("k").agg(F.min("v").alias("v")).limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"{what}: more than {MAX_TERMS} terms")
-    return [r.v for r in rows if r.v]
+    return {r.k: r.v for r in rows}
+
+
+def _looked_up(term: Column, mapping: dict[str, str]) -> Column:
+    table = F.from_json(F.lit(json.dumps(mapping, ensure_ascii=False)), "map<string,string>")
+    return F.try_element_at(table, term)
 
 
 def glossary_hits(df: DataFrame, glossary: DataFrame, **options) -> DataFrame:
     """(ids, term, count, category): glossary terms per document.
 
-    The glossary is a reference table; its size is checked before its terms become part
-    of the scan pattern.
+    The glossary is a reference table; its size is checked before it becomes part of the
+    plan.  The scan stays narrow: terms are looked up in a constant map, not joined.
     """
-    terms = _small_list(glossary, F.col("term"), "glossary")
-    hits = term_hits(df, terms, **options)
-    lookup = glossary.groupBy(F.lower("term").alias("term")).agg(F.min("category").alias("category"))
-    return hits.join(lookup, "term", "left")
+    categories = _small_map(glossary, F.col("term"), F.col("category"), "glossary")
+    hits = term_hits(df, list(categories), **options)
+    return hits.withColumn("category", _looked_up(F.col("term"), categories))
 
 
 def never_use_violations(df: DataFrame, glossary: DataFrame, **options) -> DataFrame:
     """(ids, banned, count, term): banned renderings per document, with the term to use."""
     pairs = glossary.select("term", F.explode("never_use").alias("banned"))
-    banned = _small_list(pairs, F.col("banned"), "banned renderings")
-    hits = term_hits(df, banned, **options).withColumnRenamed("term", "banned")
-    lookup = pairs.groupBy(F.lower("banned").alias("banned")).agg(F.min("term").alias("term"))
-    return hits.join(lookup, "banned", "left")
+    wanted = _small_map(pairs, F.col("banned"), F.col("term"), "banned renderings")
+    hits = term_hits(df, list(wanted), **options).withColumnRenamed("term", "banned")
+    return hits.withColumn("term", _looked_up(F.col("banned"), wanted))

@@ -121,7 +121,7 @@ def test_assembly_matches_plain_python(spark, block_rows, part_chars):
 
 
 def test_one_document_with_most_rows_is_split_and_whole(spark):
-    rows = [(0, i, f"S{i}. T{i}.") for i in range(5000)] + [(d, 0, " x ") for d in range(1, 50)]
+    rows = [(0, i, f"S{i}. T{i}.") for i in range(5000)] + [(d, 9 * d, " x ") for d in range(1, 50)]
     df = spark.createDataFrame(rows, "doc_id long, chunk_index int, text string")
     out = assemble_chunks(df, block_rows=64, part_chars=4000).collect()
     hot = sorted((r.part, r.text) for r in out if r.doc_id == 0)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import preview, trim_ws, word_count
 from ..operators.assemble import assemble, assemble_chunks
@@ -65,7 +66,7 @@ def batch_model(fn: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], D
     """A model from a function over batches of prompts (runs in Arrow batches)."""
 
     def model(requests: DataFrame) -> DataFrame:
-        schema = requests.schema.add("raw", "string")
+        schema = T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType())])
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

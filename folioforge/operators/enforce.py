@@ -8,9 +8,11 @@ wording rules -> space clean-up -> dates -> double quotes -> single quotes -> da
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +170,23 @@ def audit_rules(text: Column, rules: Sequence[Rule]) -> Column:
     return _fold_rules(text, rules, start, step)
 
 
+def custom_rewrite(
+    text: Column | str, pattern: str, replace: Callable[[re.Match], str]
+) -> Column:
+    """A rule whose replacement is a Python function of the match (Arrow batches).
+
+    The escape hatch for what a pattern and a replacement text cannot say; everything
+    else should be a :class:`Rule`, which stays in the JVM.
+    """
+    found = re.compile(pattern)
+
+    @F.pandas_udf("string")
+    def rewrite(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: t if t is None else found.sub(replace, t))
+
+    return rewrite(as_col(text))
+
+
 # --- whole enforcement -------------------------------------------------------------
 
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import flag_band
 from folioforge.operators import rules as R
 from folioforge.operators.audit import CATEGORY_ORDER, categorise, corrections_log, qa_summary
 from folioforge.operators.enforce import (
+    custom_rewrite,
     enforce,
     enforced_text,
     preserve_macrons,
@@ -131,6 +133,14 @@ def test_light_and_extended_profiles(spark):
     assert tuple(row.first()) == ("rishh"[0:2] + "Shh", "x")
 
 
+def test_function_rule_and_flag_bands(spark):
+    df = spark.createDataFrame([("a1b22", 0), (None, 2), ("x", 3)], "text string, n int")
+    out = df.select(
+        custom_rewrite("text", r"\d+", lambda m: str(int(m.group()) + 1)), flag_band("n")
+    )
+    assert [tuple(r) for r in out.collect()] == [("a2b23", "none"), (None, "some"), ("x", "many")]
+
+
 def test_rules_round_trip_through_a_table(spark):
     table = R.rules_table(spark, R.RuleBook.default())
     book = R.rules_from_table(table)

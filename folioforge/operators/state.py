@@ -270,13 +270,17 @@ def rate_limit(
     )
     me = F.struct(F.col("__s"), F.col("i"))
     after_early = (F.col("m") == 0) | (me > F.try_element_at("early", F.lit(-1)))
-    late = (
+    # every cell has a request, so this one pass also carries the bounds on
+    verdicts = (
         slim.join(bounds, ["k", "__cell"])
-        .filter((F.col("__s") >= F.col("tau")) & after_early)
         .groupBy("k", "__cell")
-        .agg(F.min(me).alias("late"))
+        .agg(
+            F.min(F.when((F.col("__s") >= F.col("tau")) & after_early, me)).alias("late"),
+            F.first("x").alias("x"),
+            F.first("m").alias("m"),
+            F.first("early").alias("early"),
+        )
     )
-    verdicts = bounds.join(late, ["k", "__cell"], "left")
     judged = (
         keyed.withColumn("k", F.col(key_col))
         .withColumn("i", F.col(id_col))

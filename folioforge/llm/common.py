@@ -72,8 +72,3 @@ def literal_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tupl
     """A small constant table as part of the plan, without Python on the executors."""
     row = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)])
     return spark.range(1).select(F.explode(F.array(*[row(r) for r in rows])).alias("r")).select("r.*")
-
-
-def with_new(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` plus result columns; a column of the same name gives way to the result."""
-    return df.withColumns(columns)

@@ -76,15 +76,18 @@ def with_slots(records: DataFrame, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
     )
 
 
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS) -> DataFrame:
     """``docs`` plus size, text_crc32, law, shard, slot and grown_shard."""
-    return with_slots(placed(docs, weights))
+    kept = [c for c in docs.columns if c not in RESULT]
+    own = docs.select(*[F.col(c).alias(f"in_{c}") for c in kept], "doc_id", "text")
+    return with_slots(placed(own, weights)).select(*[F.col(f"in_{c}").alias(c) for c in kept], *RESULT)
 
 
 @query("op7_sharding")
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39."""
     records = placed(table(spark, sf_dir, "documents").select("doc_id", "text"), (1.0,) * SHARDS)
-    return with_slots(staged(records.drop("text"))).select(
-        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
-    )
+    return with_slots(staged(records.drop("text"))).select("doc_id", *RESULT)

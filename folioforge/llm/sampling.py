@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import staged
@@ -23,13 +23,14 @@ def text_slice(text: Column, key: Column, chars: int) -> Column:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int, chars: int
 ) -> tuple[list[tuple[str, object]], dict[object, int]]:
-    """At most ``per_label`` (text, label) pairs of each label, and how many rows carry
-    each label.
+    """About ``per_label`` (text, label) pairs of each label, never more than twice as
+    many in all, and how many rows carry each label.
 
     ``labels`` holds doc_id and ``label``; rows with a null label or outside ``usable``
-    never count. Documents are drawn by a hash of their id on narrow rows, with a limit per
-    task before the shuffle, so only drawn texts are collected, at most ``chars`` code
-    points each; an id that is drawn with two labels keeps the larger one.
+    never count. A document is drawn if the hash of its id falls under its label's rate,
+    so drawing needs no shuffle by label, and a rerun draws the same. Only drawn texts
+    are collected, at most ``chars`` code points each; an id with two labels keeps the
+    larger one.
     """
     known = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col(label).alias("label")
@@ -37,9 +38,11 @@ def labelled_sample(
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return [], {}
-    draw = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-    first = known.withColumn("n", F.row_number().over(draw)).where(F.col("n") <= per_label)
-    drawn = staged(first.groupBy("doc_id").agg(F.max("label").alias("label")))
+    rates = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, min(1.0, per_label / n))])
+    drawn_by = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = staged(
+        known.where(drawn_by < F.element_at(rates, F.col("label"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    )
     rows = (
         docs.select("doc_id", "text")
         .join(drawn, "doc_id")

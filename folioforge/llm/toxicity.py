@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained from labelled text. The ordinary one comes from
 zstandard's own trainer over windows of ordinary documents. The toxic one holds the same
-ordinary content and, after it, the phrases by which toxic documents stand out, so that
+ordinary content and, before it, the words by which toxic documents stand out, so that
 the two differ in nothing but toxic text. Every window of a document is compressed with
 both; a window that the toxic dictionary makes shorter speaks for toxicity. How many
 bytes count as evidence, alone and per window, is calibrated on labelled documents that
@@ -35,9 +35,10 @@ from folioforge.llm.sampling import fold, labelled_sample
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 20_000
 #: Bytes of a window, step between windows, bytes of the dictionaries' parts.
 WINDOW, STEP, ORDINARY_BYTES, TOXIC_BYTES = 96, 72, 100_000, 16_000
-#: A word marks toxic text if it is in so many fitted documents and so many times likelier there.
+#: A word marks toxic text if it has so many different neighbours in toxic documents (copies of
+#: one passage have but one) and is in so many times more of them.
 MARK_DOCS, MARK_RATIO = 4, 8
-LEVELS = (3, 5, 7, 9)
+LEVELS = (1, 2, 4, 6)
 FOLDS, HELD_OUT = 5, 0
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -126,21 +127,26 @@ def fit_toxicity(sample: list[tuple[str, int]], totals: dict[int, int]) -> Toxic
     for texts, seen_in in ((toxic, in_toxic), (plain, in_plain)):
         for text in texts:
             seen_in.update(set(_WORD.findall(text)))
+    around: dict[bytes, set[tuple[bytes, bytes]]] = {}
+    for text in toxic:
+        found = _WORD.findall(text)
+        for before, word, after in zip([b"", *found], found, [*found[1:], b""], strict=False):
+            if in_toxic[word] >= min(MARK_DOCS, len(toxic)):
+                around.setdefault(word, set()).add((before, after))
     marks = {
-        w
-        for w, n in in_toxic.items()
-        if n >= min(MARK_DOCS, len(toxic)) and n / len(toxic) > MARK_RATIO * (in_plain[w] + 0.5) / len(plain)
+        w: len(c)
+        for w, c in around.items()
+        if len(c) >= min(MARK_DOCS, len(toxic))
+        and min(len(c), in_toxic[w]) / len(toxic) > MARK_RATIO * (in_plain[w] + 0.5) / len(plain)
     }
-    phrases = Counter(b" " + w + b" " for text in toxic for w in _WORD.findall(text) if w in marks)
-    # the commonest come last, where matches are cheapest
-    ordered = sorted(phrases, key=lambda p: (phrases[p], p))
+    phrases = [b" " + w + b" " for w in sorted(marks, key=lambda w: (marks[w], w))]
     windows = [w for text in plain for w in _windows(text)]
     windows = windows[:: max(1, len(windows) // 60_000)]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on: their text itself
         ordinary = b"".join(windows)[-ORDINARY_BYTES:] or b"        "
-    both = ordinary + b"".join(ordered)[-TOXIC_BYTES:]
+    both = b"".join(phrases)[-TOXIC_BYTES:] + ordinary
     a, b = _compressors(ordinary, both)
     rest = [(t, y) for y in (0, 1) for t in parts[False, y]]
     x = np.array([_evidence(t, a, b) for t, _ in rest])

@@ -29,7 +29,7 @@ from folioforge.llm.sampling import fold, labelled_sample
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4000
 CHUNK, STEP, HOP = 512, 448, 4
 WIDTH, FILTERS, HIDDEN = 6, 24, 16
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 5
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 1200, 64, 0.004, 5
 #: Chunks that are held in memory at a time.
 BLOCK = 256
 FOLDS, HELD_OUT, KEEP = 4, 2, 0.7
@@ -149,8 +149,10 @@ def fit_quality(sample: list[tuple[str, int]], totals: dict[int, int]) -> Qualit
     model = _start(rng)
     first = {k: np.zeros_like(getattr(model, k)) for k in _TRAINED}
     second = {k: np.zeros_like(getattr(model, k)) for k in _TRAINED}
-    step, steps = 0, EPOCHS * -(-len(chunks) // BATCH)
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(chunks) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    step, steps = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = rng.permutation(len(chunks))
         for start in range(0, len(order), BATCH):
             pick = order[start : start + BATCH]

@@ -40,7 +40,7 @@ def _decode_runs(value: Column, entity: str, digits: str, to_hex) -> Column:
     Text between the runs and the decoded runs are zipped back together, so decoded
     characters are never looked at again by the same pass.
     """
-    run = f"((?:{entity})+)"
+    run = f"((?:{entity})++)"  # possessive: matched in a loop, however long the run is
 
     def decode_run(r: Column) -> Column:
         codes = F.regexp_extract_all(r, F.lit(digits), 1)
@@ -57,14 +57,22 @@ def _decode_runs(value: Column, entity: str, digits: str, to_hex) -> Column:
     return let(value, decode_text)
 
 
+def _decimal_to_hex(digits: Column) -> Column:
+    """Hex digits of a decimal number; one of more than 18 digits is no character."""
+    short = F.ltrim(digits, F.lit("0"))
+    return F.when(F.length(short) > 18, "FFFD").otherwise(
+        F.coalesce(F.conv(F.when(short != "", short).otherwise("0"), 10, 16), F.lit("0"))
+    )
+
+
 def decode_entities(value: Column | str) -> Column:
     """Numeric entities first, then the named ones; ``&amp;lt;`` decodes to ``<``."""
     text = as_col(value)
-    text = _decode_runs(text, "&#\\d+;", "&#(\\d+);", lambda d: F.conv(d, 10, 16))
+    text = _decode_runs(text, "&#[0-9]++;", "&#([0-9]++);", _decimal_to_hex)
     text = _decode_runs(
         text,
-        "&#x[0-9a-fA-F]+;",
-        "&#x([0-9a-fA-F]+);",
+        "&#x[0-9a-fA-F]++;",
+        "&#x([0-9a-fA-F]++);",
         F.upper,
     )
     for entity, plain in NAMED_ENTITIES:

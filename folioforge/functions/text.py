@@ -218,18 +218,6 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a source that has fewer splits than cores over all cores.
-
-    At cluster scale a table already has far more splits than cores and is returned
-    untouched (no shuffle); only small tables, whose file is one row group, move.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys)
-
-
 def explode_indexed(
     df: DataFrame, array_col: str, keep: Sequence[str], index: str, item: str, count: str
 ) -> DataFrame:

@@ -29,8 +29,11 @@ def latest_by_key(changes: DataFrame, key: str, order: Sequence[str]) -> DataFra
 
 
 def live_view(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """:func:`latest_by_key`, newest first."""
-    return latest_by_key(changes, key, order).orderBy(*[F.desc(c) for c in order], key)
+    """:func:`latest_by_key` of a table, newest first: a group limit before the shuffle."""
+    newest = F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    rest = [c for c in changes.columns if c != key]
+    latest = changes.withColumn("__rn", newest).where("__rn = 1").select(key, *rest)
+    return latest.orderBy(*[F.desc(c) for c in order], key)
 
 
 def last_known(field: str, order: Column) -> Column:
@@ -72,8 +75,7 @@ def page_states(
     """
     keys = ["job_id", "page_num"]
     cols = events.select(*keys, "event", "worker", "error", *order)
-    parts = _range_partitions(events)
-    ordered = cols.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    ordered = cols.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     types = {f.name: f.dataType.simpleString() for f in cols.schema.fields}
     at_type = ", ".join(f"{c}:{types[c]}" for c in order)
     schema = (
@@ -167,14 +169,6 @@ def page_states(
     )
 
 
-def _range_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism,
-    )
-
-
 def stale_claims(pages: DataFrame, as_of: datetime | Column, seconds: int = STALE_SECONDS):
     """Pages whose claim is older than the time-out, put back to pending."""
     now = as_of if isinstance(as_of, Column) else F.lit(as_of)

@@ -1,14 +1,13 @@
 """Vocabulary scans: advisory terms, protected terms and glossaries.
 
-Terms are counted by combined patterns inside each row, so a scan is one narrow pass
-with no shuffle; only roll-ups aggregate.  Terms whose occurrences could overlap (one
+A given list of terms is counted by combined patterns inside each row, one narrow pass
+with no shuffle; only roll-ups aggregate.  Glossaries are tables and are joined.  Terms whose occurrences could overlap (one
 inside the other, or sharing words) go to different passes, so every term gets the same
 count a pattern of its own would give.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.text import as_col, explode_indexed, extract_any, is_word_char, let
 from .rules import FORBIDDEN_VOCABULARY, PROTECTED_TERMS
 
-MAX_TERMS = 20_000
-
 
 def _may_overlap(a: str, b: str) -> bool:
     """Can whole-word occurrences of the two different phrases share a character?"""
@@ -158,34 +155,64 @@ def glossary_table(spark: SparkSession, text: str) -> DataFrame:
     )
 
 
-def _small_map(df: DataFrame, key: Column, value: Column, what: str) -> dict[str, str]:
-    """A reference table as a mapping (lower-case key -> smallest value), size checked."""
-    pairs = df.select(F.lower(key).alias("k"), value.alias("v")).filter("k is not null and k <> ''")
-    rows = pairs.groupBy("k").agg(F.min("v").alias("v")).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"{what}: more than {MAX_TERMS} terms")
-    return {r.k: r.v for r in rows}
-
+def _relation_hits(
+    df: DataFrame, terms: DataFrame, *, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text"
+) -> DataFrame:
+    """(ids, term, count) for terms that come as a table, whole words, whatever case.
 
-def _looked_up(term: Column, mapping: dict[str, str]) -> Column:
-    table = F.from_json(F.lit(json.dumps(mapping, ensure_ascii=False)), "map<string,string>")
-    return F.try_element_at(table, term)
+    A term can only occur where its first word does: the distinct words of each document
+    are joined to the first words of the terms, and only the terms found that way are
+    counted in the text.  Nothing is collected and no side has a size limit.
+    """
+    word, edge = "[^a-z0-9_]+", "[a-z0-9_]"
+    first = F.coalesce(F.get(F.array_remove(F.split("__term", word), ""), F.lit(0)), F.lit(""))
+    known = terms.select(F.lower("term").alias("__term")).where("__term <> ''").distinct()
+    known = known.withColumn("__first", first)
+    texts = df.select(
+        *id_cols, F.lower(F.coalesce(text_col, F.lit(""))).alias("__low")
+    ).withColumn("__key", F.xxhash64("__low"))
+    seen = texts.select(
+        *[F.col(c).alias(f"__{c}") for c in id_cols],
+        F.col("__key").alias("__seen"),
+        F.explode(F.array_distinct(F.array_append(F.split("__low", word), ""))).alias("__word"),
+    ).join(known, F.col("__word") == F.col("__first"))
+    wanted = seen.groupBy(*[f"__{c}" for c in id_cols], "__seen").agg(
+        F.collect_set("__term").alias("__terms")
+    )
+    same = F.col("__key") == F.col("__seen")
+    for c in id_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    quoted = F.concat(
+        F.lit("\\Q"), F.replace("__term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
+    )
+    before = F.when(F.rlike(F.substring("__term", 1, 1), F.lit(edge)), f"(?<!{edge})").otherwise("")
+    after = F.when(F.rlike(F.right("__term", F.lit(1)), F.lit(edge)), f"(?!{edge})").otherwise("")
+    return (
+        texts.join(wanted, same)
+        .select(*id_cols, "__low", F.explode("__terms").alias("__term"))
+        .withColumn("count", F.regexp_count("__low", F.concat(before, quoted, after)))
+        .where("count > 0")
+        .select(*id_cols, F.col("__term").alias("term"), "count")
+    )
 
 
 def glossary_hits(df: DataFrame, glossary: DataFrame, **options) -> DataFrame:
-    """(ids, term, count, category): glossary terms per document.
-
-    The glossary is a reference table; its size is checked before it becomes part of the
-    plan.  The scan stays narrow: terms are looked up in a constant map, not joined.
-    """
-    categories = _small_map(glossary, F.col("term"), F.col("category"), "glossary")
-    hits = term_hits(df, list(categories), **options)
-    return hits.withColumn("category", _looked_up(F.col("term"), categories))
+    """(ids, term, count, category): glossary terms per document, one row for every
+    category that lists the term."""
+    entries = glossary.select(F.lower("term").alias("__listed"), "category").distinct()
+    hits = _relation_hits(df, glossary, **options)
+    return hits.join(entries, F.col("term") == F.col("__listed")).drop("__listed")
 
 
 def never_use_violations(df: DataFrame, glossary: DataFrame, **options) -> DataFrame:
-    """(ids, banned, count, term): banned renderings per document, with the term to use."""
+    """(ids, banned, count, term): banned renderings per document, one row for every term
+    that bans the rendering."""
     pairs = glossary.select("term", F.explode("never_use").alias("banned"))
-    wanted = _small_map(pairs, F.col("banned"), F.col("term"), "banned renderings")
-    hits = term_hits(df, list(wanted), **options).withColumnRenamed("term", "banned")
-    return hits.withColumn("term", _looked_up(F.col("banned"), wanted))
+    wanted = pairs.select(F.lower("banned").alias("__banned"), F.col("term").alias("__use")).distinct()
+    hits = _relation_hits(df, pairs.select(F.col("banned").alias("term")), **options)
+    return (
+        hits.withColumnRenamed("term", "banned")
+        .join(wanted, F.col("banned") == F.col("__banned"))
+        .withColumn("term", F.col("__use"))
+        .drop("__banned", "__use")
+    )

@@ -25,6 +25,9 @@ from ..session import cut_lineage
 
 Model = Callable[[DataFrame], DataFrame] | DataFrame
 
+#: More than a row can hold: documents are never cut into parts.
+ONE_ROW = 1 << 31
+
 INSTRUCTIONS = {
     "translator": "Translate the following text. Output only <translation> and <flags>.",
     "smoother": "Smooth the following passage. Output only <smoothed>.",
@@ -209,7 +212,8 @@ def translate_flow(
         "fallback",
         "restored",
     )
-    joined = assemble_chunks(done, id_col=id_col, text_col="translation")
+    # a document is enforced and counted as a whole, so it stays one row
+    joined = assemble_chunks(done, id_col=id_col, text_col="translation", part_chars=ONE_ROW)
     totals = done.groupBy(*keys).agg(
         F.max("chunk_count").alias("chunk_count"), F.sum(F.size("flags")).alias("flags_count")
     )
@@ -279,7 +283,7 @@ def transliterate_flow(
         F.col("text").alias("original"),
         enforced_text("out", rules, profile).alias("transliteration"),
     )
-    joined = assemble_chunks(done, id_col=keys, text_col="transliteration")
+    joined = assemble_chunks(done, id_col=keys, text_col="transliteration", part_chars=ONE_ROW)
     if by == "page":
         pages = joined.withColumn(
             "text",
@@ -296,6 +300,7 @@ def transliterate_flow(
             max_overlap=0,
             trim=False,
             block_rows=256_000_000,
+            part_chars=ONE_ROW,
         )
     counts = done.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunk_count"))
     documents = (
@@ -303,6 +308,14 @@ def transliterate_flow(
         .join(counts, id_col)
         .select(id_col, "part", F.col("text").alias("output"), "chunk_count", "total_fixes")
     )
+    if by == "page":  # a job of blank pages alone is done, with an empty text
+        some_text = F.max(trim_ws(F.coalesce(text_col, F.lit(""))) != "").alias("__some")
+        blank = df.groupBy(id_col).agg(some_text).where(~F.col("__some"))
+        types = {f.name: f.dataType for f in documents.schema.fields}
+        none = {"part": F.lit(0), "output": F.lit(""), "chunk_count": F.lit(0), "total_fixes": F.lit(0)}
+        documents = documents.unionByName(
+            blank.select(id_col, *[c.cast(types[n]).alias(n) for n, c in none.items()])
+        )
     rejected = failed
     if by == "document":
         rejected = _rejects(df, keys, text_col, failed, "transliterate")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from ..operators.assemble import assemble_book, assemble_chunks, assemble_pages,
 from ..operators.chunk import chunk_documents
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
+from ..session import shared_folder
 from ..streaming import live
 from .flows import build_requests, secondary_flow, translate_flow, transliterate_flow
 from .registry import query, ts_text
@@ -514,11 +514,8 @@ def _live(spark, sf_dir):
 
 
 def _work_folder(spark: SparkSession) -> str:
-    """A folder of its own below the shared checkpoint folder (local only when unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="folioforge-stream-")
-    return f"{root.rstrip('/')}/folioforge-stream-{os.urandom(8).hex()}"
+    """A folder of its own below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/folioforge-stream-{os.urandom(8).hex()}"
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -532,12 +529,16 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_events(_event_stream(spark, sf_dir))
+
+
+def _page_events(events: DataFrame) -> DataFrame:
     kinds = {"purchase": "done", "error": "error", "signup": "retry"}
     kind = F.lit("claim")
     for name, event in kinds.items():
         kind = F.when(F.col("event_type") == name, event).otherwise(kind)
     n = F.col("event_id").cast("string")
-    return _event_stream(spark, sf_dir).select(
+    return events.select(
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
         (F.floor("value") % 3).cast("int").alias("page_num"),
         kind.alias("event"),
@@ -608,14 +609,32 @@ def _rate_limit_stream(spark, sf_dir):
     return out.select("user_id", "event_id", "allowed", "remaining", "retry_after_seconds")
 
 
-@query("page_states_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
-def _page_states_stream(spark, sf_dir):
-    """With a time-out longer than the data, so that the result equals the batch fold."""
-    stream = live.page_state_stream(
-        _page_event_stream(spark, sf_dir), stale_seconds=10 * 365 * 86_400
-    )
-    out = run_to_table(stream)
+def _newest_pages(out: DataFrame) -> DataFrame:
     newest = F.max_by(F.struct("status", "attempts", "claimed_by", "claimed_at", "error"), "batch_id")
     latest = out.groupBy("job_id", "page_num").agg(newest.alias("s"))
     return latest.select("job_id", "page_num", "s.*")
 
+
+@query("page_states_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
+def _page_states_stream(spark, sf_dir):
+    """With a time-out longer than the data, so that the result equals the batch fold."""
+    return _newest_pages(run_to_table(live.page_state_stream(_page_event_stream(spark, sf_dir), stale_seconds=_AGES)))
+
+
+_AGES = 10 * 365 * 86_400
+
+
+@query("page_states_late_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
+def _page_states_late_stream(spark, sf_dir):
+    """Events in four instalments by time, every seventh one an instalment too late: the
+    states end up as if all had come in order."""
+    folder = f"{_work_folder(spark)}/in"
+    events = load(spark, sf_dir, "events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    turn = F.floor((seconds - F.lit(first)) * 4 / F.lit(max(last - first, 0) + 1)) + (F.col("event_id") % 7 == 0).cast("int")
+    for i in range(5):
+        events.where(turn == i).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    states = live.page_state_stream(_page_events(feed), stale_seconds=_AGES, settle_seconds=_AGES)
+    return _newest_pages(run_to_table(states))

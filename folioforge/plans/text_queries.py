@@ -16,7 +16,6 @@ from ..functions.text import (
     macron_count,
     preview,
     script_ratio,
-    spread,
     trimmed_lines,
     warn_long,
     word_count,
@@ -53,7 +52,7 @@ from .standins import load
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "documents"), "doc_id")
+    return load(spark, sf_dir, "documents")
 
 
 # --- SQL fragments -----------------------------------------------------------------
@@ -493,6 +492,8 @@ the thing: a known matter
 --- OTHER ---
 nicht: a negation (NEVER "nichts")
 la: an article (NEVER "le" or similar)
+thing: a loan word
+ting: an assembly (NEVER "thin", NEVER "le")
 """
 
 
@@ -548,10 +549,11 @@ def _protected(spark, sf_dir):
 @query(
     "glossary_hits",
     f"""
-    with c as ({_count_terms(['thing', 'that', 'the thing', 'nicht', 'la'])})
-    select doc_id, term, cast(n as bigint) as count,
-      case when term in ('nicht', 'la') then 'OTHER' else 'ENGLISH' end as category
-    from c where n > 0
+    with c as ({_count_terms(['thing', 'that', 'the thing', 'nicht', 'la', 'ting'])})
+    select doc_id, term, cast(n as bigint) as count, category
+    from c join (values ('thing', 'ENGLISH'), ('that', 'ENGLISH'), ('the thing', 'ENGLISH'),
+                        ('nicht', 'OTHER'), ('la', 'OTHER'), ('thing', 'OTHER'), ('ting', 'OTHER')) g(term, category)
+    using (term) where n > 0
     """,
 )
 def _glossary(spark, sf_dir):
@@ -562,9 +564,10 @@ def _glossary(spark, sf_dir):
     "never_use_violations",
     f"""
     with c as ({_count_terms(['thin', 'than', 'nichts', 'le'])})
-    select doc_id, term as banned, cast(n as bigint) as count,
-      case term when 'thin' then 'thing' when 'than' then 'that' when 'nichts' then 'nicht' else 'la' end as term
-    from c where n > 0
+    select doc_id, c.term as banned, cast(n as bigint) as count, use as term
+    from c join (values ('thin', 'thing'), ('than', 'that'), ('nichts', 'nicht'), ('le', 'la'),
+                        ('thin', 'ting'), ('le', 'ting')) g(banned, use) on c.term = g.banned
+    where n > 0
     """,
 )
 def _never_use(spark, sf_dir):
@@ -590,7 +593,7 @@ PAGE_TEXT_SQL = trim(f"regexp_replace({_named(_STRIPPED)}, '\\n{{3,}}', E'\\n\\n
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(load(spark, sf_dir, "pages"), "page_id")
+    pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", markup_to_text("html").alias("text"))
 
 
@@ -607,6 +610,24 @@ def _markup(spark, sf_dir):
     )
 
 
+@query(
+    "numeric_entities",
+    f"""
+    with t as (select page_id, {PAGE_TEXT_SQL} as text from pages)
+    select page_id, md5(text) as text_hash, cast(length(text) as bigint) as n_chars from t
+    """,
+)
+def _numeric(spark, sf_dir):
+    """Pages whose vowels and blanks are numeric entities decode to the same text."""
+    coded = F.col("html")
+    for ch, entity in ((" ", "&#32;"), ("a", "&#x61;"), ("e", "&#101;"), ("o", "&#x6F;"), ("i", "&#00105;")):
+        coded = F.replace(coded, F.lit(ch), F.lit(entity))
+    pages = load(spark, sf_dir, "pages").withColumn("html", coded)
+    return pages.select("page_id", markup_to_text("html").alias("text")).select(
+        "page_id", F.md5("text").alias("text_hash"), F.length("text").alias("n_chars")
+    )
+
+
 @query(
     "normalise_newlines",
     f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let, trim_ws
@@ -105,17 +106,29 @@ def export_training_json(
 ) -> DataFrame:
     """Translations with their reviews in time order.
 
-    A translation normally is one row.  One with more than ``reviews_per_row`` reviews
-    is spread over several ``part`` rows (each in time order), so that no review list
-    outgrows a row; together the parts hold all reviews.
+    Reviews are counted off in time order: part 0 holds the first ``reviews_per_row`` of
+    a translation, part 1 the next ones, so that no list outgrows a row and the parts in
+    order are the thread.  Positions are counted within hours and offset by the counts of
+    the earlier hours, so a long thread is never sorted in one task.
     """
-    sizes = reviews.groupBy("translation_id").agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.filter(F.col("__n") > reviews_per_row)
-    part = F.when(
-        F.col("__n").isNotNull(),
-        F.pmod(F.xxhash64("review_id"), F.ceil(F.col("__n") / F.lit(reviews_per_row))),
-    ).otherwise(F.lit(0))
-    placed = reviews.join(large, "translation_id", "left").withColumn("part", part.cast("int"))
+    is_time = reviews.schema["created_at"].dataType.typeName().startswith("timestamp")
+    hour = F.date_trunc("hour", "created_at") if is_time else F.col("created_at")
+    hourly = reviews.withColumn("__hour", hour)
+    counts = hourly.groupBy("translation_id", "__hour").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy("translation_id").orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("translation_id").alias("__t"),
+        F.col("__hour").alias("__h"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+    )
+    within = W.partitionBy("translation_id", "__hour").orderBy("created_at", "review_id")
+    same = F.col("translation_id").eqNullSafe(F.col("__t")) & F.col("__hour").eqNullSafe(F.col("__h"))
+    position = F.col("__before") + F.col("__at") - 1
+    placed = (
+        hourly.withColumn("__at", F.row_number().over(within))
+        .join(offsets, same)
+        .withColumn("part", F.floor(position / F.lit(reviews_per_row)).cast("int"))
+    )
     fields = [c for c in reviews.columns if c not in ("translation_id", "created_at", "review_id")]
     threads = placed.groupBy("translation_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("created_at", "review_id", *fields))).alias("reviews")

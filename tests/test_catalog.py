@@ -12,15 +12,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from folioforge.functions.text import spread
 from folioforge.operators.assemble import assemble_chunks
 from folioforge.operators.chunk import chunk_documents
 from folioforge.operators.enforce import enforce
 from folioforge.operators.history import history_page
+from folioforge.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables are not mounted")
-ORACLES = driver.oracle_sql()
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -42,12 +42,13 @@ def rows(pdf: pd.DataFrame) -> list[tuple]:
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    assert set(driver.queries()) - set(ORACLES) == {"chapters_detected"}
+    assert set(catalog.QUERIES) - set(ORACLES) == {"chapters_detected"}
+    assert set(catalog.QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    got = driver.queries()[name](spark, str(SF)).toPandas()
+    got = catalog.QUERIES[name](spark, str(SF)).toPandas()
     expected = duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
@@ -85,8 +86,3 @@ def test_assembly_shuffles_texts_once(spark):
     out.collect()
     final = plan(out).split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1
-
-
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 1000, 1, 64).withColumn("x", F.lit(1))
-    assert spread(wide, "id") is wide

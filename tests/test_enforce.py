@@ -16,6 +16,7 @@ from folioforge.operators.enforce import (
 )
 from folioforge.operators.vocabulary import (
     forbidden_vocab_scan,
+    glossary_hits,
     glossary_table,
     never_use_violations,
     parse_glossary,
@@ -236,3 +237,24 @@ def test_glossary(spark):
     df = spark.createDataFrame([(1, "Temple service in the mandir")], "doc_id int, text string")
     out = never_use_violations(df, glossary_table(spark, text)).collect()
     assert {(r.banned, r.term) for r in out} == {("temple", "mandir"), ("service", "seva")}
+
+
+def test_glossary_keeps_every_pair(spark):
+    rows = [
+        ("A", "foo", "", ["soul"]),
+        ("B", "Foo", "", ["soul", "self ("]),
+        ("B", "bar", "", ["soul"]),
+        ("C", "(x", "", []),
+        ("C", "a b a", "", []),
+    ]
+    glossary = spark.createDataFrame(rows, "category string, term string, definition string, never_use array<string>")
+    texts = [(1, "Foo food FOO; soul"), (2, "no self (here) (x y"), (3, None), (4, ""), (None, "a b a b a"), (1, "foo")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    hits = {(r.doc_id, r.term, r["count"], r.category) for r in glossary_hits(df, glossary).collect()}
+    assert hits == {
+        (1, "foo", 2, "A"), (1, "foo", 2, "B"), (1, "foo", 1, "A"), (1, "foo", 1, "B"),
+        (2, "(x", 1, "C"), (None, "a b a", 1, "C"),
+    }
+    banned = {(r.doc_id, r.banned, r.term) for r in never_use_violations(df, glossary).collect()}
+    assert banned == {(1, "soul", "foo"), (1, "soul", "Foo"), (1, "soul", "bar"), (2, "self (", "Foo")}
+    assert glossary_hits(df, glossary.limit(0)).count() == 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators.state import rate_limit
@@ -14,7 +15,7 @@ from folioforge.plans.flows import (
     translate_flow,
     transliterate_flow,
 )
-from folioforge.session import cut_lineage
+from folioforge.session import cut_lineage, shared_folder
 from folioforge.sources.readers import change_feed
 from folioforge.streaming import live
 
@@ -135,3 +136,36 @@ def test_rate_limit_stream_carries_its_state_over_batches(spark, tmp_path):
     batch = rate_limit(spark.createDataFrame(rows, ddl), capacity=3, refill_seconds=30).collect()
     assert len(run.recentProgress) >= 3
     assert got == {r.request_id: (r.allowed, r.remaining, r.retry_after_seconds) for r in batch}
+
+
+def test_a_job_of_blank_pages_is_done_with_an_empty_text(spark):
+    pages = spark.createDataFrame(
+        [("j", 1, " "), ("j", 2, ""), ("k", 1, "words here"), ("k", 2, " "), ("n", 1, None)],
+        "doc_id string, page_num int, text string",
+    )
+
+    def answer(prompts: pd.Series) -> pd.Series:
+        return "<transliteration>" + prompts.str.upper() + "</transliteration>"
+
+    out = transliterate_flow(pages, batch_model(answer), by="page")
+    done = {r.doc_id: (r.output, r.chunk_count, r.total_fixes) for r in out.documents.collect()}
+    assert done["j"] == ("", 0, 0) and done["n"] == ("", 0, 0) and done["k"][0].endswith("WORDS HERE")
+    assert out.rejects.count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import random
 
 import pytest
@@ -121,29 +122,50 @@ def _stream_rows(spark, path, rows, ddl):
     spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(path)
 
 
-def test_stream_frees_stale_claims(spark, tmp_path):
-    source = str(tmp_path / "in")
-    ddl = f"{PAGE_EVENTS_DDL}, seq long"
-    late = T0 + dt.timedelta(hours=2)
-    seen: list = []
+def _run_pages(spark, tmp_path, steps, ddl=f"{PAGE_EVENTS_DDL}, seq long", **options):
+    """(batch rows so far) after every step: rows to add, or seconds to wait first."""
+    source, seen = str(tmp_path / "in"), []
     (tmp_path / "in").mkdir()
 
     def collect(batch, _):
-        seen.extend((r.job_id, r.page_num, r.status) for r in batch.collect())
-
-    states = live.page_state_stream(change_feed(spark, source, ddl), lateness="0 seconds")
-    for rows in (
-        [("j", 1, "claim", "w", None, T0, 1)],
-        [("j", 2, "claim", "w", None, late, 2)],
-        [("j", 3, "claim", "w", None, late + dt.timedelta(minutes=1), 3)],
-    ):
+        seen.extend((r.job_id, r.page_num, r.status, r.claimed_by) for r in batch.collect())
+
+    states = live.page_state_stream(change_feed(spark, source, ddl), **options)
+    for wait, rows in steps:
+        time.sleep(wait)
         _stream_rows(spark, source, rows, ddl)
         writer = states.writeStream.outputMode("update").foreachBatch(collect)
         run = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         run.awaitTermination()
-    assert ("j", 1, "ocr_running") in seen
-    assert seen.index(("j", 1, "pending")) > seen.index(("j", 1, "ocr_running"))
-    assert ("j", 2, "pending") not in seen
+    return seen
+
+
+def test_stream_frees_stale_claims(spark, tmp_path):
+    late = T0 + dt.timedelta(hours=2)
+    steps = [
+        (0, [("j", 1, "claim", "w", None, T0, 1)]),
+        (3, [("j", 2, "claim", "w", None, late, 2)]),
+    ]
+    seen = _run_pages(spark, tmp_path, steps, stale_seconds=1, clock_skew="1 second")
+    assert ("j", 1, "ocr_running", "w") in seen
+    assert seen.index(("j", 1, "pending", None)) > seen.index(("j", 1, "ocr_running", "w"))
+    assert ("j", 2, "pending", None) not in seen
+
+
+@pytest.mark.parametrize("settle", [30, 86_400])
+def test_stream_keeps_late_events(spark, tmp_path, settle):
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    steps = [
+        (0, [("j", 1, "claim", "w", None, at(0), 1)]),
+        (0, [("j", 2, "claim", "w", None, at(60), 9)]),
+        (0, [("j", 1, "done", "w", None, at(2), 2), ("j", 2, "error", "w", "x", at(61), 10)]),
+        # an older claim of the finished page, and an older retry of the failed one
+        (0, [("j", 1, "claim", "v", None, at(1), 0), ("j", 2, "claim", "u", None, at(60), 11)]),
+    ]
+    seen = _run_pages(spark, tmp_path, steps, settle_seconds=settle)
+    last = {page: (status, by) for _, page, status, by in seen}
+    assert last[1] == ("ocr_done", "w")
+    assert last[2][0] == "pending"
 
 
 def test_micro_batch_driver_runs_all_steps(spark, tmp_path):
@@ -212,5 +234,7 @@ def test_training_export_splits_long_threads(spark):
     ).collect()
     parts = [r.reviews for r in out if r.translation_id == "hot"]
     assert len(parts) == 4 and sum(map(len, parts)) == 100
-    assert all([x.created_at for x in p] == sorted(x.created_at for x in p) for p in parts)
+    in_order = [r.reviews for r in sorted((r for r in out if r.translation_id == "hot"), key=lambda r: r.part)]
+    assert [x.review_id for p in in_order for x in p] == [f"r{i}" for i in range(100)]
+    assert [len(p) for p in in_order] == [30, 30, 30, 10]
     assert [len(r.reviews) for r in out if r.translation_id == "none"] == [0]

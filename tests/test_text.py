@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import plainpy
-from folioforge.functions.markup import markup_to_text, normalise_newlines
+from folioforge.functions.markup import decode_entities, markup_to_text, normalise_newlines
 from folioforge.functions.text import (
     charset_violations,
     has_valid_script,
@@ -268,3 +268,13 @@ def test_sections_of_long_text_are_named(spark):
     rows = found(spark, text)
     assert [r[1] for r in rows][:2] == ["Section 1", "Section 2"]
     assert F is not None and rows[0][0] == "words"
+
+
+def test_long_runs_and_huge_numbers_of_entities(spark):
+    run = "&#2709;" * 200_000
+    rows = [(1, run), (2, f"a&#{'9' * 40};b"), (3, "&#x" + "F" * 40 + ";"), (4, "&#000065;&#0;"), (5, "&#55357;&#56832;"), (6, "&#128512;"), (7, None)]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", decode_entities("t").alias("t"))
+    got = {r.i: r.t for r in df.collect()}
+    assert got[1] == chr(2709) * 200_000
+    assert got[2] == "a\ufffdb" and got[4] == "A\0" and got[5] == "\U0001f600" and got[7] is None
+    assert got[6] == chr(128512 % 65536)

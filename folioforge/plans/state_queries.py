@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..operators.assemble import assemble_book, assemble_chunks, assemble_pages,
 from ..operators.chunk import chunk_documents
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
-from ..session import shared_folder
+from ..session import scratch_path
 from ..streaming import live
 from .flows import build_requests, secondary_flow, translate_flow, transliterate_flow
 from .registry import query, ts_text
@@ -513,11 +511,6 @@ def _live(spark, sf_dir):
 # --- keyed state, stream --------------------------------------------------------------------------
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A folder of its own below the shared checkpoint folder."""
-    return f"{shared_folder(spark)}/folioforge-stream-{os.urandom(8).hex()}"
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = load(spark, sf_dir, "events").schema
     return (
@@ -552,7 +545,7 @@ def _page_events(events: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Run a stream over what is there now; every batch's rows are kept with its number."""
     spark = stream.sparkSession
-    folder = _work_folder(spark)
+    folder = scratch_path(spark, "folioforge-stream")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -628,7 +621,7 @@ _AGES = 10 * 365 * 86_400
 def _page_states_late_stream(spark, sf_dir):
     """Events in four instalments by time, every seventh one an instalment too late: the
     states end up as if all had come in order."""
-    folder = f"{_work_folder(spark)}/in"
+    folder = f"{scratch_path(spark, "folioforge-stream")}/in"
     events = load(spark, sf_dir, "events")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()

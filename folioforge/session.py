@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, prefix: str) -> str:
+    """A new path below the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back from there.
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.session import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # The two word patterns the operators use, as the class of separators.
@@ -39,23 +37,6 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session (tests) gets a folder of its own; a cluster that names none is
-    an error, since executors would write to their own disks.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="folioforge-llm-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -63,7 +44,7 @@ def staged(df: DataFrame) -> DataFrame:
     size, so joins against it are planned by what it really holds.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

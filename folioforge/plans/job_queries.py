@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import admin, history, transitions
@@ -16,6 +17,7 @@ from ..operators.transitions import (
     fan_out_chapters,
     fan_out_pages,
 )
+from ..session import cut_lineage
 from ..sources.exports import export_training_json, export_txt
 from .registry import query, ts_text
 from .standins import load, standin, standin_sql
@@ -111,6 +113,23 @@ def _books(spark, sf_dir):
     return history.group_books(standin(spark, sf_dir, "translations"))
 
 
+def _positions(ordered: DataFrame) -> DataFrame:
+    """Every row of a sorted table with its place in it, as the table's own order has it.
+
+    Rows are counted within the partitions of the sort; only the partitions' sizes are
+    summed up in one task.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = cut_lineage(
+        ordered.select("*", F.spark_partition_id().alias("__part"), within.alias("__i"))
+    )
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    sizes = numbered.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = numbered.join(starts, F.col("__part") == F.col("__p"))
+    return placed.withColumn("position", F.col("__start") + F.col("__i") + 1)
+
+
 def _sorted_items(key: str, sql_order: str):
     @query(
         f"sort_items_{key.replace('-', '_')}",
@@ -118,26 +137,13 @@ def _sorted_items(key: str, sql_order: str):
         with {BOOKS_SQL}
         select type, item_id, total_words, total_flags,
           row_number() over (order by {sql_order}, item_id) as position
-        from items order by {sql_order}, item_id limit 100
+        from items
         """,
     )
     def _q(spark, sf_dir):
-        from pyspark.sql import Window as W
-
         items = history.group_books(standin(spark, sf_dir, "translations"))
-        top = history.sort_items(items, key).limit(100)
-        orders = {
-            "date-desc": F.desc("created_at"),
-            "date-asc": F.asc("created_at"),
-            "words-desc": F.desc("total_words"),
-            "flags-desc": F.desc("total_flags"),
-        }
-        position = F.row_number().over(
-            W.partitionBy(F.lit(0)).orderBy(orders[key], "item_id")  # 100 rows
-        )
-        return top.select(
-            "type", "item_id", "total_words", "total_flags", position.alias("position")
-        )
+        placed = _positions(history.sort_items(items, key))
+        return placed.select("type", "item_id", "total_words", "total_flags", "position")
 
 
 _sorted_items("date-desc", "created_at desc")

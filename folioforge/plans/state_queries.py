@@ -16,7 +16,7 @@ from .flows import build_requests, secondary_flow, translate_flow, transliterate
 from .registry import query, ts_text
 from .standins import load, standin, standin_sql
 from .text_queries import (
-    CHUNKS_SQL,
+    chunks_sql,
     documents,
     marks,
     plain_letters,
@@ -201,7 +201,7 @@ def _responses(spark, sf_dir):
 @query(
     "build_requests",
     f"""
-    with recursive {CHUNKS_SQL}
+    with recursive {chunks_sql()}
     select doc_id, cast(chunk_index as bigint) as chunk_index, md5('Chunk ' || (chunk_index + 1) || ' of ' || chunk_count
       || E'. Translate it.\\n\\nSOURCE:\\n' || text) as prompt_hash from z
     """,
@@ -249,7 +249,7 @@ def _enforced(x: str) -> str:
 def _flow_sql(reject_quotes: bool) -> str:
     bad = "contains(text, '\"')" if reject_quotes else "false"
     return f"""
-    {CHUNKS_SQL},
+    {chunks_sql()},
     bad as (select distinct doc_id from z where {bad}),
     src as (select doc_id as id, chunk_index as idx, {_enforced('text')} as text from z
             where doc_id not in (select doc_id from bad)),
@@ -298,7 +298,7 @@ def _translate_chunks(spark, sf_dir):
 @query(
     "translate_flow_rejects",
     f"""
-    with recursive {CHUNKS_SQL}
+    with recursive {chunks_sql()}
     select distinct doc_id, 'Missing </translation> closing tag' as error from z where contains(text, '"')
     union all
     select doc_id, 'No content to translate' from documents where {trim('text')} = ''

@@ -648,8 +648,9 @@ def _blocks(x: str) -> str:
     return f"list_filter({parts}, lambda b: b <> '')"
 
 
-SECTIONS_SQL = f"""
-    t as (select page_id, {PAGE_TEXT_SQL} as text from pages),
+def sections_sql() -> str:
+    """Sections of a table ``t`` (page_id, text)."""
+    return f"""
     b as (select page_id, {_blocks('text')} as bs from t),
     e as (select page_id, unnest(bs) as content, unnest(range(len(bs))) as index from b),
     l as (select *, {lines('content')} as ls from e),
@@ -663,7 +664,8 @@ SECTIONS_SQL = f"""
 @query(
     "sections",
     f"""
-    with {SECTIONS_SQL}
+    with t as (select page_id, {PAGE_TEXT_SQL} as text from pages),
+    {sections_sql()}
     select page_id, cast(index as bigint) as index, case when verse then 'verse' else 'prose' end as type,
       md5(content) as content_hash,
       case when verse and len(roman) > 0 then md5(array_to_string(roman, chr(10))) end as roman_hash,
@@ -784,14 +786,9 @@ def _by_words(spark, sf_dir):
     )
 
 
-@query("chapters_detected")
-def _detected(spark, sf_dir):
-    """All strategies over page texts, with short word-count sections."""
-    return detect_chapters(page_texts(spark, sf_dir), id_col="page_id", target_words=200)
-
-
-CHUNKS_SQL = f"""
-    d as (select doc_id, {trim('text')} as t from documents),
+def chunks_sql(table: str = "documents") -> str:
+    return f"""
+    d as (select doc_id, {trim('text')} as t from {table}),
     p0 as (select doc_id, t, {words('t')} as total, {_blocks('t')} as bs from d where t <> ''),
     p1 as (select doc_id, t, total, case
              when len(list_filter(bs, lambda b: {words_raw('b')} > 500)) > 0
@@ -834,7 +831,7 @@ CHUNKS_SQL = f"""
 @query(
     "chunks",
     f"""
-    with recursive {CHUNKS_SQL}
+    with recursive {chunks_sql()}
     select doc_id, cast(chunk_index as bigint) as chunk_index, cast(chunk_count as bigint) as chunk_count,
       md5(text) as text_hash, {words('text')} as words
     from z

@@ -16,11 +16,13 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from folioforge.plans import catalog  # noqa: E402
+from folioforge.plans.standins import SOURCE_PARTITIONS  # noqa: E402
 from folioforge.session import local_session  # noqa: E402
 
 HEADLINE = [
     "enforce_punct_summary",
     "enforce_text",
+    "house_rules_summary",
     "corrections_log",
     "forbidden_scan",
     "script_and_length_metrics",
@@ -47,6 +49,8 @@ def main() -> None:
     spark = local_session(cores=cpus, partitions=int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.ui.explainMode", "simple")
+    if cpus.isdigit():  # the tables are one row group each
+        spark.conf.set(SOURCE_PARTITIONS, cpus)
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # start the executors
     names = sys.argv[1:] or HEADLINE
     seconds = {}

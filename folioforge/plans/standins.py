@@ -113,8 +113,18 @@ STANDINS = {
 SOURCES = ["orders", "customer", "lineitem", "conversations", "events"]
 
 
+#: Session setting: into how many partitions a text table that is one small file is dealt.
+#: Unset, as it should be for tables of many splits, tables are read as they lie.
+SOURCE_PARTITIONS = "folioforge.source.partitions"
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    parts = spark.conf.get(SOURCE_PARTITIONS, None)
+    if parts and table in _TEXT_TABLES:
+        return df.repartition(int(parts), _TEXT_TABLES[table])
+    return df
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -105,13 +105,15 @@ def page_state_stream(
                 base, log = before, []
             now = state.getCurrentWatermarkMs()
         else:
+            # a key's rows come in several chunks and in any order: settle after the last one
             for pdf in batches:
                 now = pd.Timestamp(pdf["__arrived"].iloc[0]).value // 1_000_000
                 stamps = [None if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in pdf["ts"]]
                 seqs = pdf["seq"].tolist() if "seq" in pdf else [0] * len(pdf)
                 new = zip(stamps, seqs, pdf["event"], pdf["worker"], pdf["error"], strict=True)
-                log = sorted([*log, *map(list, new)], key=_in_order)
-                base, log = settle(base, log, (log[-1][0] or 0) - settle_seconds * 1_000_000)
+                log.extend(map(list, new))
+            log.sort(key=_in_order)
+            base, log = settle(base, log, (log[-1][0] or 0) - settle_seconds * 1_000_000)
         status, attempts, _, by, at, _, err = fold(base, log)
         state.update((json.dumps([base, log]),))
         if status == "ocr_running" or log:

@@ -168,6 +168,29 @@ def test_stream_keeps_late_events(spark, tmp_path, settle):
     assert last[2][0] == "pending"
 
 
+def _days_reversed():
+    """Events days apart, newest first: pages 0 and 1 end done, page 2 is mixed."""
+    kinds = ["claim", "error", "claim", "done"]
+    rows = [("j", p, kinds[i % 4], f"w{i}", f"e{i}", T0 + dt.timedelta(days=2 * i), i) for p in (0, 1) for i in range(8)]
+    rng = random.Random(4)
+    rows += [("j", 2, rng.choice(kinds + ["retry"]), f"w{i}", f"e{i}", T0 + dt.timedelta(hours=9 * i), i) for i in range(60)]
+    return rows[::-1]
+
+
+def test_stream_settles_after_the_whole_batch(spark, tmp_path):
+    """Every Arrow chunk holds one row, so a key's rows come in many chunks."""
+    rows = _days_reversed()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        seen = _run_pages(spark, tmp_path, [(0, rows)])
+    finally:
+        spark.conf.set(key, before)
+    want = page_states(spark.createDataFrame(rows, PAGE_DDL)).collect()
+    assert {r[:2]: r[2:] for r in seen} == {(r.job_id, r.page_num): (r.status, r.claimed_by) for r in want}
+
+
 def test_micro_batch_driver_runs_all_steps(spark, tmp_path):
     source = str(tmp_path / "in")
     _stream_rows(spark, source, page_event_rows(1, 5), PAGE_DDL)

@@ -3,10 +3,10 @@
 A seed is a window of words hashed under a mask that ignores some of its positions, so a
 substituted word at an ignored position does not spoil it. The seeds of all documents are
 joined to those of the benchmark items; a hit names a document, an item and the offset
-between them. Around the hits of an offset the words of document and item are laid side
-by side and compared one by one. A document holds an item if the stretch between its
-first and last hit has enough equal words, densely enough, or if enough of the whole item
-stands there.
+between them. At the offset of a hit the words of document and item are laid side by side
+and compared one by one. A document holds an item if any stretch of it has enough equal
+words, densely enough, or if enough of the whole item stands there; where in the item the
+hits lie plays no part.
 
 Defined cases: null and empty texts hold nothing; an item or a document with fewer words
 than a window has no seed and never matches; an item that a document holds twice gives
@@ -55,20 +55,32 @@ def seeds(tokens: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(doc_id, text_key, found): per document the (item_id, offset, first, last) of its
-    hits, first and last being words of the item, the last one exclusive."""
+    """(doc_id, text_key, found): per document the (item_id, offset) of its hits."""
     of_docs = seeds(docs.select("doc_id", _text_key().alias("text_key"), _tokens().alias("w")), masks)
     of_items = seeds(items.select("item_id", _tokens().alias("w")), masks).select(
         "item_id", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed")
     )
     offsets = (
         of_docs.join(of_items, F.col("seed") == F.col("item_seed"))
-        .groupBy("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
-        .agg(F.min("item_pos").alias("first"), (F.max("item_pos") + len(masks[0])).alias("last"))
-    )
-    return offsets.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("item_id", "offset", "first", "last")).alias("found")
+        .select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        .distinct()
     )
+    return offsets.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "offset")).alias("found"))
+
+
+def _dense(at: Column) -> Column:
+    """Whether any stretch has enough equal words; ``at``: their places, ascending.
+
+    A longer stretch falls into parts of ``STRETCH_WORDS`` to twice as many equal words, one
+    of which is as dense as the whole, so no longer ones need a look.
+    """
+    def fits(i: Column) -> Column:
+        most = F.least(F.lit(2 * STRETCH_WORDS), F.size(at) - i)
+        length = lambda m: F.get(at, i + m - 1) - F.get(at, i) + 1
+        return F.exists(F.sequence(F.lit(STRETCH_WORDS), most), lambda m: m >= STRETCH_SHARE * length(m))
+
+    starts = F.sequence(F.lit(0), F.size(at) - STRETCH_WORDS)
+    return F.when(F.size(at) >= STRETCH_WORDS, F.exists(starts, fits)).otherwise(F.lit(False))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
@@ -94,16 +106,11 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS
         "f.offset",
         F.size("iw").alias("item_words"),
         F.transform("iw", lambda word, i: (at + i >= 0) & F.coalesce(F.get("w", F.greatest(at + i, F.lit(0))) == word, F.lit(False))).alias("same"),
-        (F.col("f.first") + 1).alias("begin"),
-        (F.col("f.last") - F.col("f.first")).alias("length"),
-    )
-    count = lambda c: F.size(F.filter(c, lambda x: x))
-    counted = aligned.withColumn("equal_words", count(F.col("same"))).withColumn(
-        "in_stretch", count(F.slice("same", F.col("begin"), F.col("length")))
     )
-    dense = (F.col("in_stretch") >= STRETCH_WORDS) & (F.col("in_stretch") >= STRETCH_SHARE * F.col("length"))
+    places = F.filter(F.sequence(F.lit(0), F.size("same") - 1), lambda i: F.get("same", i))
+    counted = aligned.withColumn("places", places).withColumn("equal_words", F.size("places"))
     return (
-        counted.where(dense | (F.col("equal_words") >= ITEM_SHARE * F.col("item_words")))
+        counted.where((F.col("equal_words") >= ITEM_SHARE * F.col("item_words")) | _dense(F.col("places")))
         .groupBy("doc_id", "text_key", "item_id")
         .agg(F.max(F.struct("equal_words", -F.col("offset"), "item_words")).alias("best"))
         .select(

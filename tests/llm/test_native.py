@@ -235,6 +235,23 @@ def test_leaks_with_substitutions(spark, docs_of):
     assert decontam.decontaminated(docs, items.limit(0)).count() == 10
 
 
+def test_leaks_of_several_stretches(spark, docs_of):
+    """A second copied part, or one stray seed, does not hide a copied stretch."""
+    long = " ".join(f"item{i}" for i in range(120))
+    items = spark.createDataFrame([(5, long), (6, " ".join(long.split()[:59]).replace("item", "unit"))], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(20))
+    unit = " ".join(f"unit{i}" for i in range(59))
+    docs = docs_of(
+        (1, f"{filler} {swapped(long, *range(25, 120))}"),
+        (2, f"{filler} {swapped(long, *range(25, 95))} {filler}"),
+        (3, swapped(unit, *range(14, 59))),
+        (4, swapped(unit, *range(14, 50))),
+        (5, swapped(long, *range(20, 80), *range(89, 120))),
+        (6, swapped(long, *range(9, 70), *range(79, 120))),
+    )
+    assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == [(1, 5), (2, 5), (3, 6), (4, 6), (5, 5)]
+
+
 def test_leaks_of_repeated_rows(spark, docs_of):
     items = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
     docs = docs_of((1, ITEM), (1, ITEM), (1, "clean " * 20))

@@ -8,8 +8,8 @@ and compared one by one. A document holds an item if any stretch of it has enoug
 words, densely enough, or if enough of the whole item stands there; where in the item the
 hits lie plays no part.
 
-Defined cases: null and empty texts hold nothing; an item or a document with fewer words
-than a window has no seed and never matches; an item that a document holds twice gives
+Defined cases: null and empty texts hold nothing; an item of fewer than ITEM_WORDS words
+never matches; a document of fewer words than a seed compares never does; an item that a document holds twice gives
 one row, with its best place; rows that repeat id and text give one result, rows that
 share only the id give one each; a null id is an id. Extra columns are ignored.
 """
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import NOT_ALNUM, UPPER, ascii_lower, staged, table, words
 from folioforge.llm.registry import query
 
-#: Masks (1: compared, 0: ignored); equal words, and their share, of a stretch; share of an item.
-MASKS = ("110110011", "111001101")
-STRETCH_WORDS, STRETCH_SHARE, ITEM_SHARE = 13, 0.7, 0.5
+#: Masks (1: compared, 0: ignored): every choice of three words out of five neighbours. Where
+#: 13 words of 18, or half of an item, are equal, three of five neighbours are.
+MASKS = ("11100", "11010", "10110", "11001", "10101", "10011")
+#: Equal words, and their share, of a stretch; share of an item; least words of an item.
+STRETCH_WORDS, STRETCH_SHARE, ITEM_SHARE, ITEM_WORDS = 13, 0.7, 0.5, 9
 
 
 def _text_key() -> Column:
@@ -39,33 +41,40 @@ def _tokens() -> Column:
 
 def seeds(tokens: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
     """All columns of ``tokens`` but the words ``w``, with (pos, seed) for every window
-    and mask; ``pos`` is the window's first word."""
+    and mask; ``pos`` is the window's first word. What a mask ignores may lie beyond the end."""
     span = len(masks[0])
     if any(len(m) != span for m in masks):
         raise ValueError("the masks must have one length")
     kept = [c for c in tokens.columns if c != "w"]
-    windows = tokens.where(F.size("w") >= span).select(
-        *kept, "w", F.explode(F.sequence(F.lit(0), F.size("w") - span)).alias("pos")
+    shortest = min(m.rindex("1") for m in masks) + 1
+    windows = tokens.where(F.size("w") >= shortest).select(
+        *kept, "w", F.explode(F.sequence(F.lit(0), F.size("w") - shortest)).alias("pos")
     )
     hashes = [
-        F.xxhash64(F.lit(i), *[F.get("w", F.col("pos") + j) for j, bit in enumerate(mask) if bit == "1"])
+        F.when(
+            F.col("pos") + mask.rindex("1") < F.size("w"),
+            F.xxhash64(F.lit(i), *[F.get("w", F.col("pos") + j) for j, bit in enumerate(mask) if bit == "1"]),
+        )
         for i, mask in enumerate(masks)
     ]
-    return windows.select(*kept, "pos", F.explode(F.array(*hashes)).alias("seed"))
+    return windows.select(*kept, "pos", F.explode(F.array(*hashes)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def candidates(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(doc_id, text_key, found): per document the (item_id, offset) of its hits."""
+    """(doc_id, text_key, found): per document the (item_id, offset, item_words) of its hits."""
     of_docs = seeds(docs.select("doc_id", _text_key().alias("text_key"), _tokens().alias("w")), masks)
-    of_items = seeds(items.select("item_id", _tokens().alias("w")), masks).select(
-        "item_id", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed")
+    long_items = items.select("item_id", _tokens().alias("w")).where(F.size("w") >= ITEM_WORDS)
+    of_items = seeds(long_items.withColumn("item_words", F.size("w")), masks).select(
+        "item_id", "item_words", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed")
     )
     offsets = (
         of_docs.join(of_items, F.col("seed") == F.col("item_seed"))
-        .select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        .select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_words")
         .distinct()
     )
-    return offsets.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "offset")).alias("found"))
+    return offsets.groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct("item_id", "offset", "item_words")).alias("found")
+    )
 
 
 def _dense(at: Column) -> Column:
@@ -92,20 +101,24 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS
         F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "found"
     )
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))
+    at = F.col("f.offset")
+    start = F.greatest(at, F.lit(0))
+    # only the words beside the item travel on, not the document
+    beside = F.slice("w", start + 1, F.least(at, F.lit(0)) + F.col("f.item_words"))
     placed = (
         docs.select("doc_id", _text_key().alias("text_key"), "text")
         .join(found, same)
         .select("doc_id", "text_key", _tokens().alias("w"), F.explode("found").alias("f"))
+        .select("doc_id", "text_key", "f", beside.alias("w"))
     )
     of_items = items.select(F.col("item_id").alias("i_id"), _tokens().alias("iw"))
-    at = F.col("f.offset")
-    aligned = placed.join(of_items, F.col("f.item_id").eqNullSafe(F.col("i_id"))).select(
+    aligned = placed.join(of_items, (F.col("f.item_id").eqNullSafe(F.col("i_id"))) & (F.size("iw") == F.col("f.item_words"))).select(
         "doc_id",
         "text_key",
         F.col("i_id").alias("item_id"),
         "f.offset",
         F.size("iw").alias("item_words"),
-        F.transform("iw", lambda word, i: (at + i >= 0) & F.coalesce(F.get("w", F.greatest(at + i, F.lit(0))) == word, F.lit(False))).alias("same"),
+        F.transform("iw", lambda word, i: (at + i >= 0) & F.coalesce(F.get("w", at + i - start) == word, F.lit(False))).alias("same"),
     )
     places = F.filter(F.sequence(F.lit(0), F.size("same") - 1), lambda i: F.get("same", i))
     counted = aligned.withColumn("places", places).withColumn("equal_words", F.size("places"))

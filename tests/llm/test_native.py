@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -252,6 +253,28 @@ def test_leaks_of_several_stretches(spark, docs_of):
     assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == [(1, 5), (2, 5), (3, 6), (4, 6), (5, 5)]
 
 
+def test_accepted_substitutions_leave_a_seed():
+    """Every way to keep half of an item, but one of twelve words, leaves a window."""
+    ones = [[j for j, bit in enumerate(m) if bit == "1"] for m in decontam.MASKS]
+    seeded = lambda kept, n: any({i + j for j in o} <= kept for o in ones for i in range(n))
+    missed = [
+        kept
+        for n in range(decontam.ITEM_WORDS, 18)
+        for kept in map(set, itertools.combinations(range(n), (n + 1) // 2))
+        if not seeded(kept, n)
+    ]
+    assert missed == [{0, 1, 5, 6, 10, 11}]
+    assert all(seeded(set(kept), 18) for kept in itertools.combinations(range(18), 13))
+
+
+def test_leaks_with_every_third_word_replaced(spark, docs_of):
+    texts = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in (9, 16, 30, 59)}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = docs_of(*[(n, f"so {swapped(t, *range(2, n, 3))} on") for n, t in texts.items()])
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["equal_words"]) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(n, n): (1, n - n // 3) for n in texts}
+
+
 def test_leaks_of_repeated_rows(spark, docs_of):
     items = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
     docs = docs_of((1, ITEM), (1, ITEM), (1, "clean " * 20))

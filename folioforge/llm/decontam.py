@@ -108,20 +108,23 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS
     placed = (
         docs.select("doc_id", _text_key().alias("text_key"), "text")
         .join(found, same)
-        .select("doc_id", "text_key", _tokens().alias("w"), F.explode("found").alias("f"))
+        .select("doc_id", "text_key", _tokens().alias("w"), "found")
+        # by itself, or the text would be split anew for every place found
+        .select("doc_id", "text_key", "w", F.explode("found").alias("f"))
         .select("doc_id", "text_key", "f", beside.alias("w"))
     )
     of_items = items.select(F.col("item_id").alias("i_id"), _tokens().alias("iw"))
+    equal = lambda i: (at + i >= 0) & F.coalesce(F.get("w", at + i - start) == F.get("iw", i), F.lit(False))
     aligned = placed.join(of_items, (F.col("f.item_id").eqNullSafe(F.col("i_id"))) & (F.size("iw") == F.col("f.item_words"))).select(
         "doc_id",
         "text_key",
         F.col("i_id").alias("item_id"),
         "f.offset",
         F.size("iw").alias("item_words"),
-        F.transform("iw", lambda word, i: (at + i >= 0) & F.coalesce(F.get("w", at + i - start) == word, F.lit(False))).alias("same"),
+        # as a generated column, or every use below would compute it anew
+        F.explode(F.array(F.filter(F.sequence(F.lit(0), F.size("iw") - 1), equal))).alias("places"),
     )
-    places = F.filter(F.sequence(F.lit(0), F.size("same") - 1), lambda i: F.get("same", i))
-    counted = aligned.withColumn("places", places).withColumn("equal_words", F.size("places"))
+    counted = aligned.withColumn("equal_words", F.size("places"))
     return (
         counted.where((F.col("equal_words") >= ITEM_SHARE * F.col("item_words")) | _dense(F.col("places")))
         .groupBy("doc_id", "text_key", "item_id")

@@ -53,3 +53,16 @@ def literal_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tupl
     """A small constant table as part of the plan, without Python on the executors."""
     row = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)])
     return spark.range(1).select(F.explode(F.array(*[row(r) for r in rows])).alias("r")).select("r.*")
+
+
+#: DuckDB: CRC-32's table of 256 entries by its rule, for :func:`crc32_sql`.
+CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of ``text``'s UTF-8 bytes, beside ``crc_table``."""
+    byte = f"('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT"
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(range(0, octet_length(encode({text}))), lambda i: {byte})),
+      lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])))"""

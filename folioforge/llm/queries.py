@@ -3,6 +3,7 @@
 from folioforge.llm import (  # noqa: F401
     chat,
     decontam,
+    importance,
     language,
     license,
     mixing,

@@ -8,6 +8,7 @@ from folioforge.llm import (  # noqa: F401
     license,
     mixing,
     quality,
+    repair,
     rules,
     sharding,
     simhash,

@@ -10,6 +10,7 @@ from folioforge.llm import (  # noqa: F401
     quality,
     repair,
     rules,
+    scoring,
     sharding,
     simhash,
     toxicity,

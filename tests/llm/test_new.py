@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import importance, repair
+from folioforge.llm import importance, repair, scoring
 
 # --- conversation repair
 
@@ -213,3 +213,127 @@ def test_sliced_sums_are_exact():
         row, place = np.nonzero(counts)
         got = importance.sliced_sums(5, row, place, counts[row, place], importance.gain_planes(gain), 200)
         assert (got == counts @ gain).all()
+
+
+# --- language-model scores
+
+
+def plain_bits(text, model):
+    """The model as plain loops: one bit after another, blocks by their rule."""
+    tree, orders = model.tree, scoring.ORDERS
+    weights = [[float(x) for x in row] for row in model.weights]
+    padded = bytes(8) + text
+    cost = 0.0
+    for low, high in scoring.block_bounds(len(text) + 1):
+        grads, counts = [[0.0] * len(row) for row in weights], [0] * len(weights)
+        for p in range(low, high):
+            leaf = scoring.END if p == len(text) else int(tree.leaf[text[p]])
+            cost += tree.escaped if leaf == scoring.ESCAPE else 0
+            slots = []
+            for order in orders:
+                number = int.from_bytes(padded[p + 8 - order : p + 8][::-1], "little")
+                slots.append(((number + 1) * int(scoring._FACTORS[order]) % (1 << 64)) >> (64 - scoring.SLOTS.bit_length() + 1))
+            for d in range(tree.depth[leaf]):
+                node, bit = int(tree.node[d, leaf]), int(tree.bit[d, leaf])
+                x = [float(model.odds[c, s * scoring.LEAVES + node]) for c, s in enumerate(slots)] + [1.0]
+                one = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights[d], x, strict=True))))
+                cost -= math.log(one if bit else 1 - one)
+                counts[d] += 1
+                for i, v in enumerate(x):
+                    grads[d][i] += (bit - one) * v
+        for d, row in enumerate(weights):
+            if counts[d]:
+                for i in range(len(row)):
+                    row[i] += scoring.RATE / (counts[d] + scoring.DAMPING) * grads[d][i]
+    return cost
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["alpha", "beta", "été", "of", "the"], k=60)).encode() for _ in range(40)]
+    tree = scoring.build_tree(texts[:10])
+    leaf, starts, _ = scoring.coded([scoring._padded(t) for t in texts], [True] * len(texts), tree)
+    size = scoring.SLOTS * scoring.LEAVES
+    leaves = np.stack([np.bincount(s + leaf, minlength=size) for s in starts]).reshape(-1, scoring.SLOTS, scoring.LEAVES)
+    return texts, leaves, scoring.fit_model(texts[:10], leaves, tree)
+
+
+def test_context_mixing_equals_plain_loops(small_model):
+    texts, _, model = small_model
+    odd = [b"", b"z", "Ωß".encode(), texts[0], texts[1] * 9, b"\0" * 300, bytes(range(256)) * 3]
+    got = scoring.coding_costs(odd, model, model.odds.astype(np.float32))
+    for text, cost in zip(odd, got, strict=True):
+        assert cost == pytest.approx(plain_bits(text, model), rel=2e-4), text[:20]
+    alone = [scoring.coding_costs([t], model, model.odds.astype(np.float32))[0] for t in odd]
+    assert alone == pytest.approx(list(got), rel=1e-6)
+
+
+def test_next_bytes_and_end_share_one_probability(small_model):
+    """Summed over all texts of at most one byte, with the rest of each one's mass."""
+    _, _, model = small_model
+    costs = scoring.coding_costs([b"", *[bytes([b]) for b in range(256)]], model, model.odds.astype(np.float32))
+    # the end after one byte, from its plain cost: the byte alone is what is left of the whole
+    left = []
+    for b in range(256):
+        slots = [((number + 1) * int(scoring._FACTORS[o]) % (1 << 64)) >> (65 - scoring.SLOTS.bit_length())
+                 for o in scoring.ORDERS for number in [b]]
+        cost = 0.0
+        for d in range(model.tree.depth[scoring.END]):
+            node, bit = int(model.tree.node[d, scoring.END]), int(model.tree.bit[d, scoring.END])
+            x = [float(model.odds[c, s * scoring.LEAVES + node]) for c, s in enumerate(slots)] + [1.0]
+            one = 1 / (1 + math.exp(-sum(float(w) * v for w, v in zip(model.weights[d], x, strict=True))))
+            cost -= math.log(one if bit else 1 - one)
+        left.append(math.exp(cost - costs[1 + b]))
+    assert math.exp(-costs[0]) + sum(left) == pytest.approx(1, rel=1e-3)
+
+
+def test_scores_equal_plain_counts(spark, docs_of):
+    rnd = random.Random(4)
+    words = ["Alpha", "beta", "ÉTÉ", "of", "the", "a\x85b", "-"]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 30)))) for i in range(80)]
+    docs += [(80, None), (81, ""), (82, " \t\n"), (83, "the " * 60_000), (None, "beta unseen"), (7, docs[7][1]), (7, "other text")]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    seen = Counter()
+    for d, t in docs:
+        if not held(d):
+            seen.update([*lower(t), " "])
+    total = seen.total() + 0.1 * (len(seen) + 1)
+    want = sorted(
+        (repr(d), len(lower(t)) + 1, sum(w in seen for w in [*lower(t), " "]), seen.total(),
+         round(sum(math.log10((seen[w] + 0.1) / total) for w in [*lower(t), " "]), 6))
+        for d, t in docs
+    )
+    not_held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) != 0
+    got = scoring.language_scores(docs_of(*docs, clash=True), not_held).collect()
+    assert sorted((repr(r[0]), r[1], r[2], r[3], round(r[4], 6)) for r in got) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[80] == by_id[81] > by_id[82]
+
+
+def test_rare_tokens_go_through_the_join(spark, docs_of, monkeypatch):
+    docs = [(i, f"w{i % 7} common common w{i}") for i in range(60)]
+    every = lambda: sorted((r[0], r[2], round(r[4], 9)) for r in scoring.language_scores(docs_of(*docs), F.lit(True)).collect())
+    want = every()
+    monkeypatch.setattr(scoring, "FREQUENT", 2)
+    assert every() == want
+    monkeypatch.setattr(scoring, "FREQUENT_BYTES", -1)
+    assert every() == want
+
+
+def test_scores_without_training_rows(spark, docs_of):
+    docs = docs_of((1, "a b"), (2, None))
+    got = {r["doc_id"]: r for r in scoring.language_scores(docs, F.lit(False)).collect()}
+    assert (got[1]["n_tokens"], got[1]["n_known"], got[1]["train_tokens"], got[1]["base_score"]) == (3, 0, 0, 0.0)
+    assert got[1]["score"] < got[2]["score"] < 0
+    assert scoring.language_scores(docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_model_beats_bytes_without_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    scores = scoring.language_scores(docs, ~held).join(docs, "doc_id").where(held)
+    bits, size = scores.agg(F.sum("score"), F.sum(F.octet_length("text"))).first()
+    assert -bits / math.log10(2) / size < 2.9

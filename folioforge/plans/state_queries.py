@@ -11,7 +11,7 @@ from ..operators.chunk import chunk_documents
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
 from ..session import scratch_path
-from ..streaming import live
+from ..streaming import live, pages
 from .flows import build_requests, secondary_flow, translate_flow, transliterate_flow
 from .registry import query, ts_text
 from .standins import load, standin, standin_sql
@@ -438,16 +438,16 @@ def _page_states(spark, sf_dir):
     return _states(spark, sf_dir)
 
 
-@query(
-    "exhausted_jobs",
-    f"""
+_EXHAUSTED_SQL = f"""
     with recursive {PAGE_STATES_SQL},
     x as (select job_id, min(page_num) as page_num, arg_min(error, page_num) as error from ps
           where status = 'ocr_failed' and attempts >= 3 group by job_id)
     select job_id, page_num::bigint as page_num, 'failed' as status,
       'Page ' || page_num || ' OCR failed after 3 attempts: ' || coalesce(left(error, 200), '') as error from x
-    """,
-)
+"""
+
+
+@query("exhausted_jobs", _EXHAUSTED_SQL)
 def _exhausted(spark, sf_dir):
     return state.exhausted_jobs(_states(spark, sf_dir))
 
@@ -551,14 +551,15 @@ def run_to_table(stream: DataFrame, mode: str = "update") -> DataFrame:
         numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
         numbered.write.mode("overwrite").parquet(f"{folder}/out/run={batch_id}")
 
-    run = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with pages.stream_settings(spark, until_read=True):
+        run = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("run")
 
 
@@ -602,32 +603,41 @@ def _rate_limit_stream(spark, sf_dir):
     return out.select("user_id", "event_id", "allowed", "remaining", "retry_after_seconds")
 
 
-def _newest_pages(out: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("status", "attempts", "claimed_by", "claimed_at", "error"), "batch_id")
-    latest = out.groupBy("job_id", "page_num").agg(newest.alias("s"))
-    return latest.select("job_id", "page_num", "s.*")
+_AGES = 10 * 365 * 86_400
 
 
 @query("page_states_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
 def _page_states_stream(spark, sf_dir):
     """With a time-out longer than the data, so that the result equals the batch fold."""
-    return _newest_pages(run_to_table(live.page_state_stream(_page_event_stream(spark, sf_dir), stale_seconds=_AGES)))
+    states = pages.page_state_stream(_page_event_stream(spark, sf_dir), stale_seconds=_AGES)
+    return pages.newest_states(run_to_table(states))
 
 
-_AGES = 10 * 365 * 86_400
-
-
-@query("page_states_late_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
-def _page_states_late_stream(spark, sf_dir):
-    """Events in four instalments by time, every seventh one an instalment too late: the
-    states end up as if all had come in order."""
+def _late_page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of page events in four instalments by time, every seventh event one
+    instalment (a quarter of the whole time) too late."""
     folder = f"{scratch_path(spark, "folioforge-stream")}/in"
     events = load(spark, sf_dir, "events")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
-    turn = F.floor((seconds - F.lit(first)) * 4 / F.lit(max(last - first, 0) + 1)) + (F.col("event_id") % 7 == 0).cast("int")
+    span = F.lit(max((last or 0) - (first or 0), 0) + 1)
+    turn = F.floor((seconds - F.lit(first or 0)) * 4 / span) + (F.col("event_id") % 7 == 0).cast("int")
     for i in range(5):
         events.where(turn == i).write.mode("append").parquet(folder)
-    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    states = live.page_state_stream(_page_events(feed), stale_seconds=_AGES, settle_seconds=_AGES)
-    return _newest_pages(run_to_table(states))
+    return _page_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder))
+
+
+@query("page_states_late_stream", f"with recursive {PAGE_STATES_SQL} select {_STATE_COLS} from ps")
+def _page_states_late_stream(spark, sf_dir):
+    """Late events: the states end up as if all had come in order."""
+    states = pages.page_state_stream(_late_page_events(spark, sf_dir), stale_seconds=_AGES)
+    return pages.newest_states(run_to_table(states))
+
+
+@query("job_failures_stream", _EXHAUSTED_SQL)
+def _job_failures_stream(spark, sf_dir):
+    """Page states and job failures as two chained stateful operators, with late events."""
+    states = pages.page_state_stream(_late_page_events(spark, sf_dir), stale_seconds=_AGES, output_mode="append")
+    told = run_to_table(pages.job_failure_stream(states), "append")
+    newest = told.groupBy("job_id").agg(F.max_by(F.struct("page_num", "status", "error"), "batch_id").alias("j"))
+    return newest.select("job_id", "j.*").where("status = 'failed'")

@@ -1,15 +1,14 @@
 """Structured Streaming forms of the stateful operators.
 
-Key-wise last values are streaming aggregations; the page life-cycle and the token
-bucket keep one small state per key.  A micro-batch is bounded by the source options
-(``maxFilesPerTrigger`` or the broker's offsets per trigger), so the share of one key in
-a batch is bounded too.  Watermarks lie on the time rows arrive, never on the time
-they speak of, so no row is too late to count; timers run on that time too.
+Key-wise last values are streaming aggregations; the token bucket keeps one small state
+per key, and the page life-cycle is in :mod:`folioforge.streaming.pages`.  A micro-batch
+is bounded by the source options (``maxFilesPerTrigger`` or the broker's offsets per
+trigger), so the share of one key in a batch is bounded too.  There are no watermarks,
+so no row is too late to count; timers run on processing time.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -19,16 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.page_machine import STALE_SECONDS, START, advance
 from ..operators.state import latest_by_key, merge_progress
 
-PAGE_STATE = (
-    "job_id string, page_num int, status string, attempts int, claimed_by string, "
-    "claimed_at timestamp, error string"
-)
-#: After every event of the same time.
-_LAST = 1 << 62
-
 
 def live_view_stream(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Latest row per key (update or complete mode)."""
@@ -49,97 +40,6 @@ def completion_stream(events: DataFrame) -> DataFrame:
     return done.select("job_id", "page_num").dropDuplicates(["job_id", "page_num"])
 
 
-def _arriving(rows: DataFrame, clock_skew: str) -> DataFrame:
-    """Rows with the time they arrived, and a watermark on that time alone.
-
-    It drives timers, and as no row arrives before the last batch did, it drops none; the
-    driver's clock may step back by ``clock_skew``, and timers are that much late.
-    """
-    return rows.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", clock_skew)
-
-
-def _in_order(entry: list) -> tuple:
-    return (entry[0] is not None, entry[0] or 0, entry[1])
-
-
-def page_state_stream(
-    events: DataFrame,
-    *,
-    reset_attempts: bool = True,
-    stale_seconds: int = STALE_SECONDS,
-    settle_seconds: int = 86_400,
-    clock_skew: str = "1 minute",
-) -> DataFrame:
-    """Current state of every page that changed; stale claims go back to pending.
-
-    No event is dropped, however late.  A page keeps its events of the last
-    ``settle_seconds`` (before its newest one) in order of (ts, seq), so a late event is
-    folded at its place; what is older is settled into one state, and an event older
-    still is folded right after that.  A claim without a further event for
-    ``stale_seconds`` after it arrived is freed, as an event at the time it went stale; a
-    page that rests in another state is settled after ``settle_seconds``.
-    """
-
-    def fold(start: tuple, log: list) -> tuple:
-        for ts, _, event, worker, error in log:
-            start = advance(start, event, worker, error, ts, reset_attempts)
-        return start
-
-    def settle(base: tuple, log: list, before: float) -> tuple[tuple, list]:
-        cut = next((i for i, e in enumerate(log) if (e[0] or 0) >= before), len(log))
-        return fold(base, log[:cut]), log[cut:]
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        base, log = START, []
-        if state.exists:
-            base, log = json.loads(state.get[0])
-            base = tuple(base)
-        if state.hasTimedOut:
-            before = fold(base, log)
-            if before[0] == "ocr_running":
-                due = None if before[4] is None else before[4] + stale_seconds * 1_000_000
-                log = sorted([*log, [due, _LAST, "reap", None, None]], key=_in_order)
-            else:
-                base, log = before, []
-            now = state.getCurrentWatermarkMs()
-        else:
-            # a key's rows come in several chunks and in any order: settle after the last one
-            for pdf in batches:
-                now = pd.Timestamp(pdf["__arrived"].iloc[0]).value // 1_000_000
-                stamps = [None if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in pdf["ts"]]
-                seqs = pdf["seq"].tolist() if "seq" in pdf else [0] * len(pdf)
-                new = zip(stamps, seqs, pdf["event"], pdf["worker"], pdf["error"], strict=True)
-                log.extend(map(list, new))
-            log.sort(key=_in_order)
-            base, log = settle(base, log, (log[-1][0] or 0) - settle_seconds * 1_000_000)
-        status, attempts, _, by, at, _, err = fold(base, log)
-        state.update((json.dumps([base, log]),))
-        if status == "ocr_running" or log:
-            wait = stale_seconds if status == "ocr_running" else settle_seconds
-            state.setTimeoutTimestamp(max(now + wait * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "page_num": [key[1]],
-                "status": [status],
-                "attempts": [attempts],
-                "claimed_by": [by],
-                "claimed_at": [pd.NaT if at is None else pd.Timestamp(at * 1000)],
-                "error": [err],
-            }
-        )
-
-    return (
-        _arriving(events, clock_skew)
-        .groupBy("job_id", "page_num")
-        .applyInPandasWithState(
-            update, PAGE_STATE, "memory string", "update", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-
-
 def rate_limit_stream(
     requests: DataFrame,
     *,
@@ -149,7 +49,6 @@ def rate_limit_stream(
     capacity: int = 5,
     refill_seconds: int = 60,
     idle_seconds: int = 7 * 86_400,
-    clock_skew: str = "1 minute",
 ) -> DataFrame:
     """Allow/deny requests as they arrive; the state per key is (time when full again).
 
@@ -182,17 +81,16 @@ def rate_limit_stream(
             else:
                 verdicts.append((False, 0, -((level - width) // 1_000_000)))
         state.update((full_at,))
-        now = pd.Timestamp(pdf["__arrived"].iloc[0]).value // 1_000_000
-        state.setTimeoutTimestamp(max(now + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutDuration(idle_seconds * 1000)
         out = pdf[[key_col, id_col, ts_col]].copy()
         out["allowed"], out["remaining"], out["retry_after_seconds"] = zip(*verdicts, strict=True)
         yield out
 
     return (
-        _arriving(requests.withColumn(ts_col, F.col(ts_col).cast("timestamp")), clock_skew)
+        requests.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
         .groupBy(key_col)
         .applyInPandasWithState(
-            judge, schema, "full_at long", "append", GroupStateTimeout.EventTimeTimeout
+            judge, schema, "full_at long", "append", GroupStateTimeout.ProcessingTimeTimeout
         )
     )
 

@@ -26,7 +26,7 @@ from folioforge.sources.readers import (
     read_text_corpus,
 )
 from folioforge.schemas import PAGE_EVENTS_DDL, REVIEWS_DDL
-from folioforge.streaming import live
+from folioforge.streaming import live, pages
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -122,21 +122,23 @@ def _stream_rows(spark, path, rows, ddl):
     spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(path)
 
 
-def _run_pages(spark, tmp_path, steps, ddl=f"{PAGE_EVENTS_DDL}, seq long", **options):
+def _run_pages(spark, tmp_path, steps, ddl=f"{PAGE_EVENTS_DDL}, seq long", batch=0, **options):
     """(batch rows so far) after every step: rows to add, or seconds to wait first."""
     source, seen = str(tmp_path / "in"), []
-    (tmp_path / "in").mkdir()
+    if not batch:
+        (tmp_path / "in").mkdir()
 
     def collect(batch, _):
         seen.extend((r.job_id, r.page_num, r.status, r.claimed_by) for r in batch.collect())
 
-    states = live.page_state_stream(change_feed(spark, source, ddl), **options)
+    states = pages.page_state_stream(change_feed(spark, source, ddl), **options)
     for wait, rows in steps:
         time.sleep(wait)
         _stream_rows(spark, source, rows, ddl)
         writer = states.writeStream.outputMode("update").foreachBatch(collect)
-        run = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        run.awaitTermination()
+        with pages.stream_settings(spark, until_read=True):
+            run = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            run.awaitTermination()
     return seen
 
 
@@ -146,14 +148,14 @@ def test_stream_frees_stale_claims(spark, tmp_path):
         (0, [("j", 1, "claim", "w", None, T0, 1)]),
         (3, [("j", 2, "claim", "w", None, late, 2)]),
     ]
-    seen = _run_pages(spark, tmp_path, steps, stale_seconds=1, clock_skew="1 second")
+    seen = _run_pages(spark, tmp_path, steps, stale_seconds=1)
     assert ("j", 1, "ocr_running", "w") in seen
     assert seen.index(("j", 1, "pending", None)) > seen.index(("j", 1, "ocr_running", "w"))
     assert ("j", 2, "pending", None) not in seen
 
 
-@pytest.mark.parametrize("settle", [30, 86_400])
-def test_stream_keeps_late_events(spark, tmp_path, settle):
+@pytest.mark.parametrize("bucket", [2, 256])
+def test_stream_keeps_late_events(spark, tmp_path, bucket):
     at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
     steps = [
         (0, [("j", 1, "claim", "w", None, at(0), 1)]),
@@ -161,13 +163,70 @@ def test_stream_keeps_late_events(spark, tmp_path, settle):
         (0, [("j", 1, "done", "w", None, at(2), 2), ("j", 2, "error", "w", "x", at(61), 10)]),
         # an older claim of the finished page, and an older retry of the failed one
         (0, [("j", 1, "claim", "v", None, at(1), 0), ("j", 2, "claim", "u", None, at(60), 11)]),
+        # an error of the first attempt, a month late
+        (0, [("j", 1, "error", "w", "late", at(1), 1), ("j", 1, "done", "w", None, at(50_000), 20)]),
+        (0, [("j", 1, "error", "w", "later", at(40_000), 15)]),
     ]
-    seen = _run_pages(spark, tmp_path, steps, settle_seconds=settle)
+    seen = _run_pages(spark, tmp_path, steps, bucket_events=bucket)
     last = {page: (status, by) for _, page, status, by in seen}
-    assert last[1] == ("ocr_done", "w")
+    assert last[1][0] == "ocr_done"
     assert last[2][0] == "pending"
 
 
+@pytest.mark.parametrize("bucket", [1, 4, 256])
+def test_stream_equals_batch_after_every_batch(spark, tmp_path, bucket):
+    """Events in random order, with null times, in many buckets."""
+    rng = random.Random(bucket)
+    rows = page_event_rows(5, hot=60)[-150:]
+    rows = [(*r[:5], None if i % 29 == 0 else r[5], r[6]) for i, r in enumerate(rows)]
+    rng.shuffle(rows)
+    parts = [rows[:50], rows[50:90], rows[90:]]
+    (tmp_path / "all").mkdir()
+    so_far: list = []
+    for n, part in enumerate(parts):
+        so_far += part
+        seen = _run_pages(spark, tmp_path / "all", [(0, part)], bucket_events=bucket, stale_seconds=10**9, batch=n)
+        want = {(r.job_id, r.page_num): (r.status, r.claimed_by) for r in page_states(spark.createDataFrame(so_far, PAGE_DDL)).collect()}
+        got = {r[:2]: r[2:] for r in seen}
+        assert got and all(want[k] == v for k, v in got.items())
+        assert set(got) == {(r[0], r[1]) for r in part}
+
+
+def test_job_fails_once_in_the_stream(spark, tmp_path):
+    at = lambda i: T0 + dt.timedelta(minutes=i)
+    tries = lambda page, first, n: [
+        ("j", page, kind, "w", f"e{first + i}" if kind == "error" else None, at(first + i), first + i)
+        for i, kind in enumerate(["claim", "error"] * n)
+    ]
+    batches = [
+        tries(2, 0, 2),
+        [("k", 1, "claim", "w", None, at(1), 1)],
+        tries(2, 10, 1),  # the third attempt
+        tries(3, 20, 3),  # a higher page changes nothing
+        tries(1, 40, 3),  # a lower one is reported
+        [("j", 1, "retry", None, None, at(60), 60), ("j", 2, "retry", None, None, at(61), 61)],
+        [("j", 3, "retry", None, None, at(62), 62)],
+    ]
+    source, told = str(tmp_path / "in"), []
+    (tmp_path / "in").mkdir()
+    states = pages.page_state_stream(change_feed(spark, source, PAGE_DDL), stale_seconds=10**9, output_mode="append")
+
+    def collect(batch, _):
+        told.extend((r.job_id, r.page_num, r.status, r.error) for r in batch.collect())
+
+    for rows in batches:
+        _stream_rows(spark, source, rows, PAGE_DDL)
+        with pages.stream_settings(spark, until_read=True):
+            writer = pages.job_failure_stream(states).writeStream.outputMode("append").foreachBatch(collect)
+            writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert told == [
+        ("j", 2, "failed", "Page 2 OCR failed after 3 attempts: e11"),
+        ("j", 1, "failed", "Page 1 OCR failed after 3 attempts: e45"),
+        ("j", 3, "failed", "Page 3 OCR failed after 3 attempts: e25"),
+        ("j", 3, "ocr_running", None),
+    ]
+
+
 def _days_reversed():
     """Events days apart, newest first: pages 0 and 1 end done, page 2 is mixed."""
     kinds = ["claim", "error", "claim", "done"]

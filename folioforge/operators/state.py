@@ -7,16 +7,19 @@ bucket only folds one summary row per key and refill interval.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.page_machine import MAX_ATTEMPTS, STALE_SECONDS, START, advance, entries
 from ..functions.text import let
+from ..session import cut_lineage
 
 # --- latest row, merged progress ---------------------------------------------------
 
@@ -219,6 +222,7 @@ def rate_limit(
     id_col: str = "request_id",
     capacity: int = 5,
     refill_seconds: int = 60,
+    split_rows: int = 1_000_000,
 ) -> DataFrame:
     """Allow/deny every request under a token bucket per key, in time order.
 
@@ -226,26 +230,33 @@ def rate_limit(
     microseconds, without replaying a key's requests one by one:
 
     The bucket is held as the time ``x`` at which it would be full again.  A denied
-    request does not change ``x``; an allowed one moves it by one refill interval ``T``.
-    Within a cell of width ``T`` at most the first ``m`` requests plus one later request
-    pass, and what a cell does to ``x`` follows from its request count, first and last
-    time alone.  So requests are pre-aggregated to one row per (key, cell), these rows
-    are folded in order (a key has at most one per interval, however many requests it
-    sends), and each request is then judged against its cell.
-
-    This needs a bucket of two or more: with ``capacity=1`` the request that passes
-    decides the next full time, so that case replays each key's sorted requests as a
-    stream (constant memory, one task per key).
+    request does not change ``x``; an allowed one moves it to ``max(x, now)`` plus one
+    refill interval ``T``.  Within a cell of width ``T`` at most the first ``m`` requests
+    plus one later request pass.  So requests are pre-aggregated to one row per (key,
+    cell), these rows are folded in order (a key has at most one per interval, however
+    many requests it sends), and each request is then judged against its cell.
+
+    With ``capacity`` 2 or more, what a cell does to ``x`` follows from its request count,
+    first and last time.  With 1, the time of the request that passes decides, so the
+    passing times come first from :func:`single_passes`; everything else is the same.
+
+    A cell with more than ``split_rows`` requests is dealt over as many salts, each with a
+    copy of the cell's bounds.  Requests equal in key, time and id are one request: they
+    use one token and share the verdict.
     """
     width = refill_seconds * 1_000_000
-    if capacity == 1:
-        return _replay_single(requests, key_col, ts_col, id_col, width)
     keyed = requests.withColumn("__s", F.unix_micros(F.col(ts_col).cast("timestamp")))
     keyed = keyed.withColumn("__cell", F.floor(F.col("__s") / F.lit(width)).cast("long"))
-    slim = keyed.select(F.col(key_col).alias("k"), "__cell", "__s", F.col(id_col).alias("i"))
+    slim = keyed.select(F.col(key_col).alias("k"), "__cell", "__s", F.col(id_col).alias("i")).distinct()
     cells = slim.groupBy("k", "__cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("__s").alias("first"), F.max("__s").alias("last")
     )
+    if capacity == 1:
+        passing = single_passes(slim.select("k", "__s").distinct(), width)
+        at = F.floor(F.col("__s") / F.lit(width)).cast("long").alias("__cell")
+        cells = cells.join(passing.select("k", at, F.col("__s").alias("pass")), ["k", "__cell"], "left")
+    else:
+        cells = cells.withColumn("pass", F.lit(None).cast("long"))
     state = _fold_cells(cells, width, capacity)
     rank = F.row_number().over(W.partitionBy("k", "__cell").orderBy("__s", "i"))
     firsts = (
@@ -254,6 +265,8 @@ def rate_limit(
         .groupBy("k", "__cell")
         .agg(F.array_sort(F.collect_list(F.struct("__s", "i"))).alias("firsts"))
     )
+    salts = F.ceil(F.col("n") / F.lit(split_rows)).cast("int").alias("__salts")
+    copies = F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt")
     bounds = state.join(firsts, ["k", "__cell"]).select(
         "k",
         "__cell",
@@ -261,38 +274,48 @@ def rate_limit(
         "m",
         (F.col("x") + F.col("m") * width - (capacity - 1) * width).alias("tau"),
         F.slice("firsts", F.lit(1), F.col("m")).alias("early"),
+        salts,
     )
+    # at most one crowded cell for every ``split_rows`` requests
+    crowded = cells.where(F.col("n") > split_rows).select("k", "__cell", salts)
+
+    def salted(rows: DataFrame) -> DataFrame:
+        known = rows.join(crowded, ["k", "__cell"], "left")
+        salt = F.pmod(F.xxhash64("__s", "i"), F.coalesce("__salts", F.lit(1))).cast("int")
+        return known.withColumn("__salt", salt).drop("__salts")
+
     me = F.struct(F.col("__s"), F.col("i"))
     after_early = (F.col("m") == 0) | (me > F.try_element_at("early", F.lit(-1)))
-    # every cell has a request, so this one pass also carries the bounds on
-    verdicts = (
-        slim.join(bounds, ["k", "__cell"])
+    lates = (
+        salted(slim)
+        .join(bounds.select("k", "__cell", "m", "tau", "early", copies), ["k", "__cell", "__salt"])
+        .where((F.col("__s") >= F.col("tau")) & after_early)
+        .groupBy("k", "__cell", "__salt")
+        .agg(F.min(me).alias("late"))
         .groupBy("k", "__cell")
-        .agg(
-            F.min(F.when((F.col("__s") >= F.col("tau")) & after_early, me)).alias("late"),
-            F.first("x").alias("x"),
-            F.first("m").alias("m"),
-            F.first("early").alias("early"),
-        )
+        .agg(F.min("late").alias("late"))
     )
-    judged = (
-        keyed.withColumn("k", F.col(key_col))
-        .withColumn("i", F.col(id_col))
-        .join(verdicts, ["k", "__cell"])
+    verdicts = bounds.join(lates, ["k", "__cell"], "left").select("k", "__cell", "x", "m", "early", "late", copies)
+    judged = salted(keyed.withColumn("k", F.col(key_col)).withColumn("i", F.col(id_col))).join(
+        verdicts, ["k", "__cell", "__salt"]
     )
     early_at = F.array_position("early", me)  # 1-based, 0 when not among them
     is_late = F.coalesce(F.col("late") == me, F.lit(False))
     past_late = F.coalesce(me > F.col("late"), F.lit(False))
-    used_before = F.when(early_at > 0, early_at - 1).otherwise(
-        F.col("m") + F.when(past_late, F.lit(1)).otherwise(F.lit(0))
-    )
     allowed = (early_at > 0) | is_late
+    # the time at which the bucket is full again, as the request finds it
+    after_firsts = F.col("x") + F.col("m") * width
+    full = (
+        F.when(early_at > 0, F.col("x") + (early_at - 1) * width)
+        .when(past_late, F.greatest(after_firsts, F.col("late")["__s"]) + width)
+        .otherwise(after_firsts)
+    )
     # microseconds' worth of tokens in the bucket when the request arrives
-    level = F.lit(capacity * width) - (F.col("x") + used_before * width - F.col("__s"))
+    level = F.lit(capacity * width) - F.greatest(full - F.col("__s"), F.lit(0))
     return judged.select(
         *requests.columns,
         allowed.alias("allowed"),
-        F.when(allowed, F.expr("0") + F.floor((level - width) / F.lit(width)))
+        F.when(allowed, F.floor((level - width) / F.lit(width)))
         .otherwise(F.lit(0))
         .cast("int")
         .alias("remaining"),
@@ -303,36 +326,99 @@ def rate_limit(
     )
 
 
-def _replay_single(
-    requests: DataFrame, key_col: str, ts_col: str, id_col: str, width: int
-) -> DataFrame:
-    slim = requests.select(
-        F.col(key_col).alias("k"),
-        F.unix_micros(F.col(ts_col).cast("timestamp")).alias("s"),
-        F.col(id_col).alias("i"),
-    )
+def single_passes(times: DataFrame, width: int) -> DataFrame:
+    """Of distinct (k, __s) the times that pass a bucket of one token, ``width`` apart.
+
+    The next time that passes is the first one at or after the last plus ``width``, so all
+    of a key's times hang on its first.  They are spread by ranges of (k, time).  Only the
+    first key of a range can have passed before it; for it the range finds out at which
+    time it would end for every time it may be entered at.  Entries that ever pass at the
+    same time go on as one.  One small row per key and range is composed in order, and
+    each range then walks from the entry it really has.
+    """
+    ordered = cut_lineage(times.repartitionByRange("k", "__s").sortWithinPartitions("k", "__s"))
+    kind = times.schema["k"].dataType.simpleString()
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = TaskContext.get().partitionId()
+        key, begun, fresh = None, False, True  # fresh: other ranges may hold earlier times
+        first, x, alive, parent, upto = 0, None, deque(), [], []
+
+        def flush() -> dict:
+            if not fresh:
+                return {"k": key, "run": run, "steps": [{"upto": None, "exit": x}]}
+            exits = {node: at for at, node in alive}
+            steps: list[dict] = []
+            for node, limit in upto:
+                while parent[node] != node:
+                    parent[node] = node = parent[parent[node]]
+                if steps and steps[-1]["exit"] == exits[node]:
+                    steps[-1]["upto"] = limit
+                else:
+                    steps.append({"upto": limit, "exit": exits[node]})
+            return {"k": key, "run": run, "steps": steps}
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, free_at = None, 0
         for pdf in batches:
             out = []
-            for k, s, i in zip(pdf["k"], pdf["s"], pdf["i"], strict=True):
-                if k != key:
-                    key, free_at = k, s
-                passes = s >= free_at
-                out.append((k, i, passes, 0 if passes else -(-(free_at - s) // 1_000_000)))
-                if passes:
-                    free_at = s + width
-            yield pd.DataFrame(out, columns=["k", "i", "allowed", "retry_after_seconds"])
-
-    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = f"k {types['k']}, i {types['i']}, allowed boolean, retry_after_seconds int"
-    ordered = slim.repartition("k").sortWithinPartitions("k", "s", "i")
-    verdicts = ordered.mapInPandas(replay, schema)
-    joined = requests.withColumn("k", F.col(key_col)).withColumn("i", F.col(id_col))
-    return joined.join(verdicts, ["k", "i"]).select(
-        *requests.columns, "allowed", F.lit(0).alias("remaining"), "retry_after_seconds"
-    )
+            for k, s in zip(pdf["k"], pdf["__s"], strict=True):
+                if not begun or k != key:
+                    if begun:
+                        out.append(flush())
+                        fresh = False
+                    key, begun, first, x = k, True, s, None
+                if not fresh:
+                    if x is None or s >= x:
+                        x = s + width
+                    continue
+                joined = None
+                while alive and alive[0][0] <= s:
+                    node = alive.popleft()[1]
+                    if joined is None:
+                        joined = node
+                    else:
+                        parent[node] = joined
+                if s <= first + width:  # entered with a time in (the last one, s]
+                    if joined is None:
+                        joined = len(parent)
+                        parent.append(joined)
+                    upto.append((joined, s))
+                if joined is not None:
+                    alive.append((s + width, joined))
+            if out:
+                yield pd.DataFrame(out)
+        if begun:
+            yield pd.DataFrame([flush()])
+
+    runs = ordered.mapInPandas(ends, f"k {kind}, run int, steps array<struct<upto:bigint,exit:bigint>>")
+
+    def on(acc: Column, r: Column) -> Column:
+        hit = F.filter(r["steps"], lambda p: acc["x"].isNull() | p["upto"].isNull() | (acc["x"] <= p["upto"]))
+        after = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["exit"]).otherwise(acc["x"])
+        entry = F.struct(r["run"].alias("run"), acc["x"].alias("x"))
+        return F.struct(after.alias("x"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
+
+    none = F.lit(None).cast("long").alias("x")
+    start = F.struct(none, F.array().cast("array<struct<run:int,x:bigint>>").alias("entries"))
+    in_order = F.array_sort(F.collect_list(F.struct("run", "steps")))
+    composed = runs.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.aggregate(in_order, start, on)["entries"].alias("e"))
+    # one row per range at most: the key it begins with came from an earlier one
+    begun = composed.where("n > 1").select(F.explode("e").alias("e")).where("e.x is not null").select("e.*")
+    entered = {r["run"]: r["x"] for r in begun.collect()}
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, begun, x = None, False, entered.get(TaskContext.get().partitionId())
+        for pdf in batches:
+            passed = []
+            for k, s in zip(pdf["k"], pdf["__s"], strict=True):
+                if begun and k != key:
+                    x = None
+                key, begun = k, True
+                if x is None or s >= x:
+                    x = s + width
+                    passed.append((k, s))
+            yield pd.DataFrame(passed, columns=["k", "__s"])
+
+    return ordered.mapInPandas(walk, f"k {kind}, __s long")
 
 
 def _fold_cells(cells: DataFrame, width: int, capacity: int) -> DataFrame:
@@ -343,9 +429,9 @@ def _fold_cells(cells: DataFrame, width: int, capacity: int) -> DataFrame:
         for pdf in batches:
             out = []
             rows = zip(
-                pdf["k"], pdf["__cell"], pdf["n"], pdf["first"], pdf["last"], strict=True
+                pdf["k"], pdf["__cell"], pdf["n"], pdf["first"], pdf["last"], pdf["pass"], strict=True
             )
-            for k, cell, n, first, last in rows:
+            for k, cell, n, first, last, single in rows:
                 if k != key:
                     key, x = k, first
                 x0 = max(x, first)
@@ -353,10 +439,10 @@ def _fold_cells(cells: DataFrame, width: int, capacity: int) -> DataFrame:
                 tau = x0 + m * width - (capacity - 1) * width
                 passed = m + (1 if n > m and last >= tau else 0)
                 if passed:
-                    x = x0 + passed * width
-                out.append((k, cell, x0, m))
-            yield pd.DataFrame(out, columns=["k", "__cell", "x", "m"])
+                    x = x0 + passed * width if pd.isna(single) else int(single) + width
+                out.append((k, cell, n, x0, m))
+            yield pd.DataFrame(out, columns=["k", "__cell", "n", "x", "m"])
 
     key_type = cells.schema["k"].dataType.simpleString()
     ordered = cells.repartition("k").sortWithinPartitions("k", "__cell")
-    return ordered.mapInPandas(fold, f"k {key_type}, __cell long, x long, m int")
+    return ordered.mapInPandas(fold, f"k {key_type}, __cell long, n long, x long, m int")

@@ -397,6 +397,21 @@ def _rate_limit(spark, sf_dir):
     return out.select("user_id", "event_id", "allowed", "remaining", "retry_after_seconds")
 
 
+@query("rate_limit_single", _bucket_sql(1, 43_200))
+def _rate_limit_single(spark, sf_dir):
+    """One token: the passing times hang on each other; crowded cells are split too."""
+    options = BUCKET | {"capacity": 1, "split_rows": 2}
+    out = state.rate_limit(load(spark, sf_dir, "events"), **options)
+    return out.select("user_id", "event_id", "allowed", "remaining", "retry_after_seconds")
+
+
+@query("rate_limit_default", _bucket_sql(5, 60).replace("user_id", "event_type"))
+def _rate_limit_default(spark, sf_dir):
+    """The default bucket, with the few event types as keys that hold all rows."""
+    out = state.rate_limit(load(spark, sf_dir, "events"), key_col="event_type", id_col="event_id", split_rows=1000)
+    return out.select("event_type", "event_id", "allowed", "remaining", "retry_after_seconds")
+
+
 PAGE_STATES_SQL = f"""
     {PE},
     n as (select *, row_number() over (partition by job_id, page_num order by ts, seq) as rn from page_events),

@@ -14,6 +14,7 @@ from folioforge.operators.state import (
     merge_progress,
     page_states,
     rate_limit,
+    single_passes,
     stale_claims,
 )
 from folioforge.operators.transitions import completed_pages
@@ -66,6 +67,37 @@ def page_event_rows(seed: int, hot: int):
 PAGE_DDL = f"{PAGE_EVENTS_DDL}, seq long"
 
 
+@pytest.mark.parametrize(("capacity", "split"), [(1, 5), (1, 10**6), (2, 3), (4, 50)])
+def test_rate_limit_of_a_hot_key_with_repeated_requests(spark, capacity, split):
+    rng = random.Random(capacity)
+    rows, at = [], T0
+    for i in range(1500):
+        at += dt.timedelta(milliseconds=rng.choice([0, 1, 40, 700, 2500, 30_000]))
+        rows.append(("hot" if i % 3 else f"k{i % 9}", at, i))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, request_id long")
+    twice = df.union(df.where("request_id % 4 = 0"))
+    out = rate_limit(twice.repartition(7), capacity=capacity, refill_seconds=7, split_rows=split).collect()
+    assert len(out) == 1875
+    got = {r.request_id: (r.allowed, r.remaining, r.retry_after_seconds) for r in out}
+    micros = [(k, (t - T0) // dt.timedelta(microseconds=1), i) for k, t, i in rows]
+    assert got == plainpy.bucket(micros, capacity, 7_000_000)
+
+
+def test_passing_times_over_many_ranges(spark):
+    """One key over eight ranges: each is walked from where the one before really ended."""
+    rng = random.Random(1)
+    times = sorted({rng.randrange(0, 200_000) for _ in range(4000)})
+    keyed = spark.createDataFrame([("a", 5), *[("b", t) for t in times], ("c", 7)], "k string, __s long")
+    for width in (3, 170, 5_000, 10**9):
+        want, x = [], None
+        for t in times:
+            if x is None or t >= x:
+                want.append(t)
+                x = t + width
+        got = sorted(r[1] for r in single_passes(keyed, width).collect() if r[0] == "b")
+        assert got == want
+
+
 @pytest.mark.parametrize("reset", [True, False])
 def test_page_states_match_replay_with_a_hot_page(spark, reset):
     rows = page_event_rows(3, hot=3000)

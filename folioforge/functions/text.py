@@ -185,6 +185,18 @@ def _any_pattern(literals: Sequence[str], ignore_case: bool) -> str:
     return ("(?i)" if ignore_case else "") + "|".join(p for p in (inner, outer) if p)
 
 
+def word_trie(literals: Sequence[str]) -> str:
+    """One pattern for any of many whole words in any case, merged by common prefix; what
+    stands before them is the caller's to check."""
+    root: dict = {}
+    for word in {s.lower() for s in literals}:
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = f"(?!{WORD_CHAR})"
+    return _prefix_regex(root)
+
+
 def contains_any(value: Column, literals: Sequence[str], ignore_case: bool = True) -> Column:
     return F.rlike(F.concat(F.lit(" "), value), F.lit(_any_pattern(literals, ignore_case)))
 

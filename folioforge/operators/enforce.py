@@ -10,13 +10,22 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, contains_any, count_literal, let, macron_count
+from ..functions.text import (
+    WORD_CHAR,
+    as_col,
+    contains_any,
+    count_literal,
+    is_word_char,
+    let,
+    macron_count,
+    word_trie,
+)
 from .rules import DIACRITIC_LABEL, EXTENDED_DIACRITIC_MAP, Rule, RuleBook
 
 CORRECTIONS = "array<struct<from:string,to:string,rule:string,count:int>>"
@@ -132,8 +141,8 @@ def _fold_rules(text: Column, rules: Sequence[Rule], start, step) -> Column:
     )
 
 
-def apply_rules(text: Column, rules: Sequence[Rule]) -> Column:
-    """Rewrites only."""
+def _apply_in_order(text: Column, rules: Sequence[Rule]) -> Column:
+    """Rewrites only, one rule after another."""
 
     def step(acc: Column, rule: Column) -> Column:
         return F.when(F.rlike(acc, rule["pattern"]), _rewrite(acc, rule)).otherwise(acc)
@@ -141,7 +150,7 @@ def apply_rules(text: Column, rules: Sequence[Rule]) -> Column:
     return _fold_rules(text, rules, lambda t: t, step)
 
 
-def audit_rules(text: Column, rules: Sequence[Rule]) -> Column:
+def _audit_in_order(text: Column, rules: Sequence[Rule]) -> Column:
     """``struct<text, corrections>``: every rule counts its hits on the text it sees."""
 
     def start(t: Column) -> Column:
@@ -170,6 +179,228 @@ def audit_rules(text: Column, rules: Sequence[Rule]) -> Column:
     return _fold_rules(text, rules, start, step)
 
 
+# --- rules in layers -----------------------------------------------------------------
+
+#: Stands around a match while its text is taken apart; a text that holds it goes the slow way.
+_MARK = "\ue000"
+_FOUND = "array<struct<rule:int,from:string>>"
+#: Most passes of a rule book in layers.
+MOST_LAYERS = 4
+
+
+def _words(*texts: str | None) -> list[str]:
+    return [w.lower() for t in texts if t for w in re.findall(f"{WORD_CHAR}+", t)]
+
+
+def _overlap(a: list[str], b: list[str]) -> bool:
+    """Whether a text can hold both word sequences with words in common."""
+    for one, other in ((a, b), (b, a)):
+        if any(one[i : i + len(other)] == other[: len(one) - i] for i in range(len(one))):
+            return True
+    return False
+
+
+def _layered(rule: Rule) -> bool:
+    """Whether a rule is a phrase that begins and ends with a word character."""
+    return not rule.regex and is_word_char(rule.phrase[0]) and is_word_char(rule.phrase[-1])
+
+
+def _interact(a: Rule, b: Rule) -> bool:
+    """Whether one rule's match or result may touch, make or undo a match of the other.
+
+    Matches are whole words, so two can only overlap, or a result can only be part of a
+    match, if words of theirs coincide. A result without a word can bring its neighbours together,
+    which are no word characters: that only matters to phrases that hold several such
+    characters in a row, or, if it is not empty, to any phrase of several words.
+    """
+    if _overlap(_words(a.phrase), _words(b.phrase)):
+        return True
+    for one, other in ((a, b), (b, a)):
+        results = [r for r in (one.replacement, one.upper) if r is not None]
+        if set(_words(*results)) & set(_words(other.phrase)):
+            return True
+        gaps = re.findall(f"(?:(?!{WORD_CHAR}).)+", other.phrase, re.S)
+        if any(not _words(r) and (any(len(g) > 1 for g in gaps) or r and gaps) for r in results):
+            return True
+    return False
+
+
+def rule_layers(rules: Sequence[Rule]) -> list[list[int]]:
+    """Numbers of the rules, in layers of rules that do not interact: a rule comes in a
+    later layer than every earlier rule it interacts with, so that running the layers one
+    after another, and all rules of a layer at once, equals running the rules in order."""
+    layer_of: list[int] = []
+    for j, rule in enumerate(rules):
+        before = [layer_of[i] for i in range(j) if _interact(rules[i], rule)]
+        layer_of.append(max(before, default=-1) + 1)
+    return [[j for j, at in enumerate(layer_of) if at == n] for n in range(max(layer_of, default=-1) + 1)]
+
+
+def _segments(rules: Sequence[Rule]) -> list[tuple[bool, list[int]]]:
+    """Consecutive rules that can be layered, and those between them."""
+    out: list[tuple[bool, list[int]]] = []
+    for i, rule in enumerate(rules):
+        if not out or out[-1][0] != _layered(rule):
+            out.append((_layered(rule), []))
+        out[-1][1].append(i)
+    return out
+
+
+def _in_layers(rules: Sequence[Rule]) -> bool:
+    """Whether the rules run in layers; a book that needs many is run in order instead,
+    since every layer nests the expression once more."""
+    parts = [(plain, [rules[i] for i in numbers]) for plain, numbers in _segments(rules)]
+    passes = sum(len(rule_layers(some)) if plain else 1 for plain, some in parts)
+    return any(plain for plain, _ in parts) and passes <= MOST_LAYERS
+
+
+def _taken_apart(text: Column, rules: Sequence[Rule]) -> Column:
+    """The text as an array: what lies between matches at even, matches at odd places.
+
+    Matches are sought in any case; one of another case than its rule asks for has no rule.
+    """
+    # the character before a match is matched, not looked back at, hence the blank in front
+    pattern = f"(?i)([^A-Za-z0-9_])({word_trie([r.phrase for r in rules])})"
+    marked = F.regexp_replace(F.concat(F.lit(" "), text), pattern, f"$1{_MARK}$2{_MARK}")
+    return F.split(F.substring(marked, F.lit(2), F.length(marked)), _MARK)
+
+
+def _lookup(numbered: Sequence[tuple[int, Rule]]) -> Column:
+    """Map from a match to its rule's number and results; exact phrases are keyed by ``=``."""
+    rows = {
+        r.phrase.lower() if r.ignore_case else f"={r.phrase}": {"rule": i, "lower": r.replacement, "upper": r.upper}
+        for i, r in reversed(numbered)
+    }
+    kind = "map<string,struct<rule:int,lower:string,upper:string>>"
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
+
+
+def _rule_of(match: Column, lookup: Column) -> Column:
+    exact = F.try_element_at(lookup, F.concat(F.lit("="), match))
+    return F.coalesce(exact, F.try_element_at(lookup, F.lower(match)))
+
+
+def _result(match: Column, rule: Column) -> Column:
+    head = F.left(match, F.lit(1))
+    result = F.when(rule["upper"].isNotNull() & (head == F.upper(head)), rule["upper"])
+    return result.when(rule.isNotNull(), rule["lower"]).otherwise(match)
+
+
+def _joined(pieces: Column, lookup: Column) -> Column:
+    def rewritten(piece: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, _result(piece, _rule_of(piece, lookup))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, rewritten), "")
+
+
+def _apply_layer(text: Column, numbered: Sequence[tuple[int, Rule]]) -> Column:
+    lookup = _lookup(numbered)
+
+    def rewritten(t: Column) -> Column:
+        pieces = _taken_apart(t, [r for _, r in numbered])
+        return let(pieces, lambda p: F.when(F.size(p) > 1, _joined(p, lookup)).otherwise(t))
+
+    return let(text, rewritten)
+
+
+def _apply_layers(text: Column, rules: Sequence[Rule]) -> Column:
+    for layer in rule_layers(rules):
+        text = _apply_layer(text, [(i, rules[i]) for i in layer])
+    return text
+
+
+def _audit_layer(state: Column, numbered: Sequence[tuple[int, Rule]]) -> Column:
+    """``struct<text, found>`` after one more layer; ``found`` are all matches so far."""
+    lookup = _lookup(numbered)
+
+    def logged(acc: Column, pieces: Column) -> Column:
+        matches = F.filter(pieces, lambda _, i: i % 2 == 1)
+        found = F.transform(matches, lambda m: F.struct(_rule_of(m, lookup)["rule"].alias("rule"), m.alias("from")))
+        found = F.filter(found, lambda f: f["rule"].isNotNull())
+        both = F.concat(acc["found"], found).alias("found")
+        return F.when(F.size(pieces) > 1, F.struct(_joined(pieces, lookup).alias("text"), both)).otherwise(acc)
+
+    def run(acc: Column) -> Column:
+        return let(_taken_apart(acc["text"], [r for _, r in numbered]), lambda pieces: logged(acc, pieces))
+
+    return let(state, run)
+
+
+def _audit_layers(text: Column, rules: Sequence[Rule]) -> Column:
+    """As :func:`_audit_in_order`: matches of all layers, then one row per rule in order."""
+    state = F.struct(text.alias("text"), F.array().cast(_FOUND).alias("found"))
+    for layer in rule_layers(rules):
+        state = _audit_layer(state, [(i, rules[i]) for i in layer])
+    labels = F.from_json(F.lit(json.dumps([r.label for r in rules], ensure_ascii=False)), "array<string>")
+    everything = _lookup(list(enumerate(rules)))
+
+    def row(rule: Column, own: Column) -> Column:
+        first = F.get(own, F.lit(0))["from"]
+        return _correction(first, _result(first, _rule_of(first, everything)), F.get(labels, rule), F.size(own))
+
+    def rows(acc: Column) -> Column:
+        numbers = F.array_sort(F.array_distinct(F.transform(acc["found"], lambda f: f["rule"])))
+        corrections = F.transform(
+            numbers, lambda n: let(F.filter(acc["found"], lambda f: f["rule"] == n), lambda own: row(n, own))
+        )
+        none = F.size(acc["found"]) == 0
+        return F.struct(
+            acc["text"].alias("text"), F.when(none, _no_corrections()).otherwise(corrections).alias("corrections")
+        )
+
+    return let(state, rows)
+
+
+def apply_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    """Rewrites only.
+
+    Phrases run in layers: one pattern finds the matches of a whole layer, and their
+    results are looked up and put back between the other pieces. So a text that any rule
+    hits costs one pass per layer, however many do. Regular expressions, and phrases that begin or
+    end with other characters, run one after another at their place in the list; so does a
+    whole book that would need more than ``MOST_LAYERS`` passes.
+    """
+    if not rules:
+        return text
+
+    def layered(t: Column) -> Column:
+        for plain, numbers in _segments(rules):
+            some = [rules[i] for i in numbers]
+            t = _apply_layers(t, some) if plain else _apply_in_order(t, some)
+        return t
+
+    if not _in_layers(rules):
+        return _apply_in_order(text, rules)
+    return let(
+        text,
+        lambda t: F.when(F.contains(t, F.lit(_MARK)), _apply_in_order(t, rules))
+        .when(_any_rule(t, rules), layered(t))
+        .otherwise(t),
+    )
+
+
+def audit_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    """``struct<text, corrections>``: every rule counts its hits on the text it sees; runs
+    as :func:`apply_rules` does."""
+    if not _in_layers(rules):
+        return _audit_in_order(text, rules)
+
+    def layered(t: Column) -> Column:
+        parts = _segments(rules)
+        plain, numbers = parts[0]
+        out = (_audit_layers if plain else _audit_in_order)(t, [rules[i] for i in numbers])
+        for plain, numbers in parts[1:]:
+            out = _then(out, partial(_audit_layers if plain else _audit_in_order, rules=[rules[i] for i in numbers]))
+        return out
+
+    return let(
+        text,
+        lambda t: F.when(F.contains(t, F.lit(_MARK)), _audit_in_order(t, rules))
+        .when(_any_rule(t, rules), layered(t))
+        .otherwise(F.struct(t.alias("text"), _no_corrections().alias("corrections"))),
+    )
+
+
 def custom_rewrite(
     text: Column | str, pattern: str, replace: Callable[[re.Match], str]
 ) -> Column:

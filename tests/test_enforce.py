@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import flag_band
+from folioforge.operators import enforce as E
 from folioforge.operators import rules as R
 from folioforge.operators.audit import CATEGORY_ORDER, categorise, corrections_log, qa_summary
 from folioforge.operators.enforce import (
@@ -38,6 +41,48 @@ def run(spark, texts, **options):
     return [r.text for r in enforce(df, **options).orderBy("doc_id").collect()]
 
 
+def _in_order(spark, texts, rules):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    t = F.col("text")
+    slow = E._audit_in_order(t, rules)
+    fast, plain = E.audit_rules(t, rules), E.apply_rules(t, rules)
+    rows = df.select("text", slow.alias("a"), fast.alias("b"), plain.alias("c")).collect()
+    for r in rows:
+        assert r.a == r.b, r.text
+        assert r.a["text"] == r.c, r.text
+
+
+def test_layers_equal_rules_in_order(spark):
+    """Random texts of rule words, against the fold of one rule after another."""
+    rng = random.Random(2)
+    words = sorted({w for r in ALL_RULES for w in (r.phrase, *r.phrase.split(), r.replacement)})
+    words += [w.upper() for w in words] + [w.capitalize() for w in words] + ["x", "é", "the", ""]
+    gaps = [" ", " ", "  ", "-", ", ", "\n", "’", "_", "."]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    _in_order(spark, [*texts, "", None, "saint \ue000 monk", "saint", "SAINT saint Saint"], ALL_RULES)
+
+
+def test_layers_of_rules_that_feed_each_other(spark):
+    rule = lambda a, b, **more: R.Rule(a, b, f"{a}→{b}", **more)
+    rules = [
+        rule("a", "b"), rule("b", "c"), rule("c d", "e"), rule("d", ""), rule("(x)", "y"), rule("e", "a b"),
+        rule("B", "Q", ignore_case=False), rule("b, a", "-"), rule("k", ", "), rule("m k n", "o"), rule("p", "", upper="R"),
+        rule("[0-9]+ (a)", "$1", regex=True), rule("a", "z"), rule("z's", "w"),
+    ]
+    assert E.rule_layers(rules[:4]) == [[0], [1], [2], [3]]
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d", "e", "(x)", "x", "A", "B", "k", "m", "n", "p", "P", "7", "z", "z's", ""]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ", ", ",", "-"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    assert not E._in_layers(rules)  # too many: the fold itself
+    for some in (rules[:4], rules[4:8], rules[6:10], rules[8:12], rules[10:], [rules[2], rules[4], rules[6]]):
+        assert E._in_layers(some)
+        _in_order(spark, texts, some)
+
+
+def test_default_rules_need_two_layers():
+    assert [len(x) for x in E.rule_layers(ALL_RULES)] == [58, 5]
+
+
 def test_rule_lists_are_complete():
     sizes = [
         len(R.TERMINOLOGY_RULES),

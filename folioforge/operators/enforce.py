@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from functools import partial, reduce
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from ..functions.text import (
     macron_count,
     word_trie,
 )
-from .rules import DIACRITIC_LABEL, EXTENDED_DIACRITIC_MAP, Rule, RuleBook
+from .rules import DIACRITIC_LABEL, EXTENDED_DIACRITIC_MAP, FunctionRule, Rule, RuleBook
 
 CORRECTIONS = "array<struct<from:string,to:string,rule:string,count:int>>"
 
@@ -418,6 +421,63 @@ def custom_rewrite(
     return rewrite(as_col(text))
 
 
+# --- function rules among the others ---------------------------------------------------
+
+
+def _parts(rules: Sequence[Rule | FunctionRule]) -> list[tuple[bool, list]]:
+    """Consecutive rules of one kind; the flag tells functions."""
+    return [(kind, list(some)) for kind, some in groupby(rules, lambda r: isinstance(r, FunctionRule))]
+
+
+def _run_functions(df: DataFrame, audit: str, rules: Sequence[FunctionRule]) -> DataFrame:
+    """``df`` with the ``struct<text, corrections>`` column ``audit`` after function rules;
+    rows pass through one Arrow step, whose other columns stay as they are."""
+    found = [(re.compile(r.pattern), r.replace, r.label) for r in rules]
+
+    def one(held: dict) -> dict:
+        text, log = held["text"], list(held["corrections"])
+        for pattern, result, label in found if text is not None else ():
+            first = pattern.search(text)
+            if first is not None:
+                text, count = pattern.subn(lambda m, f=result: f(m.group()), text)
+                log.append({"from": first.group(), "to": result(first.group()), "rule": label, "count": count})
+        return {"text": text, "corrections": log}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(audit)
+            done = pa.array([one(h) for h in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), done)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _has_functions(rules: Sequence[Rule | FunctionRule]) -> bool:
+    return any(isinstance(r, FunctionRule) for r in rules)
+
+
+def apply_mixed(df: DataFrame, text_col: str, rules: Sequence[Rule | FunctionRule]) -> DataFrame:
+    """Rewrites only, rules of the JVM and functions in the order given."""
+    if not _has_functions(rules):
+        return df.withColumn(text_col, apply_rules(F.col(text_col), rules))
+    out = audit_mixed(df, text_col, rules, "__mixed")
+    return out.withColumn(text_col, F.col("__mixed")["text"]).drop("__mixed")
+
+
+def audit_mixed(df: DataFrame, text: str, rules: Sequence[Rule | FunctionRule], out: str) -> DataFrame:
+    """``df`` plus ``out``, the ``struct<text, corrections>`` after all rules in order: rules
+    of the JVM and functions hand it on to each other, all in one narrow stage."""
+    if not _has_functions(rules):
+        return df.withColumn(out, audit_rules(F.col(text), rules))
+    df = df.withColumn(out, F.struct(F.col(text).alias("text"), _no_corrections().alias("corrections")))
+    for functions, some in _parts(rules):
+        if functions:
+            df = _run_functions(df, out, some)
+        else:
+            df = df.withColumn(out, _then(F.col(out), partial(audit_rules, rules=some)))
+    return df
+
+
 # --- whole enforcement -------------------------------------------------------------
 
 
@@ -431,6 +491,8 @@ def enforced_text(text: Column | str, book: RuleBook | None = None, profile: str
     if profile == "light":
         return tidy_spaces(space_dashes(curl_single_quotes(curl_double_quotes(c))))
     book = book or RuleBook.default()
+    if _has_functions(book.wording):
+        raise ValueError("a book with functions takes several projections: use enforce")
     c = tidy_spaces(apply_rules(c, book.wording))
     c = apply_rules(c, book.dates)
     c = space_dashes(curl_single_quotes(curl_double_quotes(c)))
@@ -447,13 +509,15 @@ def enforce(
 ) -> DataFrame:
     """Rewrite ``text_col``; with ``audit`` also add ``corrections`` and ``total_fixes``."""
     if not audit:
+        if book is not None and profile != "light" and _has_functions(book.wording):
+            df, book = apply_mixed(df, text_col, book.wording), replace(book, wording=())
         return df.withColumn(text_col, enforced_text(text_col, book, profile))
     if profile == "light":  # the light profile does not log
         out = df.withColumn(text_col, enforced_text(text_col, book, profile))
         return out.withColumn("corrections", _no_corrections()).withColumn("total_fixes", F.lit(0))
     book = book or RuleBook.default()
     tmp = "__audit"
-    out = df.withColumn(tmp, audit_rules(F.col(text_col), book.wording))
+    out = audit_mixed(df, text_col, book.wording, tmp)
     out = out.withColumn(tmp, _then(F.col(tmp), lambda t: audit_rules(tidy_spaces(t), book.dates)))
     out = out.withColumn(tmp, _then(F.col(tmp), lambda t: _audit_marks(t, book.diacritics)))
     text = F.col(tmp)["text"]

@@ -7,6 +7,7 @@ every operator takes any list of rules, so users bring their own.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,18 @@ class Rule:
         return pairs
 
 
+@dataclass(frozen=True)
+class FunctionRule:
+    """One rewrite whose result is a Python function of the match; ``pattern`` is a Python
+    regex. It keeps its place among the other rules and its row in the audit, but runs in
+    Arrow batches instead of the JVM, so it is for what a :class:`Rule` cannot say."""
+
+    pattern: str
+    replace: Callable[[str], str]
+    label: str
+    family: str = "custom"
+
+
 def _rules(family: str, rows: list[tuple], **common) -> list[Rule]:
     out = []
     for phrase, replacement, label, *upper in rows:
@@ -292,7 +305,7 @@ PROTECTED_TERMS: list[str] = [
 class RuleBook:
     """Rules of one enforcement run: wording first, then dates, then diacritics."""
 
-    wording: tuple[Rule, ...] = ()
+    wording: tuple[Rule | FunctionRule, ...] = ()
     dates: tuple[Rule, ...] = ()
     diacritics: tuple[tuple[str, str], ...] = tuple(DIACRITIC_MAP)
 
@@ -310,7 +323,7 @@ class RuleBook:
         )
 
     @staticmethod
-    def of(*rules: Rule) -> RuleBook:
+    def of(*rules: Rule | FunctionRule) -> RuleBook:
         return RuleBook(wording=tuple(rules))
 
 
@@ -318,6 +331,8 @@ def rules_table(spark: SparkSession, book: RuleBook) -> DataFrame:
     """The rule book as a table (family, seq, pattern, replacement, case mode, label)."""
     rows = []
     for seq, rule in enumerate((*book.wording, *book.dates)):
+        if isinstance(rule, FunctionRule):
+            raise ValueError(f"a function cannot be kept in a table: {rule.label}")
         mode = "preserve" if rule.upper is not None else "ignore" if rule.ignore_case else "exact"
         rows.append((rule.family, seq, rule.phrase, rule.replacement, mode, rule.label))
     return spark.createDataFrame(

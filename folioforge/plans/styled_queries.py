@@ -14,8 +14,8 @@ from ..functions.text import has_valid_script, is_ocr_refusal, script_ratio
 from ..operators.audit import corrections_log, idempotency_check, qa_summary
 from ..operators.chapters import detect_chapters
 from ..operators.chunk import chunk_documents
-from ..operators.enforce import enforce
-from ..operators.rules import DATE_RULES, DIACRITIC_LABEL, DIACRITIC_MAP, Rule, RuleBook
+from ..operators.enforce import apply_mixed, enforce
+from ..operators.rules import DATE_RULES, DIACRITIC_LABEL, DIACRITIC_MAP, FunctionRule, Rule, RuleBook
 from ..operators.sections import parse_sections
 from .registry import query
 from .standins import load
@@ -404,3 +404,53 @@ def _all_strategies(spark, sf_dir):
     )
     docs = load(spark, sf_dir, "documents").select("doc_id", layout.alias("text"))
     return detect_chapters(docs, target_words=200)
+
+
+# --- function rules between pattern rules ------------------------------------------------
+
+_MIXED_BOOK = RuleBook.of(
+    Rule("the", "chapter 12", "the→chapter 12"),
+    FunctionRule("[0-9]", lambda digit: str(9 - int(digit)), "digit→nine's complement"),
+    Rule("chapter 87", "part", "chapter 87→part"),
+    FunctionRule("[xX]+", lambda run: f"[{len(run)}]", "x→its length"),
+)
+_MIXED_SQL = r"""
+    m0 as (select doc_id, coalesce(text, '') as t from documents),
+    m1 as (select doc_id, t as t0, regexp_replace(t, '(?i)\bthe\b', 'chapter 12', 'g') as t from m0),
+    m2 as (select doc_id, t0, t as t1, translate(t, '0123456789', '9876543210') as t from m1),
+    m3 as (select doc_id, t0, t1, t as t2, regexp_replace(t, '(?i)\bchapter 87\b', 'part', 'g') as t from m2),
+    mx as (select doc_id, list(len(x) order by i) as runs from (
+        select doc_id, unnest(regexp_extract_all(t, '[xX]+')) as x, generate_subscripts(regexp_extract_all(t, '[xX]+'), 1) as i
+        from m3) group by doc_id),
+    ml as (
+      select doc_id, 0 as place, regexp_extract(t0, '(?i)\bthe\b') as "from", 'chapter 12' as "to", 'the→chapter 12' as rule,
+        len(regexp_extract_all(t0, '(?i)\bthe\b')) as count from m3
+      union all select doc_id, 1, regexp_extract(t1, '[0-9]'), translate(regexp_extract(t1, '[0-9]'), '0123456789', '9876543210'),
+        'digit→nine''s complement', len(regexp_extract_all(t1, '[0-9]')) from m3
+      union all select doc_id, 2, regexp_extract(t2, '(?i)\bchapter 87\b'), 'part', 'chapter 87→part',
+        len(regexp_extract_all(t2, '(?i)\bchapter 87\b')) from m3
+      union all select doc_id, 3, regexp_extract(t, '[xX]+'), '[' || runs[1] || ']', 'x→its length', len(runs) from m3 join mx using (doc_id))
+"""
+
+
+@query(
+    "function_rules_log",
+    f"""
+    with {_MIXED_SQL}
+    select doc_id, row_number() over (partition by doc_id order by place) - 1 as seq, "from", "to", rule, count
+    from ml where count > 0
+    """,
+)
+def _function_rules(spark, sf_dir):
+    """Two pattern rules and two functions in turn: each sees what those before it made."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    listed = {r.label for r in _MIXED_BOOK.wording}
+    logged = corrections_log(enforce(docs, _MIXED_BOOK, audit=True))
+    return logged.where(F.col("rule").isin(sorted(listed)))
+
+
+@query("function_rules_text", f"with {_MIXED_SQL} select doc_id, md5(t) as text_hash from m3")
+def _function_rules_text(spark, sf_dir):
+    """The text after a rule, a function and a rule that sees the function's result."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return apply_mixed(docs, "text", _MIXED_BOOK.wording[:3]).select("doc_id", F.md5("text").alias("text_hash"))

@@ -79,6 +79,28 @@ def test_layers_of_rules_that_feed_each_other(spark):
         _in_order(spark, texts, some)
 
 
+def test_functions_keep_their_place_and_their_audit(spark):
+    book = R.RuleBook.of(
+        R.Rule("one", "11", "one"),
+        R.FunctionRule(r"\d+", lambda n: str(int(n) * 2), "double"),
+        R.Rule("22", "done one", "22"),
+        R.FunctionRule("never", str.upper, "never"),
+        R.FunctionRule("o", str.upper, "o"),
+    )
+    texts = ["one and 4", None, "", "plain", "one one 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r for r in enforce(df, book, audit=True).collect()}
+    log = lambda i: [tuple(c) for c in rows[i].corrections]
+    assert rows[0].text == "dOne One and 8"
+    assert log(0) == [("one", "11", "one", 1), ("11", "22", "double", 2), ("22", "done one", "22", 1), ("o", "O", "o", 2)]
+    assert rows[4].text == "dOne One dOne One 6" and rows[4].total_fixes == 2 + 3 + 2 + 4
+    assert rows[1].text is None and rows[2].text == "" and log(2) == []
+    assert rows[3].text == "plain" and rows[3].total_fixes == 0
+    assert [r.text for r in enforce(df, book).orderBy("doc_id").collect()] == [rows[i].text for i in range(5)]
+    with pytest.raises(ValueError, match="table"):
+        R.rules_table(spark, book)
+
+
 def test_default_rules_need_two_layers():
     assert [len(x) for x in E.rule_layers(ALL_RULES)] == [58, 5]
 

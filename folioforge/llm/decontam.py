@@ -3,8 +3,9 @@
 A seed is a window of words hashed under a mask that ignores some of its positions, so a
 substituted word at an ignored position does not spoil it. The seeds of all documents are
 joined to those of the benchmark items; a hit names a document, an item and the offset
-between them. At the offset of a hit the words of document and item are laid side by side
-and compared one by one. A document holds an item if any stretch of it has enough equal
+between them. How many hits an offset must have if the document holds the item there follows
+from the masks and the item's length alone; at offsets with so many, the words of document
+and item are laid side by side and compared one by one. A document holds an item if any stretch of it has enough equal
 words, densely enough, or if enough of the whole item stands there; where in the item the
 hits lie plays no part.
 
@@ -17,6 +18,7 @@ share only the id give one each; a null id is an id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from folioforge.llm.registry import query
 MASKS = ("11100", "11010", "10110", "11001", "10101", "10011")
 #: Equal words, and their share, of a stretch; share of an item; least words of an item.
 STRETCH_WORDS, STRETCH_SHARE, ITEM_SHARE, ITEM_WORDS = 13, 0.7, 0.5, 9
+#: Items from this length on need as many hits as the least of them.
+LONG_ITEM = 100
 
 
 def _text_key() -> Column:
@@ -60,17 +64,56 @@ def seeds(tokens: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
     return windows.select(*kept, "pos", F.explode(F.array(*hashes)).alias("seed")).where(F.col("seed").isNotNull())
 
 
+def least_hits(masks: Sequence[str], longest: int) -> list[list[int]]:
+    """By length and number of equal words: the fewest hits that so many equal words can
+    leave, wherever they stand. The cheapest way word by word; the last words are the state."""
+    span, wanted = len(masks[0]), [int(m, 2) for m in masks]
+    hits = [sum(window & m == m for m in wanted) for window in range(1 << span)]
+    keep, never = (1 << span - 1) - 1, 1 << 30
+    tail = [sum(hits[(last << j) & (2 * keep + 1)] for j in range(1, span)) for last in range(keep + 1)]
+    ways = {0: [0]}  # last words -> cost by number of equal words
+    out = []
+    for n in range(longest + 1):
+        out.append([min(cost[k] + tail[last] for last, cost in ways.items()) for k in range(n + 1)])
+        longer: dict[int, list[int]] = {}
+        for last, cost in ways.items():
+            for bit in (0, 1):
+                window = last << 1 | bit
+                to = longer.setdefault(window & keep, [never] * (n + 2))
+                for k, c in enumerate(cost):
+                    to[k + bit] = min(to[k + bit], c + hits[window])
+        ways = longer
+    return out
+
+
+@cache
+def needed_hits(masks: tuple[str, ...] = MASKS) -> list[int]:
+    """By item length: the fewest hits on one diagonal of a document that holds the item; the
+    last entry is for all longer items. A stretch leaves as many whatever the item."""
+    longest = int(STRETCH_WORDS / STRETCH_SHARE)
+    least = least_hits(masks, 2 * LONG_ITEM)
+    # more equal words never leave fewer hits
+    stretch = min(least[n][STRETCH_WORDS] for n in range(STRETCH_WORDS, longest + 1))
+    half = [least[n][-int(-ITEM_SHARE * n // 1)] for n in range(2 * LONG_ITEM + 1)]
+    return [min(stretch, *half[n : n + 1]) for n in range(LONG_ITEM)] + [min(stretch, *half[LONG_ITEM:])]
+
+
 def candidates(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(doc_id, text_key, found): per document the (item_id, offset, item_words) of its hits."""
+    """(doc_id, text_key, found): per document the (item_id, offset, item_words) at which it
+    has as many hits as it must have to hold the item."""
     of_docs = seeds(docs.select("doc_id", _text_key().alias("text_key"), _tokens().alias("w")), masks)
     long_items = items.select("item_id", _tokens().alias("w")).where(F.size("w") >= ITEM_WORDS)
     of_items = seeds(long_items.withColumn("item_words", F.size("w")), masks).select(
         "item_id", "item_words", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed")
     )
+    needed = needed_hits(tuple(masks))
+    enough = F.get(F.array(*map(F.lit, needed)), F.least(F.col("item_words"), F.lit(len(needed) - 1)))
+    offset = (F.col("pos") - F.col("item_pos")).alias("offset")
     offsets = (
         of_docs.join(of_items, F.col("seed") == F.col("item_seed"))
-        .select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_words")
-        .distinct()
+        .groupBy("doc_id", "text_key", "item_id", offset, "item_words")
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .where(F.col("hits") >= enough)
     )
     return offsets.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("item_id", "offset", "item_words")).alias("found")
@@ -107,7 +150,8 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS
     beside = F.slice("w", start + 1, F.least(at, F.lit(0)) + F.col("f.item_words"))
     placed = (
         docs.select("doc_id", _text_key().alias("text_key"), "text")
-        .join(found, same)
+        # places found grow with the documents, so they are never broadcast
+        .join(found.hint("merge"), same)
         .select("doc_id", "text_key", _tokens().alias("w"), "found")
         # by itself, or the text would be split anew for every place found
         .select("doc_id", "text_key", "w", F.explode("found").alias("f"))
@@ -159,31 +203,34 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _seed_sql(source: str, key: str) -> str:
     arms = [
-        f"SELECT {key}, i, {n} AS mask, [{', '.join(f'w[i + {j}]' for j, bit in enumerate(mask) if bit == '1')}] AS seed FROM {source}"
+        f"SELECT {key}, i, {n} AS mask, [{', '.join(f'w[i + {j}]' for j, bit in enumerate(mask) if bit == '1')}] AS seed "
+        f"FROM {source} WHERE i + {mask.rindex('1')} <= len(w)"
         for n, mask in enumerate(MASKS)
     ]
     return " UNION ALL ".join(arms)
 
 
 _WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LAST = min(m.rindex("1") for m in MASKS)
 
+# any offset with one equal seed is looked at, and any stretch of equal words counts
 DECONTAM_SQL = rf"""
-WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
-dw AS (SELECT *, unnest(range(1, len(w) - {len(MASKS[0]) - 2})) AS i FROM d),
-bw AS (SELECT *, unnest(range(1, len(w) - {len(MASKS[0]) - 2})) AS i FROM b),
-ds AS ({_seed_sql("dw", "doc_id")}),
-bs AS ({_seed_sql("bw", "item_id")}),
-o AS (SELECT doc_id, item_id, ds.i - bs.i AS shift, min(bs.i) AS lo, max(bs.i) + {len(MASKS[0])} AS hi
-      FROM ds JOIN bs USING (mask, seed) GROUP BY ALL),
-a AS (SELECT o.*, len(b.w) AS n, unnest(range(1, len(b.w) + 1)) AS k, d.w AS dw, b.w AS bw
-      FROM o JOIN d USING (doc_id) JOIN b USING (item_id)),
-e AS (SELECT doc_id, item_id, shift, lo, hi, n,
-             count(*) FILTER (k + shift > 0 AND dw[k + shift] = bw[k]) AS same,
-             count(*) FILTER (k + shift > 0 AND dw[k + shift] = bw[k] AND k >= lo AND k < hi) AS inside
-      FROM a GROUP BY ALL),
-v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY same DESC, shift) AS best
-      FROM e WHERE (inside >= {STRETCH_WORDS} AND inside >= {STRETCH_SHARE} * (hi - lo)) OR same >= {ITEM_SHARE} * n)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT DISTINCT doc_id, {_WORDS_SQL} AS w FROM documents)),
+b AS (SELECT row_number() OVER () AS q, item_id, w FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark)
+      WHERE len(w) >= {ITEM_WORDS}),
+dw AS (SELECT r, w, unnest(range(1, len(w) - {_LAST - 1})) AS i FROM d),
+bw AS (SELECT q, w, unnest(range(1, len(w) - {_LAST - 1})) AS i FROM b),
+ds AS ({_seed_sql("dw", "r")}),
+bs AS ({_seed_sql("bw", "q")}),
+o AS (SELECT DISTINCT r, q, ds.i - bs.i AS shift FROM ds JOIN bs USING (mask, seed)),
+p AS (SELECT doc_id, r, item_id, shift, len(b.w) AS n,
+             list_filter(range(1, len(b.w) + 1), lambda k: k + shift > 0 AND d.w[k + shift] = b.w[k]) AS eq
+      FROM o JOIN d USING (r) JOIN b USING (q)),
+e AS (SELECT *, len(eq) AS same, len(list_filter(range(1, len(eq) - {STRETCH_WORDS - 2}), lambda i:
+             len(list_filter(range({STRETCH_WORDS}, len(eq) - i + 2), lambda m:
+                 m >= {STRETCH_SHARE}::DOUBLE * (eq[i + m - 1] - eq[i] + 1))) > 0)) > 0 AS dense FROM p),
+v AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY same DESC, shift, n DESC) AS best
+      FROM e WHERE dense OR same >= {ITEM_SHARE} * n)
 SELECT doc_id, item_id, shift::BIGINT AS first_word, n::BIGINT AS item_words, same::BIGINT AS equal_words,
        same / n AS overlap
 FROM v WHERE best = 1

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,41 @@ def test_leaks_of_repeated_rows(spark, docs_of):
 def test_masks_of_unequal_length_are_refused(docs_of):
     with pytest.raises(ValueError, match="length"):
         decontam.seeds(docs_of((1, "x")).withColumn("w", F.array(F.lit("x"))), ("101", "1101"))
+
+
+def test_needed_hits_by_enumeration():
+    least = decontam.least_hits(decontam.MASKS, 14)
+    ones = [[j for j, bit in enumerate(m) if bit == "1"] for m in decontam.MASKS]
+    for n in range(1, 13):
+        for k in range(n + 1):
+            fewest = min(
+                sum(all(p + j in s for j in m) for m in ones for p in range(n))
+                for s in map(set, itertools.combinations(range(n), k))
+            )
+            assert least[n][k] == fewest, (n, k)
+    needed = decontam.needed_hits()
+    assert [needed[n] for n in (9, 15, 17, 18, 60)] == [1, 2, 3, 1, 8] and needed[12] == 0
+
+
+def test_decontamination_equals_its_sql_on_split_copies(spark, docs_of):
+    """Runs of one item far apart, at the text's end, in mixed order, and near the limits."""
+    rnd = random.Random(8)
+    item = [[f"i{n}w{j}" if j % 7 else "of" for j in range(n)] for n in (9, 13, 17, 18, 40, 120)]
+    other = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    long = item[-1]
+    docs = [long[:25] + other(70) + long[95:], other(5) + long[:14] + other(97) + long[111:], long[60:], long[-13:], long[:12]]
+    for _ in range(120):
+        words = list(rnd.choice(item))
+        for j in range(len(words)):
+            if rnd.random() < rnd.choice([0.2, 0.45, 0.55]):
+                words[j] = f"y{j}"
+        docs.append(other(rnd.randrange(4)) + words + other(rnd.randrange(3)))
+    documents = docs_of(*[(i, " ".join(w)) for i, w in enumerate(docs)], (900, None), (901, ""))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(item)] + [(7, None), (8, "a b c")], "item_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", documents.toPandas())
+    db.register("benchmark", items.toPandas())
+    want = sorted(tuple(r) for r in db.sql(decontam.DECONTAM_SQL).fetchall())
+    got = rows(decontam.contaminated(documents, items), "doc_id", "item_id", "first_word", "item_words", "equal_words", "overlap")
+    assert sorted(got) == want
+    assert {(0, 5), (2, 5), (3, 5)} <= {r[:2] for r in want} and (4, 5) not in {r[:2] for r in want} and len(want) > 40

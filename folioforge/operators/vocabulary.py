@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,45 +156,122 @@ def glossary_table(spark: SparkSession, text: str) -> DataFrame:
     )
 
 
+_WORD, _NO_WORD = "[a-z0-9_]", "[^a-z0-9_]"
+
+
+def _term_parts(terms: DataFrame) -> DataFrame:
+    """Distinct lower-cased terms, taken apart: ``core`` from the first word to the last,
+    what stands before and after it, its words (0: none), and whether two occurrences can
+    overlap, that is whether the term ends as it begins."""
+    term = F.col("__term")
+    core = F.regexp_extract(term, f"(?s){_WORD}(?:.*{_WORD})?", 0)
+    begins_as_it_ends = F.exists(
+        F.sequence(F.lit(1), F.length(term) - 1), lambda n: F.left(term, n) == F.right(term, n)
+    )
+    return (
+        terms.select(F.lower("term").alias("__term"))
+        .where("__term <> ''")
+        .distinct()
+        .select(
+            "__term",
+            core.alias("__core"),
+            F.size(F.regexp_extract_all(term, F.lit(f"{_WORD}+"), 0)).alias("__n"),
+            F.regexp_extract(term, f"(?s)^{_NO_WORD}*", 0).alias("__head"),
+            F.regexp_extract(term, f"(?s){_NO_WORD}*$", 0).alias("__tail"),
+            (F.when(F.length(term) > 1, begins_as_it_ends).otherwise(False)).alias("__overlaps"),
+        )
+    )
+
+
+def _word_grams(lengths: Sequence[int]) -> Column:
+    """All runs of so many words of ``__words`` with the ``__gaps`` inside them, each with its
+    first word's place and the gaps around it."""
+
+    def of_length(n: int) -> Column:
+        def gram(i: Column) -> Column:
+            inside = [
+                x for j in range(n) for x in ((F.get("__gaps", i + j),) if j else ()) + (F.get("__words", i + j),)
+            ]
+            return F.struct(
+                F.concat(*inside).alias("gram"),
+                i.alias("at"),
+                F.get("__gaps", i).alias("before"),
+                F.get("__gaps", i + n).alias("after"),
+            )
+
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("__words") - n, F.lit(0))), lambda i: i + n <= F.size("__words"))
+        return F.transform(places, gram)
+
+    return F.concat(*[of_length(n) for n in lengths])
+
+
+def _pieces(n: int) -> Column:
+    """All pieces of ``n`` characters of ``__gap`` (one shorter piece if it has fewer)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__gap") - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring("__gap", i, F.lit(n)))
+
+
 def _relation_hits(
     df: DataFrame, terms: DataFrame, *, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text"
 ) -> DataFrame:
     """(ids, term, count) for terms that come as a table, whole words, whatever case.
 
-    A term can only occur where its first word does: the distinct words of each document
-    are joined to the first words of the terms, and only the terms found that way are
-    counted in the text.  Nothing is collected and no side has a size limit.
+    Every run of words as long as some term is joined to the terms' text from first word to
+    last, so an occurrence is a row of the join: there is no pattern, and neither the text
+    nor its words are shuffled as long as the terms are small enough for Spark to broadcast.
+    Signs before or after a term are compared with the gap there. A term of signs alone can
+    only stand in a gap, and is joined to the gaps' own pieces. Only the different lengths
+    of the terms come to the driver.
     """
-    word, edge = "[^a-z0-9_]+", "[a-z0-9_]"
-    first = F.coalesce(F.get(F.array_remove(F.split("__term", word), ""), F.lit(0)), F.lit(""))
-    known = terms.select(F.lower("term").alias("__term")).where("__term <> ''").distinct()
-    known = known.withColumn("__first", first)
-    texts = df.select(
-        *id_cols, F.lower(F.coalesce(text_col, F.lit(""))).alias("__low")
-    ).withColumn("__key", F.xxhash64("__low"))
-    seen = texts.select(
-        *[F.col(c).alias(f"__{c}") for c in id_cols],
-        F.col("__key").alias("__seen"),
-        F.explode(F.array_distinct(F.array_append(F.split("__low", word), ""))).alias("__word"),
-    ).join(known, F.col("__word") == F.col("__first"))
-    wanted = seen.groupBy(*[f"__{c}" for c in id_cols], "__seen").agg(
-        F.collect_set("__term").alias("__terms")
-    )
-    same = F.col("__key") == F.col("__seen")
-    for c in id_cols:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    quoted = F.concat(
-        F.lit("\\Q"), F.replace("__term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
-    )
-    before = F.when(F.rlike(F.substring("__term", 1, 1), F.lit(edge)), f"(?<!{edge})").otherwise("")
-    after = F.when(F.rlike(F.right("__term", F.lit(1)), F.lit(edge)), f"(?!{edge})").otherwise("")
-    return (
-        texts.join(wanted, same)
-        .select(*id_cols, "__low", F.explode("__terms").alias("__term"))
-        .withColumn("count", F.regexp_count("__low", F.concat(before, quoted, after)))
-        .where("count > 0")
-        .select(*id_cols, F.col("__term").alias("term"), "count")
+    known = _term_parts(terms)
+    # lengths in words, and of terms without one in characters
+    lengths = known.select(F.col("__n"), F.when(F.col("__n") == 0, F.length("__term")).alias("signs")).distinct().collect()
+    words = sorted({r["__n"] for r in lengths if r["__n"]})
+    signs = sorted({r["signs"] for r in lengths if not r["__n"]})
+    ids = [F.col(c).alias(f"__id{i}") for i, c in enumerate(id_cols)]
+    own = [f"__id{i}" for i in range(len(id_cols))]
+    low = F.lower(F.coalesce(text_col, F.lit("")))
+    # a row is what is counted, whether or not its ids are repeated
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), *ids, low.alias("__low")).select(
+        "__row",
+        *own,
+        F.regexp_extract_all("__low", F.lit(f"{_WORD}+"), 0).alias("__words"),
+        F.split("__low", f"{_WORD}+").alias("__gaps"),
     )
+    found = []
+    if words:
+        grams = rows.select("__row", *own, F.explode(_word_grams(words)).alias("g")).select("__row", *own, "g.*")
+        here = (F.col("gram") == F.col("__core")) & F.col("before").endswith(F.col("__head"))
+        hits = grams.join(known.where("__n > 0"), here & F.col("after").startswith(F.col("__tail")))
+        place = F.struct("at", F.length("before").alias("gap"))
+        counted = hits.groupBy("__row", *own, "__term", "__n", "__head", "__tail").agg(
+            F.count(F.lit(1)).alias("all"),
+            F.sort_array(F.collect_list(F.when(F.col("__overlaps"), place))).alias("places"),
+        )
+        room = F.length("__head") + F.length("__tail")
+
+        def apart(acc: Column, p: Column) -> Column:
+            # from left to right, as a search would go on behind each occurrence
+            free = acc["n"] == 0
+            free = free | (p["at"] > acc["end"]) | ((p["at"] == acc["end"]) & (p["gap"] >= room))
+            taken = F.struct((acc["n"] + 1).alias("n"), (p["at"] + F.col("__n")).alias("end"))
+            return F.when(free, taken).otherwise(acc)
+
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+        count = F.when(F.size("places") > 0, F.aggregate("places", start, apart)["n"]).otherwise(F.col("all"))
+        found.append(counted.select(*own, "__term", count.cast("int").alias("count")))
+    if signs:
+        pieces = F.array_distinct(F.concat(*[_pieces(n) for n in signs]))
+        gaps = rows.select("__row", *own, F.explode("__gaps").alias("__gap")).where("__gap <> ''")
+        of_gaps = gaps.select("__row", *own, "__gap", F.explode(pieces).alias("__piece"))
+        times = (F.length("__gap") - F.length(F.replace("__gap", "__term", F.lit("")))) / F.length("__term")
+        in_gaps = of_gaps.join(known.where("__n = 0"), F.col("__piece") == F.col("__term"))
+        counted = in_gaps.groupBy("__row", *own, "__term").agg(F.sum(times).cast("int").alias("count"))
+        found.append(counted.select(*own, "__term", "count"))
+    if not found:
+        found.append(rows.select(*own, F.lit("").alias("__term"), F.lit(0).alias("count")).where(F.lit(False)))
+    named = [F.col(o).alias(c) for o, c in zip(own, id_cols, strict=True)]
+    return reduce(DataFrame.unionByName, found).select(*named, F.col("__term").alias("term"), "count")
 
 
 def glossary_hits(df: DataFrame, glossary: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,43 @@ def test_layers_of_rules_that_feed_each_other(spark):
         _in_order(spark, texts, some)
 
 
+def _plain_hits(text, terms):
+    """As a search for the literal would count, edges of words kept whole."""
+    out = {}
+    for term in {t.lower() for t in terms if t}:
+        left = r"(?<![a-z0-9_])" if re.match("[a-z0-9_]", term[0]) else ""
+        right = r"(?![a-z0-9_])" if re.match("[a-z0-9_]", term[-1]) else ""
+        n = len(re.findall(left + re.escape(term) + right, text.lower()))
+        if n:
+            out[term] = n
+    return out
+
+
+def test_glossary_hits_equal_a_search(spark):
+    rng = random.Random(6)
+    terms = ["a", "a a", "a b a", "b-c", "(a)", "!a!", "-a-a-", "!!", "!", "C++", "é", "éa", "d  e", "", "a, b", "x_1", "..a", "b.", "A"]
+    bits = ["a", "b", "c", "A", "d", "e", "é", "x_1", "!", "!!", "-", "(", ")", "++", ".", "..", ", ", " ", "  ", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(300)] + ["", "!!!!!", "a a a a a"]
+    texts += ["-a-a-a-a-", "!a!a!", None]
+    df = spark.createDataFrame([(i % 300, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    table = spark.createDataFrame([("c", t, "", []) for t in terms], "category string, term string, definition string, never_use array<string>")
+    got = sorted((r.doc_id, r.term, r["count"]) for r in glossary_hits(df, table).collect())
+    want = sorted((i % 300, term, n) for i, t in enumerate(texts) for term, n in _plain_hits(t or "", terms).items())
+    assert got == want
+    plan = glossary_hits(df, table)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_count" not in plan
+    assert glossary_hits(df, table.limit(0)).count() == 0
+
+
+def test_glossary_of_many_terms(spark):
+    many = spark.range(100_000).select(
+        F.lit("c").alias("category"), F.format_string("term %d x", "id").alias("term"), F.lit("").alias("definition"),
+        F.array().cast("array<string>").alias("never_use"),
+    )
+    df = spark.createDataFrame([(1, "Term 7 x, term 99999 x; term 100000 x and term 7 x")], "doc_id int, text string")
+    assert sorted((r.term, r["count"]) for r in glossary_hits(df, many).collect()) == [("term 7 x", 2), ("term 99999 x", 1)]
+
+
 def test_functions_keep_their_place_and_their_audit(spark):
     book = R.RuleBook.of(
         R.Rule("one", "11", "one"),

@@ -7,6 +7,9 @@ document whose middle still lies within the rest.
 
 The prefix sum is never taken over a whole source: keys fall into ordered buckets whose
 totals are added up first, and only the bucket in which a source's budget ends is sorted.
+Buckets are equal steps of the key's logarithm. A weight only shifts that logarithm, so
+whatever the weights are, no bucket is expected to hold more than 1 of 4077 documents of a
+source, and a source has some ten thousands of buckets at most.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; a null source is a
 source of its own and comes last; rows that repeat id and text share their key and their
@@ -25,8 +28,8 @@ from folioforge.llm.common import n_words, staged, table
 from folioforge.llm.registry import query
 
 #: Weights of the sources in order of their names, repeating; share of all words that the
-#: mix holds; most epochs of a source; seed; key buckets per source.
-WEIGHTS, SHARE, MOST, SEED, BUCKETS = (5, 2, 1), (3, 2), 2, 17, 4096
+#: mix holds; most epochs of a source; seed; key buckets for each factor of e in the key.
+WEIGHTS, SHARE, MOST, SEED, BUCKETS = (5, 2, 1), (3, 2), 2, 17, 1500
 SYMBOLS = "#*$%&|<>!"
 
 
@@ -52,6 +55,11 @@ def measured(docs: DataFrame, seed: int = SEED, weight: Column | None = None) ->
     )
 
 
+def key_bucket(buckets: int) -> Column:
+    """Number of the ordered bucket a key lies in."""
+    return F.floor(F.log("mix_key") * buckets)
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST
 ) -> DataFrame:
@@ -92,7 +100,7 @@ def source_cuts(sized: DataFrame, buckets: int = BUCKETS, **targets) -> DataFram
 
     ``sized`` holds source, size, mix_key, mix_tie; it is read three times.
     """
-    bucketed = sized.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("mix_key"))) * buckets))
+    bucketed = sized.withColumn("bucket", key_bucket(buckets))
     totals = staged(bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     plan = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), **targets)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -144,7 +152,7 @@ def source_cuts(sized: DataFrame, buckets: int = BUCKETS, **targets) -> DataFram
 
 def mix(sized: DataFrame, cuts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``sized`` (see :func:`measured`) plus source_size, target, copies and taken."""
-    bucket = F.floor((1.0 - F.exp(-F.col("mix_key"))) * buckets)
+    bucket = key_bucket(buckets)
     below = (bucket < F.col("cut_bucket")) | (
         (F.col("mix_key") < F.col("cut_key"))
         | ((F.col("mix_key") == F.col("cut_key")) & (F.col("mix_tie") <= F.col("cut_tie")))

@@ -184,6 +184,14 @@ def test_mix_buckets_do_not_matter(docs_of):
     assert took[0] == took[1] == took[2]
 
 
+@pytest.mark.parametrize("weight", [0.01, 0.36, 1.0])
+def test_no_bucket_is_crowded_whatever_the_weights(spark, weight):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("a").alias("source"))
+    keys = mixing.measured(docs, weight=F.lit(weight))
+    crowd = keys.groupBy(mixing.key_bucket(mixing.BUCKETS)).count().agg(F.max("count")).first()[0]
+    assert crowd < 40  # expected at the peak: 10
+
+
 def test_mixed_documents_keep_columns(docs_of):
     docs = docs_of(*[(i, "w " * 5, "en", "a") for i in range(40)], *[(100 + i, "w " * 5, "en", "b") for i in range(40)], clash=True)
     got = mixing.mixed_documents(docs)

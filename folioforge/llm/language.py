@@ -12,7 +12,6 @@ Rows are judged one by one, so repeated rows and extra columns do not matter.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +30,14 @@ LONGEST, PROFILE = 3, 400
 FOLDS, HELD_OUT = 4, 2
 NO_LANGUAGE = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numerals such as a half or a Roman six are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class LanguageProfiles:
     languages: list[str]
@@ -64,7 +67,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fit_profiles(sample: list[tuple[str, str]]) -> LanguageProfiles | None:
     totals: dict[str, dict[int, int]] = {}
     for text, language in sample:
-        if not _LETTER.search(text):
+        if not has_letter(text):
             continue
         own = totals.setdefault(language, {})
         for code, n in zip(*(a.tolist() for a in gram_counts(text)), strict=True):
@@ -104,7 +107,7 @@ def language_of(text: Column, profiles: LanguageProfiles | None) -> Column:
         for batch in batches:
             names, scores = [], []
             for text in batch:
-                if text is None or not _LETTER.search(text):
+                if text is None or not has_letter(text):
                     names.append(NO_LANGUAGE)
                     scores.append(0.0)
                     continue

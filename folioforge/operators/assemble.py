@@ -11,9 +11,9 @@ one group:
    documents with more than one block pass these summaries (not the text) through a
    streaming fold in document order, which yields the entry of every block.
 3. A document of one block is finished there: its texts are shuffled once.  The blocks
-   of longer documents are joined per ``part``: a document longer than ``part_chars``
-   comes out as several consecutive ``part`` rows whose texts, joined with the
-   separator, are the whole.
+   of longer documents are joined per ``part``: if the caller gives ``part_chars``, a
+   longer document comes out as several consecutive ``part`` rows whose texts, joined
+   with the separator, are the whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let, sentences, trim_ws, word_count
 
 BLOCK_ROWS = 256
-PART_CHARS = 64_000_000
+#: More characters than a row can hold: no document is cut into parts.
+ONE_ROW = 1 << 31
 
 
 def _take(arr: Column, n: int) -> Column:
@@ -109,10 +110,12 @@ def assemble(
     max_overlap: int = 2,
     trim: bool = True,
     block_rows: int = BLOCK_ROWS,
-    part_chars: int = PART_CHARS,
+    part_chars: int | None = None,
 ) -> DataFrame:
     """(id, part, text, pieces): ordered join of the rows of every id.
 
+    A document is one row, unless ``part_chars`` asks for parts of about that length.
+
     ``order_col`` is an integer that is unique within an id.  Blank rows are skipped; a
     document of one row keeps its text untouched when ``trim`` is set.
     """
@@ -155,7 +158,7 @@ def assemble(
         ).alias("chars"),
         *_block_edges(max_overlap),
     )
-    entries = _fold_blocks(summary, ids, max_overlap, part_chars)
+    entries = _fold_blocks(summary, ids, max_overlap, part_chars or ONE_ROW)
 
     def joined_text(entry: Column) -> Column:
         """Text of one block; null when the block has no piece."""

@@ -19,15 +19,13 @@ from ..functions.text import preview, trim_ws, word_count
 from ..operators.assemble import assemble, assemble_chunks
 from ..operators.chunk import blank_documents, chunk_documents
 from ..operators.enforce import enforce, enforced_text, preserve_macrons
+from ..operators.ledger import HASH, OUTPUT, with_finished
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
 from ..session import cut_lineage
 
 Model = Callable[[DataFrame], DataFrame] | DataFrame
 
-#: More than a row can hold: documents are never cut into parts.
-ONE_ROW = 1 << 31
-
 INSTRUCTIONS = {
     "translator": "Translate the following text. Output only <translation> and <flags>.",
     "smoother": "Smooth the following passage. Output only <smoothed>.",
@@ -40,6 +38,8 @@ class FlowResult:
     documents: DataFrame
     chunks: DataFrame
     rejects: DataFrame
+    #: By page: the pages this run finished, also those of failed jobs, as ledger rows.
+    pages: DataFrame | None = None
 
 
 def build_requests(
@@ -212,8 +212,7 @@ def translate_flow(
         "fallback",
         "restored",
     )
-    # a document is enforced and counted as a whole, so it stays one row
-    joined = assemble_chunks(done, id_col=id_col, text_col="translation", part_chars=ONE_ROW)
+    joined = assemble_chunks(done, id_col=id_col, text_col="translation")
     totals = done.groupBy(*keys).agg(
         F.max("chunk_count").alias("chunk_count"), F.sum(F.size("flags")).alias("flags_count")
     )
@@ -253,73 +252,93 @@ def transliterate_flow(
     profile: str = "full",
     lenient: bool | str | None = None,
     materialise: bool = True,
+    finished: DataFrame | None = None,
     **chunking,
 ) -> FlowResult:
     """Transliterate documents, or pages that are joined to one document per job.
 
-    By page, a page of one chunk is taken as it is; a failed page fails its job.
+    By page, a page of one chunk is taken as it is; a failed page fails its job.  Pages
+    that ``finished`` holds (see :mod:`..operators.ledger`) never reach the model: their
+    stored output goes into the job's text as it is, and ``chunk_count`` counts the chunks
+    of the other pages.  A page that is blank now but has a stored output keeps it.
     """
     rules = book or RuleBook.default()
-    keys = [id_col] if by == "document" else [id_col, page_col]
-    mode = (by == "page") if lenient is None else lenient
-    chunks = chunk_documents(df, id_col=keys, text_col=text_col, **chunking).drop("words")
+    by_page = by == "page"
+    if finished is not None and not by_page:
+        raise ValueError("only pages can be resumed")
+    keys = [id_col, page_col] if by_page else [id_col]
+    piece, todo = keys, df
+    if by_page:
+        piece = [*keys, HASH]
+        df = with_finished(df, finished, keys, text_col=text_col)
+        todo = df.filter(F.col(OUTPUT).isNull())
+    chunks = chunk_documents(todo, id_col=piece, text_col=text_col, **chunking).drop("words")
     answered = _stage(
         chunks,
         "transliterator",
         model,
         keys=keys,
         text_col="text",
-        lenient=mode,
+        lenient=by_page if lenient is None else lenient,
         materialise=materialise,
     )
-    failed = _failed(answered, keys)
-    if by == "page":
-        failed = failed.groupBy(id_col).agg(F.min_by("error", page_col).alias("error"))
-    good = answered.filter(F.col("out_error").isNull()).join(failed, id_col, "left_anti")
-    done = good.select(
-        *keys,
+    broken = failed = _failed(answered, keys)
+    if by_page:
+        failed = broken.groupBy(id_col).agg(F.min_by("error", page_col).alias("error"))
+    good = answered.filter(F.col("out_error").isNull()).join(broken, keys, "left_anti")
+    whole = good.select(
+        *piece,
         "chunk_index",
         "chunk_count",
         F.col("text").alias("original"),
         enforced_text("out", rules, profile).alias("transliteration"),
     )
-    joined = assemble_chunks(done, id_col=keys, text_col="transliteration", part_chars=ONE_ROW)
-    if by == "page":
-        pages = joined.withColumn(
+    joined = assemble_chunks(whole, id_col=piece, text_col="transliteration")
+    done, pages = whole.drop(HASH), None
+    if by_page:
+        done = done.join(failed, id_col, "left_anti")
+        joined = joined.withColumn(
             "text",
             F.when(F.col("pieces") > 1, enforced_text("text", rules, profile)).otherwise(
                 F.col("text")
             ),
         )
+        pages = joined.select(*piece, F.col("text").alias(OUTPUT))
         if materialise:  # finished pages are an output of their own and feed the job text
             pages = cut_lineage(pages)
+        stored = df.filter(F.col(OUTPUT).isNotNull()).select(*piece, OUTPUT)
         joined = assemble(
-            pages.withColumn("__at", F.col(page_col).cast("long") * 1_000_000 + F.col("part")),
+            pages.unionByName(stored)
+            .withColumnRenamed(OUTPUT, "text")
+            .withColumn(page_col, F.col(page_col).cast("long"))
+            .join(failed, id_col, "left_anti"),
             id_col=id_col,
-            order_col="__at",
+            order_col=page_col,
             max_overlap=0,
             trim=False,
-            block_rows=256_000_000,
-            part_chars=ONE_ROW,
         )
     counts = done.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunk_count"))
     documents = (
         enforce(joined, rules, profile, audit=True)
-        .join(counts, id_col)
-        .select(id_col, "part", F.col("text").alias("output"), "chunk_count", "total_fixes")
+        .join(counts, id_col, "left" if by_page else "inner")
+        .select(
+            id_col,
+            "part",
+            F.col("text").alias("output"),
+            F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
+            "total_fixes",
+        )
     )
-    if by == "page":  # a job of blank pages alone is done, with an empty text
-        some_text = F.max(trim_ws(F.coalesce(text_col, F.lit(""))) != "").alias("__some")
-        blank = df.groupBy(id_col).agg(some_text).where(~F.col("__some"))
+    if by_page:  # a job of blank pages alone is done, with an empty text
+        has_text = (trim_ws(F.coalesce(text_col, F.lit(""))) != "") | F.col(OUTPUT).isNotNull()
+        blank = df.groupBy(id_col).agg(F.max(has_text).alias("__some")).where(~F.col("__some"))
         types = {f.name: f.dataType for f in documents.schema.fields}
         none = {"part": F.lit(0), "output": F.lit(""), "chunk_count": F.lit(0), "total_fixes": F.lit(0)}
         documents = documents.unionByName(
             blank.select(id_col, *[c.cast(types[n]).alias(n) for n, c in none.items()])
         )
-    rejected = failed
-    if by == "document":
-        rejected = _rejects(df, keys, text_col, failed, "transliterate")
-    return FlowResult(documents, done, rejected)
+    rejected = failed if by_page else _rejects(df, keys, text_col, failed, "transliterate")
+    return FlowResult(documents, done, rejected, pages)
 
 
 def chunk_progress(chunks: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import state, transitions
 from ..operators.assemble import assemble_book, assemble_chunks, assemble_pages, final_word_count
 from ..operators.chunk import chunk_documents
+from ..operators.ledger import finished_pages, read_ledger, record_pages
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
 from ..session import scratch_path
@@ -134,20 +135,19 @@ def _pages(spark, sf_dir):
 @query(
     "assemble_book",
     """
-    select concat('lang-', lang) as book_id, sum(length(text))::bigint + 2 * (count(*) - 1) as n_chars,
-      count(*) as pieces
+    select concat('lang-', lang) as book_id, md5(string_agg(text, E'\\n\\n' order by doc_id)) as text_hash,
+      sum(length(text))::bigint + 2 * (count(*) - 1) as n_chars, count(*) as pieces
     from documents where text <> '' group by lang
     """,
 )
 def _book(spark, sf_dir):
-    """Documents of one language as the chapters of one book (part rows are summed up)."""
+    """Documents of one language as the chapters of one book."""
     chapters = load(spark, sf_dir, "documents").select(
         F.concat(F.lit("lang-"), "lang").alias("book_id"), "doc_id", F.col("text").alias("output")
     )
-    parts = assemble_book(chapters, chapter_col="doc_id")
-    return parts.groupBy("book_id").agg(
-        (F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("n_chars"),
-        F.sum("pieces").alias("pieces"),
+    books = assemble_book(chapters, chapter_col="doc_id")
+    return books.select(
+        "book_id", F.md5("text").alias("text_hash"), F.length("text").alias("n_chars"), "pieces"
     )
 
 
@@ -346,6 +346,61 @@ def _by_page(spark, sf_dir):
     return flow.documents.select("job_id", F.md5("output").alias("output_hash"), "chunk_count")
 
 
+@query(
+    "transliterate_flow_resumed",
+    f"""
+    with {PG} select job_id,
+      md5(string_agg(coalesce(transliterated_text, source_text), E'\\n\\n' order by page_num)) as output_hash,
+      count(*) filter (transliterated_text is null) as chunk_count
+    from job_pages group by job_id
+    """,
+)
+def _resumed(spark, sf_dir):
+    """Pages with a stored result are not sent again; ``chunk_count`` counts the requests."""
+    pages = standin(spark, sf_dir, "job_pages")
+    stored = finished_pages(pages, ["job_id", "page_num"], output_col="transliterated_text")
+    flow = transliterate_flow(
+        pages.withColumnRenamed("source_text", "text"),
+        echo_model,
+        by="page",
+        id_col="job_id",
+        finished=stored,
+    )
+    return flow.documents.select("job_id", F.md5("output").alias("output_hash"), "chunk_count")
+
+
+@query(
+    "transliterate_flow_second_run",
+    f"""
+    with {PG},
+    p as (select job_id, page_num, case when page_num = 5 then concat(source_text, ' Mended.') else source_text end as text
+          from job_pages)
+    select job_id, md5(string_agg(text, E'\\n\\n' order by page_num)) as output_hash,
+      count(*) filter (page_num in (2, 5)) as chunk_count
+    from p group by job_id
+    """,
+)
+def _second_run(spark, sf_dir):
+    """The first run gets no answer for any page 2 and is recorded twice; before the second
+    run every page 5 changes.  Only pages 2 and 5 reach the model again."""
+    pages = standin(spark, sf_dir, "job_pages").withColumnRenamed("source_text", "text")
+    options = {"by": "page", "id_col": "job_id"}
+
+    def forgetful(requests: DataFrame) -> DataFrame:
+        answer = F.when(F.col("page_num") == 2, "").otherwise(F.col("raw"))
+        return echo_model(requests).withColumn("raw", answer)
+
+    path = scratch_path(spark, "ledger")
+    first = transliterate_flow(pages, forgetful, **options)
+    for _ in range(2):
+        record_pages(first.pages, path, "first")
+    mended = F.when(F.col("page_num") == 5, F.concat("text", F.lit(" Mended."))).otherwise(F.col("text"))
+    flow = transliterate_flow(
+        pages.withColumn("text", mended), echo_model, finished=read_ledger(spark, path), **options
+    )
+    return flow.documents.select("job_id", F.md5("output").alias("output_hash"), "chunk_count")
+
+
 @query(
     "response_table_flow",
     f"""

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge.operators.ledger import latest, read_ledger, record_pages, with_finished
 from folioforge.operators.state import rate_limit
 from folioforge.plans.flows import (
     batch_model,
@@ -154,6 +156,65 @@ def test_a_job_of_blank_pages_is_done_with_an_empty_text(spark):
     assert out.rejects.count() == 0
 
 
+def test_finished_pages_are_not_sent_again(spark, tmp_path):
+    ddl = "doc_id string, page_num int, text string"
+    pages_in = [("j", 1, "one"), ("j", 2, "two"), ("j", 3, " "), ("k", 1, "bad"), ("k", 2, "good"), ("n", 1, None)]
+    sent = str(tmp_path / "sent")
+
+    def answer_but(refused: str):
+        def answer(prompts: pd.Series) -> pd.Series:
+            texts = prompts.str.split("SOURCE:\n").str[-1]
+            texts.to_frame("t").to_json(f"{sent}-{uuid.uuid4().hex}", orient="records", lines=True)
+            return texts.map(lambda t: "" if t == refused else f"<transliteration>{t.upper()}</transliteration>")
+
+        return batch_model(answer)
+
+    def seen() -> list[str]:
+        found = [f for f in tmp_path.glob("sent-*")]
+        texts = sorted(t for f in found for t in pd.read_json(f, lines=True, dtype=str).get("t", []))
+        for f in found:
+            f.unlink()
+        return texts
+
+    path = str(tmp_path / "ledger")
+    first = transliterate_flow(spark.createDataFrame(pages_in, ddl), answer_but("bad"), by="page")
+    assert {r.doc_id: r.output for r in first.documents.collect()} == {"j": "ONE\n\nTWO", "n": ""}
+    assert [r.doc_id for r in first.rejects.collect()] == ["k"]
+    for _ in range(2):  # a repeated write replaces the first
+        record_pages(first.pages, path, "1")
+    assert seen() == ["bad", "good", "one", "two"]
+    assert read_ledger(spark, path).count() == 3
+
+    changed = [(d, n, "two again" if t == "two" else t) for d, n, t in pages_in]
+    again = transliterate_flow(
+        spark.createDataFrame(changed, ddl), answer_but("-"), by="page", finished=read_ledger(spark, path)
+    )
+    done = {r.doc_id: (r.output, r.chunk_count) for r in again.documents.collect()}
+    assert done == {"j": ("ONE\n\nTWO AGAIN", 1), "k": ("BAD\n\nGOOD", 1), "n": ("", 0)}
+    assert seen() == ["bad", "two again"]
+    record_pages(again.pages, path, "2")
+
+    third = transliterate_flow(
+        spark.createDataFrame(changed, ddl), answer_but("-"), by="page", finished=read_ledger(spark, path)
+    )
+    assert {r.doc_id: (r.output, r.chunk_count) for r in third.documents.collect()} == {
+        "j": ("ONE\n\nTWO AGAIN", 0), "k": ("BAD\n\nGOOD", 0), "n": ("", 0),
+    }
+    assert seen() == [] and third.pages.count() == 0
+
+
+def test_ledger_rows(spark):
+    rows = [("1", "a", 1, "h", "old"), ("2", "a", 1, "h", "new"), ("2", "a", 1, "g", "other"), ("1", "a", 2, "h", " ")]
+    ledger = spark.createDataFrame(rows, "run string, doc_id string, page_num int, text_hash string, output string")
+    kept = {(r.page_num, r.text_hash): r.output for r in latest(ledger, ["doc_id", "page_num"]).collect()}
+    assert kept == {(1, "h"): "new", (1, "g"): "other"}  # the last run; blank results are no results
+    pages_in = spark.createDataFrame([(None, 1, "x"), ("a", None, None)], "doc_id string, page_num int, text string")
+    found = with_finished(pages_in, ledger, ["doc_id", "page_num"])
+    assert found.count() == 2 and found.where("output is not null").count() == 0
+    with pytest.raises(ValueError, match="only pages"):
+        transliterate_flow(pages_in, pages_in, finished=ledger)
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Conf:
         def get(self, key, default=None):

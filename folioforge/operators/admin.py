@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import ACTIVE_STATUSES, JOB_STATUSES, TRANSLIT_STATUSES
-from .history import text_search
+from .search import head, text_search
 
 
 def job_limit(limit: int | None) -> int:
@@ -90,7 +90,8 @@ def day_stats(jobs: DataFrame, as_of: datetime | Column) -> DataFrame:
     )
 
 
-def search_jobs(jobs: DataFrame, needle: str) -> DataFrame:
+def search_jobs(jobs: DataFrame, needle: str, *, text_chars: int | None = 200) -> DataFrame:
+    """Jobs by e-mail, titles and the first characters of the text (None: the whole)."""
     return text_search(
         jobs,
         needle,
@@ -98,7 +99,7 @@ def search_jobs(jobs: DataFrame, needle: str) -> DataFrame:
             F.col("email"),
             F.col("input.chapterTitle"),
             F.col("input.bookTitle"),
-            F.substring("input.text", 1, 200),
+            head("input.text", text_chars),
         ],
     )
 

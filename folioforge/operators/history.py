@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank, trim_ws
+from .search import head, text_search
 
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 50
@@ -55,27 +56,27 @@ def history_page(
     )
 
 
-def text_search(df: DataFrame, needle: str, fields: Sequence[Column]) -> DataFrame:
-    """Case-insensitive substring search over several fields joined by blanks."""
-    wanted = needle.strip().lower()
-    if not wanted:
-        return df
-    parts = [F.coalesce(f, F.lit("")) for f in fields]
-    return df.filter(F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(wanted)))
-
-
-def history_search(df: DataFrame, needle: str) -> DataFrame:
-    return text_search(
-        df,
-        needle,
-        [
-            F.col("chapter_title"),
-            F.col("book_title"),
-            F.col("email"),
-            F.substring("output", 1, 400),
-            F.substring("input_preview", 1, 200),
-        ],
-    )
+def history_fields(
+    output_chars: int | None = 400, preview_chars: int | None = 200
+) -> list[Column]:
+    """What the history is searched by; None takes a text as a whole."""
+    return [
+        F.col("chapter_title"),
+        F.col("book_title"),
+        F.col("email"),
+        head("output", output_chars),
+        head("input_preview", preview_chars),
+    ]
+
+
+def history_search(
+    df: DataFrame,
+    needle: str,
+    *,
+    output_chars: int | None = 400,
+    preview_chars: int | None = 200,
+) -> DataFrame:
+    return text_search(df, needle, history_fields(output_chars, preview_chars))
 
 
 def group_books(df: DataFrame, *, id_col: str = "translation_id") -> DataFrame:

@@ -17,7 +17,8 @@ from ..operators.transitions import (
     fan_out_chapters,
     fan_out_pages,
 )
-from ..session import cut_lineage
+from ..operators.search import search_store, write_search_store
+from ..session import cut_lineage, scratch_path
 from ..sources.exports import export_training_json, export_txt
 from .registry import query, ts_text
 from .standins import load, standin, standin_sql
@@ -84,6 +85,24 @@ def _search(spark, sf_dir):
     return rows.select("translation_id", "email")
 
 
+_WHOLE = _HAY.replace("left(coalesce(output, ''), 400)", "coalesce(output, '')").replace(
+    "left(coalesce(input_preview, ''), 200)", "coalesce(input_preview, '')"
+)
+
+
+@query(
+    "history_search_store",
+    f"with {TR} select translation_id, email from translations where contains({_WHOLE}, '000000012. in')",
+)
+def _search_store(spark, sf_dir):
+    """Whole texts, from a store with a trigram index."""
+    path = scratch_path(spark, "search")
+    rows = standin(spark, sf_dir, "translations")
+    fields = history.history_fields(None, None)
+    write_search_store(rows, path, fields, ["translation_id"], blocks=32)
+    return search_store(spark, path, " 000000012. IN").select("translation_id", "email")
+
+
 BOOKS_SQL = f"""
     {TR},
     o as (select *, row_number() over (partition by book_id order by coalesce(chapter_index, 0), translation_id) as rn
@@ -455,6 +474,28 @@ def _search_legacy(spark, sf_dir):
     return admin.search_jobs(rows, "chapter  in").select("conv_id", "turn")
 
 
+@query(
+    "search_jobs_whole_text",
+    """
+    select conv_id, turn from conversations
+    where contains(lower(concat_ws(' ', concat(role, '@example.org'), coalesce(text, ''))), 'e th')
+    """,
+)
+def _search_whole(spark, sf_dir):
+    """Every text as a whole, not its first characters only."""
+    rows = load(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.concat("role", F.lit("@example.org")).alias("email"),
+        F.struct(
+            F.lit("").alias("chapterTitle"),
+            F.lit(None).cast("string").alias("bookTitle"),
+            F.col("text").alias("text"),
+        ).alias("input"),
+    )
+    return admin.search_jobs(rows, "e th", text_chars=None).select("conv_id", "turn")
+
+
 @query(
     "active_topn",
     f"""

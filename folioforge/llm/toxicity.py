@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text. The ordinary one comes from
-zstandard's own trainer over windows of ordinary documents. The toxic one holds the same
-ordinary content and, before it, the words by which toxic documents stand out, so that
-the two differ in nothing but toxic text. Every window of a document is compressed with
-both; a window that the toxic dictionary makes shorter speaks for toxicity. How many
-bytes count as evidence, alone and per window, is calibrated on labelled documents that
-the dictionaries have not seen.
+Two zstandard dictionaries are trained from labelled text, both by zstandard's own
+trainer: the ordinary one on windows of ordinary documents, the toxic one on the
+stretches of toxic documents around the words by which those stand out. The toxic
+dictionary lies before the same ordinary content, so that the two compressors differ in
+nothing but toxic text. Every window of a document is compressed with both; a window that
+the toxic dictionary makes shorter speaks for toxicity. How many bytes count as evidence,
+alone and per window, is calibrated on labelled documents that the dictionaries have not
+seen.
 
 Defined cases: null and empty texts are one empty window and get the score of no
 evidence; without labels of both kinds every score is 0.5 less a little, so that nothing
@@ -33,8 +34,13 @@ from folioforge.llm.sampling import fold, labelled_sample
 
 #: Bound of the sample the model is fitted on: documents of each label, and code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 20_000
+#: Windows of ordinary documents, evenly taken from all of the sample's, that the trainer gets.
+ORDINARY_WINDOWS = 60_000
 #: Bytes of a window, step between windows, bytes of the dictionaries' parts.
-WINDOW, STEP, ORDINARY_BYTES, TOXIC_BYTES = 96, 72, 100_000, 16_000
+WINDOW, STEP, ORDINARY_BYTES, TOXIC_BYTES = 96, 72, 100_000, 2000
+#: Bytes of a toxic stretch on both sides of its word; the trainer's segment and match length for
+#: stretches so short. Chosen on training folds.
+REACH, SEGMENT, MATCH = 2, 16, 8
 #: A word marks toxic text if it has so many different neighbours in toxic documents (copies of
 #: one passage have but one) and is in so many times more of them.
 MARK_DOCS, MARK_RATIO = 4, 8
@@ -109,6 +115,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return mean, scale, w
 
 
+def _stretches(texts: list[bytes], marks: set[bytes]) -> list[bytes]:
+    """Every place of a marked word, with a little of what stands around it."""
+    return [
+        text[max(0, m.start() - REACH) : m.end() + REACH]
+        for text in texts
+        for m in _WORD.finditer(text)
+        if m.group() in marks
+    ]
+
+
+def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary trained on ``samples``; of too few to train on, their text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def fit_toxicity(sample: list[tuple[str, int]], totals: dict[int, int]) -> ToxicityModel | None:
     """Dictionaries from seven tenths of the sample, calibration on the rest; ``totals``
     says how common the labels are, so that the score is a probability for real rows."""
@@ -134,19 +158,15 @@ def fit_toxicity(sample: list[tuple[str, int]], totals: dict[int, int]) -> Toxic
             if in_toxic[word] >= min(MARK_DOCS, len(toxic)):
                 around.setdefault(word, set()).add((before, after))
     marks = {
-        w: len(c)
+        w
         for w, c in around.items()
         if len(c) >= min(MARK_DOCS, len(toxic))
         and min(len(c), in_toxic[w]) / len(toxic) > MARK_RATIO * (in_plain[w] + 0.5) / len(plain)
     }
-    phrases = [b" " + w + b" " for w in sorted(marks, key=lambda w: (marks[w], w))]
     windows = [w for text in plain for w in _windows(text)]
-    windows = windows[:: max(1, len(windows) // 60_000)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
-    except zstandard.ZstdError:  # too few windows to train on: their text itself
-        ordinary = b"".join(windows)[-ORDINARY_BYTES:] or b"        "
-    both = b"".join(phrases)[-TOXIC_BYTES:] + ordinary
+    windows = windows[:: max(1, len(windows) // ORDINARY_WINDOWS)]
+    ordinary = _trained(windows, ORDINARY_BYTES) or b"        "
+    both = _trained(_stretches(toxic, marks), TOXIC_BYTES, k=SEGMENT, d=MATCH) + ordinary
     a, b = _compressors(ordinary, both)
     rest = [(t, y) for y in (0, 1) for t in parts[False, y]]
     x = np.array([_evidence(t, a, b) for t, _ in rest])

@@ -176,6 +176,46 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.97 and right > 0.96
 
 
+TOXIC_TEXT = "\n".join(["you utter scum, get lost", "what a moron you are", "the weather is fine today"] * 9)
+
+
+def plain_toxicity(text, model):
+    """The score by its definition: every window by itself, each with compressors of its own."""
+    raw = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode()
+    saved, at = [], 0
+    while at == 0 or at < len(raw) - (toxicity.WINDOW - toxicity.STEP):
+        window = raw[at : at + toxicity.WINDOW]
+        ordinary, toxic = toxicity._compressors(model.ordinary, model.toxic)
+        saved.append(len(ordinary.compress(window)) - len(toxic.compress(window)))
+        at += toxicity.STEP
+    largest = (sorted(saved, reverse=True) + [0, 0])[:3]
+    shares = [sum(s >= level for s in saved) / len(saved) for level in toxicity.LEVELS]
+    counts = [min(6, sum(s >= level for s in saved)) for level in toxicity.LEVELS]
+    values = [*largest, sum(saved) / len(saved), *shares, *counts, math.log(len(saved))]
+    z = model.weights[-1]
+    for value, mean, scale, weight in zip(values, model.mean, model.scale, model.weights[:-1], strict=True):
+        z += (value - mean) / scale * weight
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_is_the_plain_comparison_of_windows(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    text = lambda y: " ".join(rng.choice([*vocabulary, *["scum", "moron"] * 20 * y]) for _ in range(60))
+    model = toxicity.fit_toxicity([(text(y), y) for y in (0, 1) for _ in range(60)], {0: 60, 1: 60})
+    assert b"scum" in model.toxic[: -len(model.ordinary)] and model.toxic.endswith(model.ordinary)
+    texts = [None, "", "a", "SCUM " * 30, TOXIC_TEXT, TOXIC_TEXT * 40, "é😀" * 50, *[text(y) for y in (0, 1) for _ in range(5)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.s for r in df.select("i", toxicity.toxicity_score(F.col("text"), model).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_toxicity(t, model), abs=1e-9)
+
+
+def test_few_samples_are_a_dictionary_as_they_are():
+    assert toxicity._trained([], 2000, k=toxicity.SEGMENT, d=toxicity.MATCH) == b""
+    assert toxicity._trained([b" scum "], 2000, k=toxicity.SEGMENT, d=toxicity.MATCH) == b" scum "
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     auc, right = accuracy(toxicity.toxicity(spark, sf), spark, sf, "toxic")

@@ -33,6 +33,9 @@ MASKS = ("11100", "11010", "10110", "11001", "10101", "10011")
 STRETCH_WORDS, STRETCH_SHARE, ITEM_SHARE, ITEM_WORDS = 13, 0.7, 0.5, 9
 #: Items from this length on need as many hits as the least of them.
 LONG_ITEM = 100
+#: Bits of the set that tells most documents without candidates before texts are shuffled. It
+#: has this size at any scale; a crowded set only lets more documents through.
+DOC_BITS = 1 << 21
 
 
 def _text_key() -> Column:
@@ -135,6 +138,28 @@ def _dense(at: Column) -> Column:
     return F.when(F.size(at) >= STRETCH_WORDS, F.exists(starts, fits)).otherwise(F.lit(False))
 
 
+def _doc_bit(doc_id: str, text_key: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_key), F.lit(DOC_BITS))
+
+
+def _bit_set(found: DataFrame) -> Column:
+    """The bits of ``c_id``, ``c_key`` as one array of ``DOC_BITS / 64`` longs."""
+    bit = _doc_bit("c_id", "c_key")
+    longs = found.groupBy(F.floor(bit / 64).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")
+    )
+    every = found.sparkSession.range(DOC_BITS // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    dense = every.unionByName(longs).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    return dense.agg(F.array_sort(F.collect_list(F.struct("at", "bits")))["bits"]).scalar()
+
+
+def _maybe(bits: Column, doc_id: str, text_key: str) -> Column:
+    """Whether the set may hold the document; never false if it does."""
+    bit = _doc_bit(doc_id, text_key)
+    word = F.get(bits, F.floor(bit / 64).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
     """(doc_id, text_key, item_id, first_word, item_words, equal_words, overlap) for every
     document and item it holds: where the item begins in the document, how many words it
@@ -150,6 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS
     beside = F.slice("w", start + 1, F.least(at, F.lit(0)) + F.col("f.item_words"))
     placed = (
         docs.select("doc_id", _text_key().alias("text_key"), "text")
+        .where(_maybe(_bit_set(found), "doc_id", "text_key"))
         # places found grow with the documents, so they are never broadcast
         .join(found.hint("merge"), same)
         .select("doc_id", "text_key", _tokens().alias("w"), "found")

@@ -8,8 +8,10 @@ one group:
 2. How many sentences a piece loses (0, 1 or 2) depends on the piece before it only
    through that same number.  A block is therefore summarised by what it does for each
    of the three possible entries, plus its first and last two sentences.  The few
-   documents with more than one block pass these summaries (not the text) through a
-   streaming fold in document order, which yields the entry of every block.
+   documents with more than one block pass these summaries (not the text) through two
+   levels of folds: each span of ``span_blocks`` blocks is folded by itself for every
+   possible entry, one row per span is composed in document order, and a join tells every
+   block its entry.
 3. A document of one block is finished there: its texts are shuffled once.  The blocks
    of longer documents are joined per ``part``: if the caller gives ``part_chars``, a
    longer document comes out as several consecutive ``part`` rows whose texts, joined
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let, sentences, trim_ws, word_count
 
 BLOCK_ROWS = 256
+#: Blocks whose summaries are folded by one task at a time.
+SPAN_BLOCKS = 256
 #: More characters than a row can hold: no document is cut into parts.
 ONE_ROW = 1 << 31
 
@@ -110,26 +114,45 @@ def assemble(
     max_overlap: int = 2,
     trim: bool = True,
     block_rows: int = BLOCK_ROWS,
+    span_blocks: int = SPAN_BLOCKS,
     part_chars: int | None = None,
+    totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """(id, part, text, pieces): ordered join of the rows of every id.
 
     A document is one row, unless ``part_chars`` asks for parts of about that length.
+    ``totals`` adds figures of all rows of an id, blank ones too, from the same grouping:
+    name -> (``sum`` or ``max``, column of whole numbers); not together with parts.
 
     ``order_col`` is an integer that is unique within an id.  Blank rows are skipped; a
     document of one row keeps its text untouched when ``trim`` is set.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    totals = totals or {}
+    if totals and part_chars:
+        raise ValueError("totals are of whole documents, not of parts")
     block = F.floor(F.coalesce(F.col(order_col), F.lit(0)) / F.lit(block_rows)).cast("long")
     raw = F.coalesce(F.col(text_col), F.lit(""))
     blocks = (
         df.groupBy(*ids, block.alias("block"))
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.col(order_col).alias("o"), raw.alias("t")))
+                # totals lie beside the texts, or the branches below would not share one shuffle
+                F.collect_list(
+                    F.struct(
+                        F.col(order_col).alias("o"),
+                        raw.alias("t"),
+                        *[c.cast("long").alias(f"_{n}") for n, (_, c) in totals.items()],
+                    )
+                )
             ).alias("rows")
         )
-        .select(*ids, "block", F.col("rows")["t"].alias("rows"))
+        .select(
+            *ids,
+            "block",
+            F.col("rows")["t"].alias("rows"),
+            *[_total(F.col("rows")[f"_{n}"], kind).alias(n) for n, (kind, _) in totals.items()],
+        )
     )
     kept = F.col("rows")
     if trim:
@@ -158,7 +181,7 @@ def assemble(
         ).alias("chars"),
         *_block_edges(max_overlap),
     )
-    entries = _fold_blocks(summary, ids, max_overlap, part_chars or ONE_ROW)
+    entries = _fold_blocks(summary, ids, max_overlap, part_chars or ONE_ROW, span_blocks)
 
     def joined_text(entry: Column) -> Column:
         """Text of one block; null when the block has no piece."""
@@ -175,7 +198,11 @@ def assemble(
     if trim:
         text = F.when(F.size("rows") == 1, F.element_at("rows", 1)).otherwise(text)
     short = alone.select(
-        *ids, F.lit(0).alias("part"), text.alias("text"), F.size("parts").alias("pieces")
+        *ids,
+        F.lit(0).alias("part"),
+        text.alias("text"),
+        F.size("parts").alias("pieces"),
+        *totals,
     )
     # Several blocks: finished blocks are joined per part.
     long = (
@@ -187,22 +214,30 @@ def assemble(
             F.size("parts").alias("pieces"),
             joined_text(F.col("entry")).alias("text"),
             F.when(F.size("rows") == 1, F.element_at("rows", 1)).alias("single"),
+            *totals,
         )
         .groupBy(*ids, "part")
         .agg(
             F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"),
             F.sum("pieces").cast("int").alias("pieces"),
             F.max("single").alias("single"),
+            *[(F.sum if kind == "sum" else F.max)(n).alias(n) for n, (kind, _) in totals.items()],
         )
     )
     whole = F.array_join(F.filter(F.col("blocks")["text"], lambda t: t.isNotNull()), separator)
     if trim:  # a document of one row whose order number lies beyond the first block
         only = (F.col("part") == 0) & (F.size("blocks") == 1) & F.col("single").isNotNull()
         whole = F.when(only, F.col("single")).otherwise(whole)
-    long = long.select(*ids, "part", whole.alias("text"), "pieces")
+    long = long.select(*ids, "part", whole.alias("text"), "pieces", *totals)
     return short.unionByName(long)
 
 
+def _total(values: Column, kind: str) -> Column:
+    if kind == "max":
+        return F.array_max(values)
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + F.coalesce(v, F.lit(0)))
+
+
 def _block_edges(max_overlap: int) -> list[Column]:
     if not max_overlap:
         return []
@@ -223,17 +258,94 @@ def _block_edges(max_overlap: int) -> list[Column]:
     ]
 
 
+def _entry(prev: dict | None, loss: int, row: dict) -> int:
+    """Leading sentences ``row`` loses after ``prev``, which itself lost ``loss``."""
+    if prev is None:
+        return 0
+    left = prev["n_last"] - loss
+    if left >= 2 and row["n_first"] >= 2 and prev["t2"] == row["h2"]:
+        return 2
+    return int(left >= 1 and row["n_first"] >= 1 and prev["t1"] == row["h1"])
+
+
+_EDGES = ["n_first", "h1", "h2", "n_last", "t1", "t2", "exit0", "exit1", "exit2"]
+
+
 def _fold_blocks(
-    summary: DataFrame, ids: list[str], max_overlap: int, part_chars: int
+    summary: DataFrame, ids: list[str], max_overlap: int, part_chars: int, span_blocks: int
 ) -> DataFrame:
-    """Entry and part number of every block, by one pass in (id, block) order.
+    """Entry and part number of every block.
 
-    The pass holds one block summary at a time: it streams over sorted Arrow batches.
+    Both passes hold one summary at a time: they stream over sorted Arrow batches.
     """
     fields = [f for f in summary.schema.fields if f.name in ids]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    span = F.floor(F.col("block") / F.lit(span_blocks)).cast("long")
+    spans = summary.withColumn("span", span).repartition(*ids, "span")
+    folded = spans.sortWithinPartitions(*ids, "span", "block").mapInPandas(
+        _span_fold(ids, max_overlap),
+        f"{names}, span long, block long, entries array<int>, before long, n int, "
+        "n_first int, h1 string, h2 string, n_last int, t1 string, t2 string, "
+        "exit0 int, exit1 int, exit2 int",
+    )
+    # a span's own row has no block; its ``before`` is the length of the whole span
+    whole = folded.filter(F.col("block").isNull()).drop("block", "entries")
+    starts = (
+        whole.repartition(*ids)
+        .sortWithinPartitions(*ids, "span")
+        .mapInPandas(_compose_spans(ids, max_overlap), f"{names}, span long, entry int, ahead long")
+    )
+    return (
+        folded.filter(F.col("block").isNotNull())
+        .select(*ids, "span", "block", "entries", "before")
+        .join(starts, [*ids, "span"])
+        .select(
+            *ids,
+            "block",
+            F.get("entries", F.col("entry")).alias("entry"),
+            F.floor((F.col("ahead") + F.col("before")) / F.lit(part_chars)).cast("int").alias("part"),
+        )
+    )
+
+
+def _span_fold(ids: list[str], max_overlap: int):
+    """Folds the blocks of every span for each entry its first piece may have."""
+    columns = [*ids, "span", "block", "entries", "before", "n", *_EDGES]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, last, losses, chars, n = None, None, None, [0, 0, 0], 0, 0
+
+        def whole() -> tuple:
+            none = first is None or not max_overlap
+            edges = [None] * 6 if none else [first[c] for c in _EDGES[:3]] + [last[c] for c in _EDGES[3:6]]
+            return (*key, None, None, chars, n, *edges, *(losses if not none else [0, 0, 0]))
+
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                k = (*(row[c] for c in ids), row["span"])
+                if k != key:
+                    if key is not None:
+                        out.append(whole())
+                    key, first, last, losses, chars, n = k, None, None, [0, 0, 0], 0, 0
+                entries = [0, 0, 0]
+                if max_overlap and row["n"] > 0:
+                    entries = [0, 1, 2] if first is None else [_entry(last, x, row) for x in losses]
+                    losses = [int(row[f"exit{e}"]) for e in entries]
+                    first, last = first or row, row
+                out.append((*k, row["block"], entries, chars, int(row["n"]), *[None] * len(_EDGES)))
+                chars, n = chars + int(row["chars"]), n + int(row["n"])
+            yield pd.DataFrame(out, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([whole()], columns=columns)
+
+    return fold
+
+
+def _compose_spans(ids: list[str], max_overlap: int):
+    """The entry and the length ahead of every span, from one row per span in order."""
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, prev, loss, chars = None, None, 0, 0
         for pdf in batches:
             out = []
@@ -243,19 +355,13 @@ def _fold_blocks(
                     key, prev, loss, chars = k, None, 0, 0
                 entry = 0
                 if max_overlap and row["n"] > 0:
-                    if prev is not None:
-                        left = prev["n_last"] - loss
-                        if left >= 2 and row["n_first"] >= 2 and prev["t2"] == row["h2"]:
-                            entry = 2
-                        elif left >= 1 and row["n_first"] >= 1 and prev["t1"] == row["h1"]:
-                            entry = 1
+                    entry = _entry(prev, loss, row)
                     prev, loss = row, int(row[f"exit{entry}"])
-                out.append((*k, row["block"], entry, chars // part_chars))
-                chars += int(row["chars"])
-            yield pd.DataFrame(out, columns=[*ids, "block", "entry", "part"])
+                out.append((*k, row["span"], entry, chars))
+                chars += int(row["before"])
+            yield pd.DataFrame(out, columns=[*ids, "span", "entry", "ahead"])
 
-    ordered = summary.repartition(*ids).sortWithinPartitions(*ids, "block")
-    return ordered.mapInPandas(fold, f"{names}, block long, entry int, part int")
+    return compose
 
 
 def assemble_chunks(

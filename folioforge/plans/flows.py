@@ -2,7 +2,9 @@
 
 The model is the caller's: a function from a request table to the same table with a
 ``raw`` column, or a table of responses made elsewhere.  Apart from the model every step
-is a narrow projection; one shuffle re-assembles documents.
+is a narrow projection.  One shuffle re-assembles documents and counts their chunks and
+flags; the documents that failed are a small written table, which Spark broadcasts while
+it is small.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ..operators.enforce import enforce, enforced_text, preserve_macrons
 from ..operators.ledger import HASH, OUTPUT, with_finished
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 Model = Callable[[DataFrame], DataFrame] | DataFrame
 
@@ -86,11 +88,14 @@ def apply_model(
     """Responses for requests: call the model, or join a table of responses.
 
     Model calls are expensive and feed several outputs, so their result is written once
-    to the checkpoint folder unless ``materialise`` is off.
+    to the checkpoint folder unless ``materialise`` is off.  A request may be answered
+    more than once in a table; answers that differ count as none.
     """
     if isinstance(model, DataFrame):
         on = [*keys, "chunk_index", "stage"]
-        return requests.join(model.select(*on, "raw"), on, "left")
+        # a chunk answered twice in different words has no answer; equal answers are one
+        one = F.when(F.min("raw") == F.max("raw"), F.min("raw")).alias("raw")
+        return requests.join(model.groupBy(*on).agg(one), on, "left")
     answered = model(requests)
     return cut_lineage(answered) if materialise else answered
 
@@ -148,13 +153,14 @@ def _rejects(df: DataFrame, keys: list[str], text_col: str, failed: DataFrame, w
     return empty.unionByName(failed)
 
 
-def _failed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _failed(rows: DataFrame, keys: list[str], materialise: bool) -> DataFrame:
     """One failed chunk fails its document; the first failing chunk is reported."""
-    return (
+    failed = (
         rows.filter(F.col("out_error").isNotNull())
         .groupBy(*keys)
         .agg(F.min_by("out_error", "chunk_index").alias("error"))
     )
+    return written(failed) if materialise else failed
 
 
 def translate_flow(
@@ -177,7 +183,7 @@ def translate_flow(
     options = {"keys": keys, "lenient": lenient, "materialise": materialise}
     chunks = chunk_documents(df, id_col=id_col, text_col=text_col, **chunking).drop("words")
     first = _stage(chunks, "translator", model, text_col="text", **options)
-    failed = _failed(first, keys)
+    failed = _failed(first, keys, materialise)
     good = first.filter(F.col("out_error").isNull()).join(failed, keys, "left_anti")
     translated = good.select(
         *keys,
@@ -212,23 +218,24 @@ def translate_flow(
         "fallback",
         "restored",
     )
-    joined = assemble_chunks(done, id_col=id_col, text_col="translation")
-    totals = done.groupBy(*keys).agg(
-        F.max("chunk_count").alias("chunk_count"), F.sum(F.size("flags")).alias("flags_count")
+    joined = assemble_chunks(
+        done,
+        id_col=id_col,
+        text_col="translation",
+        totals={
+            "chunk_count": ("max", F.col("chunk_count")),
+            "flags_count": ("sum", F.size("flags")),
+        },
     )
-    documents = (
-        enforce(joined, rules, profile, audit=True)
-        .join(totals, keys)
-        .select(
-            *keys,
-            "part",
-            F.col("text").alias("output"),
-            word_count("text").alias("output_word_count"),
-            "corrections",
-            "total_fixes",
-            "chunk_count",
-            "flags_count",
-        )
+    documents = enforce(joined, rules, profile, audit=True).select(
+        *keys,
+        "part",
+        F.col("text").alias("output"),
+        word_count("text").alias("output_word_count"),
+        "corrections",
+        "total_fixes",
+        F.col("chunk_count").cast("int").alias("chunk_count"),
+        "flags_count",
     )
     return FlowResult(documents, done, _rejects(df, keys, text_col, failed, "translate"))
 
@@ -282,7 +289,7 @@ def transliterate_flow(
         lenient=by_page if lenient is None else lenient,
         materialise=materialise,
     )
-    broken = failed = _failed(answered, keys)
+    broken = failed = _failed(answered, keys, materialise)
     if by_page:
         failed = broken.groupBy(id_col).agg(F.min_by("error", page_col).alias("error"))
     good = answered.filter(F.col("out_error").isNull()).join(broken, keys, "left_anti")
@@ -293,7 +300,9 @@ def transliterate_flow(
         F.col("text").alias("original"),
         enforced_text("out", rules, profile).alias("transliteration"),
     )
-    joined = assemble_chunks(whole, id_col=piece, text_col="transliteration")
+    joined = assemble_chunks(
+        whole, id_col=piece, text_col="transliteration", totals={"chunk_count": ("sum", F.lit(1))}
+    )
     done, pages = whole.drop(HASH), None
     if by_page:
         done = done.join(failed, id_col, "left_anti")
@@ -303,12 +312,15 @@ def transliterate_flow(
                 F.col("text")
             ),
         )
-        pages = joined.select(*piece, F.col("text").alias(OUTPUT))
+        fresh = joined.select(*piece, F.col("text").alias(OUTPUT), "chunk_count")
         if materialise:  # finished pages are an output of their own and feed the job text
-            pages = cut_lineage(pages)
-        stored = df.filter(F.col(OUTPUT).isNotNull()).select(*piece, OUTPUT)
+            fresh = cut_lineage(fresh)
+        pages = fresh.drop("chunk_count")
+        stored = df.filter(F.col(OUTPUT).isNotNull()).select(
+            *piece, OUTPUT, F.lit(0).cast("long").alias("chunk_count")
+        )
         joined = assemble(
-            pages.unionByName(stored)
+            fresh.unionByName(stored)
             .withColumnRenamed(OUTPUT, "text")
             .withColumn(page_col, F.col(page_col).cast("long"))
             .join(failed, id_col, "left_anti"),
@@ -316,18 +328,10 @@ def transliterate_flow(
             order_col=page_col,
             max_overlap=0,
             trim=False,
+            totals={"chunk_count": ("sum", F.col("chunk_count"))},
         )
-    counts = done.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunk_count"))
-    documents = (
-        enforce(joined, rules, profile, audit=True)
-        .join(counts, id_col, "left" if by_page else "inner")
-        .select(
-            id_col,
-            "part",
-            F.col("text").alias("output"),
-            F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
-            "total_fixes",
-        )
+    documents = enforce(joined, rules, profile, audit=True).select(
+        id_col, "part", F.col("text").alias("output"), "chunk_count", "total_fixes"
     )
     if by_page:  # a job of blank pages alone is done, with an empty text
         has_text = (trim_ws(F.coalesce(text_col, F.lit(""))) != "") | F.col(OUTPUT).isNotNull()

@@ -68,3 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and read it back.
+
+    Unlike :func:`cut_lineage` the planner knows its true size, so a join against it
+    becomes a broadcast only if it is small.
+    """
+    path = scratch_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -102,13 +102,16 @@ def _random_pieces(rng: random.Random) -> list[str]:
     return pieces
 
 
-@pytest.mark.parametrize(("block_rows", "part_chars"), [(256, 10**8), (3, 10**8), (3, 10)])
-def test_assembly_matches_plain_python(spark, block_rows, part_chars):
+@pytest.mark.parametrize(
+    ("block_rows", "part_chars", "span_blocks"),
+    [(256, 10**8, 256), (3, 10**8, 256), (3, 10, 256), (1, 10**8, 2), (3, 10**8, 2), (2, 10, 3)],
+)
+def test_assembly_matches_plain_python(spark, block_rows, part_chars, span_blocks):
     rng = random.Random(7)
     docs = [_random_pieces(rng) for _ in range(200)]
     rows = [(d, i, t) for d, pieces in enumerate(docs) for i, t in enumerate(pieces)]
     df = spark.createDataFrame(rows, "doc_id long, chunk_index int, text string")
-    out = assemble_chunks(df, block_rows=block_rows, part_chars=part_chars)
+    out = assemble_chunks(df, block_rows=block_rows, part_chars=part_chars, span_blocks=span_blocks)
     got: dict = {}
     for r in out.orderBy("doc_id", "part").collect():
         got.setdefault(r.doc_id, []).append((r.pieces, r.text))

@@ -33,7 +33,6 @@ def history_page(
     pushed to the scan, and ``limit + 1`` rows are taken.  An unknown cursor gives the
     first page.
     """
-    n = page_limit(limit)
     rows = df
     if cursor is not None:
         at = df.filter(F.col(id_col) == F.lit(cursor)).select(ts_col).take(1)
@@ -42,6 +41,12 @@ def history_page(
             rows = df.filter(
                 (F.col(ts_col) < ts) | ((F.col(ts_col) == ts) & (F.col(id_col) < F.lit(cursor)))
             )
+    return page_of(rows, limit, id_col=id_col, ts_col=ts_col)
+
+
+def page_of(rows: DataFrame, limit: int | None, *, id_col: str, ts_col: str) -> DataFrame:
+    """The newest ``limit`` of ``rows`` with ``next_cursor``."""
+    n = page_limit(limit)
     order = [F.desc(ts_col), F.desc(id_col)]
     top = rows.orderBy(*order).limit(n + 1)
     everything = W.partitionBy(F.lit(0)).orderBy(*order)  # at most n + 1 rows

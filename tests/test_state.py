@@ -224,6 +224,87 @@ def test_stream_equals_batch_after_every_batch(spark, tmp_path, bucket):
         assert set(got) == {(r[0], r[1]) for r in part}
 
 
+class _Store:
+    """A state store of one key that counts how often it is asked."""
+
+    def __init__(self):
+        self.values, self.asked, self.timers = {}, 0, set()
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return _Held(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.remove(at)
+
+
+class _Held:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _ask(self):
+        self.store.asked += 1
+        return self.store.values
+
+    def get(self):
+        return self._ask().get(self.name)
+
+    def update(self, value):
+        self._ask()[self.name] = value
+
+    def clear(self):
+        self._ask().pop(self.name, None)
+
+    def exists(self):
+        return self.name in self._ask()
+
+    def getValue(self, key):  # noqa: N802
+        return self._ask()[self.name, key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._ask()[self.name, key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self._ask().pop((self.name, key), None)
+
+    def containsKey(self, key):  # noqa: N802
+        return (self.name, key) in self._ask()
+
+    def iterator(self):
+        return iter([(k[1], v) for k, v in self._ask().items() if isinstance(k, tuple)])
+
+
+class _Now:
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return 1000
+
+
+def test_a_page_of_one_bucket_asks_the_store_little():
+    store = _Store()
+    page = pages.PageStates(True, 600, 4)
+    page.init(store)
+    told = lambda *events: list(page.handleInputRows(("j", 1), iter([("j", 1, *e) for e in events]), _Now()))[0]
+    first = told((0, 1, "claim", "w", None))
+    assert (first.status, first.claimed_at, store.asked, store.timers) == ("ocr_running", 0, 3, {601_000})
+    late = told((5, 3, "error", "w", "x"), (4, 2, "done", "w", None))
+    assert (late.status, late.error, store.asked, store.timers) == ("pending", "x", 6, set())
+    for n in range(6, 26):  # the page grows into many buckets and stays the fold of all
+        got = told((n, n, ("claim", "error", "retry")[n % 3], f"w{n}", f"e{n}"))
+    assert sum(isinstance(k, tuple) for k in store.values) > 4
+    state = START
+    for n, event in [(0, "claim"), (4, "done"), (5, "error")]:
+        state = advance(state, event, "w", "x" if n == 5 else None, n)
+    for n in range(6, 26):
+        state = advance(state, ("claim", "error", "retry")[n % 3], f"w{n}", f"e{n}", n)
+    assert (got.status, got.attempts, got.claimed_by, got.claimed_at, got.error) == (*state[:2], state[3], state[4], state[6])
+
+
 def test_job_fails_once_in_the_stream(spark, tmp_path):
     at = lambda i: T0 + dt.timedelta(minutes=i)
     tries = lambda page, first, n: [

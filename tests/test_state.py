@@ -5,6 +5,7 @@ import time
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import plainpy
@@ -305,6 +306,20 @@ def test_a_page_of_one_bucket_asks_the_store_little():
     assert (got.status, got.attempts, got.claimed_by, got.claimed_at, got.error) == (*state[:2], state[3], state[4], state[6])
 
 
+def test_a_job_without_exhausted_pages_is_asked_once():
+    store, job = _Store(), pages.JobFailures()
+    job.init(store)
+    row = lambda page, status, attempts, error: Row(page_num=page, status=status, attempts=attempts, error=error)
+    told = lambda *rows: list(job.handleInputRows(("j",), iter(rows), _Now()))
+    assert told(*[row(n, "ocr_done", 1, None) for n in range(50)]) == [] and store.asked == 1
+    assert [r.page_num for r in told(row(7, "ocr_failed", 3, "x"), row(3, "ocr_failed", 3, "y"))] == [3]
+    assert told(row(9, "ocr_failed", 3, "z"), row(7, "pending", 0, None)) == []
+    assert [(r.page_num, r.status) for r in told(row(3, "pending", 0, None))] == [(9, "failed")]
+    assert [(r.page_num, r.status) for r in told(row(9, "pending", 0, None))] == [(9, "ocr_running")]
+    asked = store.asked
+    assert told(row(9, "ocr_done", 1, None)) == [] and store.asked == asked + 1
+
+
 def test_job_fails_once_in_the_stream(spark, tmp_path):
     at = lambda i: T0 + dt.timedelta(minutes=i)
     tries = lambda page, first, n: [

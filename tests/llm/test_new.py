@@ -288,6 +288,15 @@ def test_next_bytes_and_end_share_one_probability(small_model):
     assert math.exp(-costs[0]) + sum(left) == pytest.approx(1, rel=1e-3)
 
 
+def test_alphabet_follows_all_training_texts(spark, docs_of):
+    """Bytes far into long texts and of every document count, and nothing is drawn."""
+    docs = [(i, "a" * 5000 + chr(0x100 + i % 700)) for i in range(900)] + [(901, None), (902, "")]
+    seen, texts = scoring.byte_counts(docs_of(*docs))
+    want = Counter(b for _, t in docs for b in (t or "").encode())
+    assert texts == 902 and {b: n for b, n in enumerate(seen.tolist()) if n} == dict(want)
+    assert not hasattr(scoring, "labelled_sample")
+
+
 def test_scores_equal_plain_counts(spark, docs_of):
     rnd = random.Random(4)
     words = ["Alpha", "beta", "ÉTÉ", "of", "the", "a\x85b", "-"]

@@ -131,10 +131,16 @@ def assemble(
     totals = totals or {}
     if totals and part_chars:
         raise ValueError("totals are of whole documents, not of parts")
-    block = F.floor(F.coalesce(F.col(order_col), F.lit(0)) / F.lit(block_rows)).cast("long")
+    def block_of(order: Column) -> Column:
+        return F.coalesce(F.floor(order / F.lit(block_rows)).cast("long"), F.lit(0).cast("long"))
+
+    # The key is one struct, which is never null: a join on it adds no test for null below
+    # the grouping in one branch only, which would break the reuse of its shuffle.
+    key = F.struct(*[F.col(c).alias(c) for c in ids]).alias("key")
+    on = ["key", "block"]
     raw = F.coalesce(F.col(text_col), F.lit(""))
     blocks = (
-        df.groupBy(*ids, block.alias("block"))
+        df.groupBy(key, block_of(F.col(order_col)).alias("block"))
         .agg(
             F.array_sort(
                 # totals lie beside the texts, or the branches below would not share one shuffle
@@ -148,8 +154,8 @@ def assemble(
             ).alias("rows")
         )
         .select(
-            *ids,
-            "block",
+            *on,
+            block_of(F.col("rows")["o"][0]).alias("nth"),
             F.col("rows")["t"].alias("rows"),
             *[_total(F.col("rows")[f"_{n}"], kind).alias(n) for n, (kind, _) in totals.items()],
         )
@@ -163,17 +169,16 @@ def assemble(
         parts = _summaries(kept)
     else:
         parts = F.transform(kept, lambda t: F.struct(t.alias("text")))
-    blocks = blocks.withColumn("parts", parts)
-
     # Documents with one block only have entry 0 and part 0; only the others need the fold.
     # All branches read the same columns of the same grouping, so its shuffle is reused;
     # the slim key table decides which blocks are summarised at all.  (Inner joins on unique
-    # keys: a semi join would be pushed below the grouping and break the reuse.)
-    present = blocks.filter(F.size("rows") > 0).select(*ids, "block")
-    several = present.filter(F.col("block") != 0).select(*ids).distinct()
-    needed = present.join(several, ids)
-    summary = blocks.join(needed, [*ids, "block"]).select(
-        *ids,
+    # keys: a semi join would be pushed below the grouping and break the reuse, and so would
+    # a test of the grouped block number; ``nth`` is the same number, read from the rows.)
+    # Sentences are taken apart after the join, so no branch does it for blocks it drops.
+    several = blocks.filter(F.col("nth") != 0).select("key").distinct()
+    needed = blocks.filter(F.size("rows") > 0).select(*on).join(several, "key")
+    summary = blocks.join(needed, on).withColumn("parts", parts).select(
+        *[F.col("key")[c].alias(c) for c in ids],
         "block",
         F.size("parts").alias("n"),
         F.aggregate(
@@ -181,7 +186,8 @@ def assemble(
         ).alias("chars"),
         *_block_edges(max_overlap),
     )
-    entries = _fold_blocks(summary, ids, max_overlap, part_chars or ONE_ROW, span_blocks)
+    folded = _fold_blocks(summary, ids, max_overlap, part_chars or ONE_ROW, span_blocks)
+    entries = folded.select(key, F.coalesce("block", F.lit(0)).alias("block"), "entry", "part")
 
     def joined_text(entry: Column) -> Column:
         """Text of one block; null when the block has no piece."""
@@ -193,12 +199,12 @@ def assemble(
 
     # One block: the document is finished where its block is, without another shuffle.
     # (A left join and a null test: an anti join would be pushed below the grouping.)
-    alone = blocks.join(entries, [*ids, "block"], "left").filter(F.col("entry").isNull())
+    alone = blocks.join(entries, on, "left").filter(F.col("entry").isNull()).withColumn("parts", parts)
     text = F.coalesce(joined_text(F.lit(0)), F.lit(""))
     if trim:
         text = F.when(F.size("rows") == 1, F.element_at("rows", 1)).otherwise(text)
     short = alone.select(
-        *ids,
+        "key.*",
         F.lit(0).alias("part"),
         text.alias("text"),
         F.size("parts").alias("pieces"),
@@ -206,9 +212,10 @@ def assemble(
     )
     # Several blocks: finished blocks are joined per part.
     long = (
-        blocks.join(entries, [*ids, "block"])
+        blocks.join(entries, on)
+        .withColumn("parts", parts)
         .select(
-            *ids,
+            "key",
             "part",
             "block",
             F.size("parts").alias("pieces"),
@@ -216,7 +223,7 @@ def assemble(
             F.when(F.size("rows") == 1, F.element_at("rows", 1)).alias("single"),
             *totals,
         )
-        .groupBy(*ids, "part")
+        .groupBy("key", "part")
         .agg(
             F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"),
             F.sum("pieces").cast("int").alias("pieces"),
@@ -228,7 +235,7 @@ def assemble(
     if trim:  # a document of one row whose order number lies beyond the first block
         only = (F.col("part") == 0) & (F.size("blocks") == 1) & F.col("single").isNotNull()
         whole = F.when(only, F.col("single")).otherwise(whole)
-    long = long.select(*ids, "part", whole.alias("text"), "pieces", *totals)
+    long = long.select("key.*", "part", whole.alias("text"), "pieces", *totals)
     return short.unionByName(long)
 
 

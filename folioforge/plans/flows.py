@@ -110,18 +110,22 @@ def _stage(
     lenient: bool | str,
     materialise: bool,
 ) -> DataFrame:
-    """Chunk rows with ``out``, ``out_flags`` and ``out_error`` of one model stage."""
+    """Chunk rows with ``out``, ``out_flags`` and ``out_error`` of one model stage.
+
+    What is written is the parsed answer, so that none of its readers parses it again.
+    """
     keep = chunks.columns
     requests = build_requests(chunks, stage, text_col=text_col)
-    answered = apply_model(requests, model, keys=keys, materialise=materialise)
+    answered = apply_model(requests, model, keys=keys, materialise=False)
     held = answered.select(*[F.col(c).alias(f"__{c}") for c in keep], "stage", "raw")
     parsed = annotate_responses(held, lenient=lenient, stages=[stage])
-    return parsed.select(
+    rows = parsed.select(
         *[F.col(f"__{c}").alias(c) for c in keep],
         F.col("text").alias("out"),
         F.col("flags").alias("out_flags"),
         F.col("error").alias("out_error"),
     )
+    return cut_lineage(rows) if materialise else rows
 
 
 def with_fallback(smoothed: Column, fallback: Column) -> tuple[Column, Column]:

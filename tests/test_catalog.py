@@ -86,3 +86,20 @@ def test_assembly_shuffles_texts_once(spark):
     out.collect()
     final = plan(out).split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_assembly_takes_its_rows_once(spark):
+    """What makes the pieces runs once, however many branches read the grouping."""
+    rows = [(k, i, f"{k} {i}.") for k in "abc" for i in range(10 if k == "a" else 2)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    ddl = "doc_id string, chunk_index int, text string"
+    df = spark.createDataFrame(rows, ddl).repartition(3, "doc_id").mapInPandas(counted, ddl)
+    got = {r.doc_id: (r.text, r.n) for r in assemble_chunks(df, block_rows=4, totals={"n": ("sum", F.lit(1))}).collect()}
+    assert got == {k: ("\n\n".join(t for i, _, t in rows if i == k), 10 if k == "a" else 2) for k in "abc"}
+    assert seen.value == len(rows)

@@ -424,11 +424,22 @@ def custom_rewrite(
 # --- function rules among the others ---------------------------------------------------
 
 
+#: Rows of an Arrow batch that are Python objects at the same time.
+FUNCTION_ROWS = 128
+
+
 def _parts(rules: Sequence[Rule | FunctionRule]) -> list[tuple[bool, list]]:
     """Consecutive rules of one kind; the flag tells functions."""
     return [(kind, list(some)) for kind, some in groupby(rules, lambda r: isinstance(r, FunctionRule))]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``FUNCTION_ROWS`` rows, which share their memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FUNCTION_ROWS):
+            yield batch.slice(at, FUNCTION_ROWS)
+
+
 def _run_functions(df: DataFrame, audit: str, rules: Sequence[FunctionRule]) -> DataFrame:
     """``df`` with the ``struct<text, corrections>`` column ``audit`` after function rules;
     rows pass through one Arrow step, whose other columns stay as they are."""
@@ -444,7 +455,7 @@ def _run_functions(df: DataFrame, audit: str, rules: Sequence[FunctionRule]) ->
         return {"text": text, "corrections": log}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index(audit)
             done = pa.array([one(h) for h in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), done)

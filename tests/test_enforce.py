@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,10 @@ def test_glossary_keeps_every_pair(spark):
     banned = {(r.doc_id, r.banned, r.term) for r in never_use_violations(df, glossary).collect()}
     assert banned == {(1, "soul", "foo"), (1, "soul", "Foo"), (1, "soul", "bar"), (2, "self (", "Foo")}
     assert glossary_hits(df, glossary.limit(0)).count() == 0
+
+
+def test_function_rules_hold_few_rows_at_once():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000))})
+    some = list(E._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 1)])))
+    assert max(b.num_rows for b in some) <= 128
+    assert [n for b in some for n in b.column("n").to_pylist()] == [*range(1000), 3]

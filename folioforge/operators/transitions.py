@@ -11,6 +11,8 @@ from ..functions.text import non_blank, trim_ws, word_count
 from ..schemas import IN_FLIGHT_STATUSES, JOB_TERMINAL, TRANSLIT_TERMINAL
 
 MAX_CHAPTERS = 100
+#: Parts of a book that are joined to its facts apart.
+BOOK_PARTS = 16
 MAX_WORDS = 50_000
 MAX_BYTES = 100 * 1024 * 1024
 MAX_IMAGE_BYTES = 20 * 1024 * 1024
@@ -80,7 +82,8 @@ def admit_books(
 
     Blank chapters are left out silently but count for ``total_chapters``; a book with no
     chapters left, more than 100 chapters or one over-long chapter is rejected whole.
-    The book-level facts are aggregates that combine before the shuffle.
+    The book-level facts are aggregates that combine before the shuffle; chapters meet them
+    in ``BOOK_PARTS`` parts of a book, so no task reads all texts of a huge, rejected one.
     """
     counted = chapters.withColumn(
         text_col, trim_ws(F.coalesce(F.col(text_col), F.lit("")))
@@ -102,7 +105,10 @@ def admit_books(
     good = books.filter(F.col("reason").isNull()).select(
         book_col, F.col("total_chapters").cast("int")
     )
-    accepted = counted.filter(F.col("word_count") > 0).join(good, book_col)
+    part = F.pmod(F.xxhash64(*chapters.columns), F.lit(BOOK_PARTS)).cast("int").alias("__part")
+    parts = good.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(BOOK_PARTS - 1))))
+    accepted = counted.filter(F.col("word_count") > 0).select("*", part).join(parts, [book_col, "__part"])
+    accepted = accepted.drop("__part")
     rejected = books.filter(F.col("reason").isNotNull()).select(
         book_col, "total_chapters", "reason"
     )

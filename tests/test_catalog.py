@@ -16,6 +16,7 @@ from folioforge.operators.assemble import assemble_chunks
 from folioforge.operators.chunk import chunk_documents
 from folioforge.operators.enforce import enforce
 from folioforge.operators.history import history_page
+from folioforge.operators.transitions import admit_books
 from folioforge.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
@@ -103,3 +104,21 @@ def test_assembly_takes_its_rows_once(spark):
     got = {r.doc_id: (r.text, r.n) for r in assemble_chunks(df, block_rows=4, totals={"n": ("sum", F.lit(1))}).collect()}
     assert got == {k: ("\n\n".join(t for i, _, t in rows if i == k), 10 if k == "a" else 2) for k in "abc"}
     assert seen.value == len(rows)
+
+
+def test_chapters_of_a_book_meet_its_facts_in_parts(spark):
+    rows = [("big", i, f"text {i}") for i in range(90)] + [("huge", i, f"text {i}") for i in range(101)]
+    df = spark.createDataFrame(rows, "book_id string, chapter_index int, text string")
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        accepted, rejected = admit_books(df)
+        got = accepted.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.book_id, r.chapter_index, r.total_chapters) for r in got) == [("big", i, 90) for i in range(90)]
+    assert len({r.task for r in got}) > 1
+    assert [r.reason for r in rejected.collect()] == ["too_many_chapters"]

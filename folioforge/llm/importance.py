@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import CRC_TABLE_SQL, UPPER, crc32_sql, staged, table
+from folioforge.llm.common import CRC_TABLE_SQL, UPPER, by_bytes, crc32_sql, staged, table
 from folioforge.llm.registry import query
 
 #: Buckets, longest run of words, seed of the noise, share of the documents drawn (of those
 #: with so many words).
 BUCKETS, LONGEST_RUN, SEED, SHARE, LEAST_WORDS = 10_000, 1, 2024, (10, 100), 20
-#: Words whose bucket a task remembers; documents whose planes a task holds at once.
-REMEMBERED, PLANE_ROWS = 500_000, 512
+#: Words whose bucket a task remembers; documents whose planes a task holds at once; bytes of
+#: text whose features it counts at once (a longer text is counted by itself).
+REMEMBERED, PLANE_ROWS, COUNTED_BYTES = 500_000, 512, 1 << 20
 
 _LOWER_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -83,12 +84,13 @@ def with_features(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            raw = batch.column("raw").to_pylist()
-            n_words, n_features, row, place, count = hashed_features(raw, longest, buckets, known)
-            ends = pa.array(np.searchsorted(row, np.arange(len(raw) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (place, count)]
-            columns = [batch.column(f.name) for f in kept] + [pa.array(n_words), pa.array(n_features), *lists]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            for some in by_bytes(batch, "raw", COUNTED_BYTES):
+                raw = some.column("raw").to_pylist()
+                n_words, n_features, row, place, count = hashed_features(raw, longest, buckets, known)
+                ends = pa.array(np.searchsorted(row, np.arange(len(raw) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (place, count)]
+                columns = [some.column(f.name) for f in kept] + [pa.array(n_words), pa.array(n_features), *lists]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return narrow.mapInArrow(run, schema)
 

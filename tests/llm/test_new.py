@@ -12,10 +12,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import importance, repair, scoring
+from folioforge.llm import common, importance, repair, scoring
 
 # --- conversation repair
 
@@ -194,6 +195,27 @@ def test_importance_equals_brute_force(spark, docs_of, buckets, longest):
     assert sorted((tuple(r)[:6] for r in rows), key=repr) == want
 
 
+def test_importance_counts_a_batch_in_slices(spark, docs_of, monkeypatch):
+    texts = ["a b c", None, "", "d " * 40, "e f", "g", "a a"]
+    batch = pa.RecordBatch.from_pydict({"raw": pa.array([t and t.encode() for t in texts], pa.binary())})
+    slices = list(common.by_bytes(batch, "raw", 6))
+    assert [s.column("raw").to_pylist() for s in slices] == [[b"a b c", None, b""], [b"d " * 40], [b"e f", b"g"], [b"a a"]]
+    assert list(common.by_bytes(batch.slice(0, 0), "raw", 6)) == []
+
+    seen = []
+    counted = importance.hashed_features
+    monkeypatch.setattr(importance, "COUNTED_BYTES", 6)
+    monkeypatch.setattr(importance, "hashed_features", lambda raw, *rest: seen.append(len(raw)) or counted(raw, *rest))
+    docs = docs_of((1, "a"))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: run)
+    run = importance.with_features(docs)
+    ids = pa.array(range(7), pa.int64())
+    own = pa.StructArray.from_arrays([pa.nulls(7, pa.int64())], ["none"])
+    out = list(run(iter([pa.RecordBatch.from_arrays([own, ids, batch.column("raw")], ["own", "doc_id", "raw"])])))
+    assert seen == [3, 1, 2, 1]
+    assert [n for b in out for n in b.column("n_features").to_pylist()] == [3, 0, 0, 40, 2, 1, 2]
+
+
 def test_importance_of_empty_tables(spark, docs_of):
     target = spark.createDataFrame([("a b",)], "text string")
     assert importance.resampled(docs_of((1, "a")).limit(0), target).collect() == []

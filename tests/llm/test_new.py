@@ -368,3 +368,27 @@ def test_model_beats_bytes_without_context(spark):
     scores = scoring.language_scores(docs, ~held).join(docs, "doc_id").where(held)
     bits, size = scores.agg(F.sum("score"), F.sum(F.octet_length("text"))).first()
     assert -bits / math.log10(2) / size < 2.9
+
+
+def test_scoring_counts_tokens_straight(docs_of, monkeypatch):
+    texts = [b"B a a", None, b"", b"a c"]
+    tree, docs, ran = scoring.build_tree([t or b"" for t in texts]), docs_of((1, "a")), []
+
+    def run_here(df, run, schema):
+        monkeypatch.setattr(scoring, "tokens_of", None)  # no counter of its own for a text
+        batch = pa.RecordBatch.from_pydict({"raw": pa.array(texts, pa.binary())})
+        ran.extend(row for out in run(iter([batch])) for row in out.to_pylist())
+        return df.select(F.lit(b"").alias("token"), F.lit(1).alias("cell"), F.lit(1).alias("n"))
+
+    monkeypatch.setattr(type(docs), "mapInArrow", run_here)
+    scoring.gathered(docs, tree)
+    assert {r["token"]: r["n"] for r in ran if r["cell"] < 0} == {b"": 4, b"a": 3, b"b": 1, b"c": 1}
+    assert sum(r["n"] for r in ran if r["cell"] >= 0) == len(scoring.ORDERS) * (5 + 0 + 0 + 3 + 4)
+
+    # the slots of a place, taken by the integers of the bytes before it
+    text = b"Some text, \xc3\xa4 and more."
+    _, starts, _ = scoring.coded([scoring._padded(text)], [True], tree)
+    for back, start in zip(scoring.ORDERS, starts, strict=True):
+        before = [int.from_bytes((bytes(8) + text)[8 + i - back : 8 + i]) for i in range(len(text) + 1)]
+        slots = [((b + 1) * int(scoring._FACTORS[back]) % (1 << 64)) >> (65 - scoring.SLOTS.bit_length()) for b in before]
+        assert start.tolist() == [s * scoring.LEAVES for s in slots]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, explode_indexed
+from ..functions.text import as_col, explode_indexed, let
 from .enforce import enforced_text
 from .rules import RuleBook
 
@@ -93,10 +93,18 @@ def top_rules(log: DataFrame, k: int = 10) -> DataFrame:
 def idempotency_check(
     df: DataFrame, book: RuleBook | None = None, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Documents whose enforced text changes when it is enforced again."""
-    once = df.select(id_col, enforced_text(text_col, book).alias("once"))
-    twice = once.select(id_col, "once", enforced_text("once", book).alias("twice"))
-    return twice.filter(F.col("once") != F.col("twice"))
+    """Documents whose enforced text changes when it is enforced again.
+
+    The pair comes out of an outer explode: a filter on the texts themselves would be pushed
+    below the projection, where every text is enforced again for each mention.
+    """
+
+    def changed(once: Column) -> Column:
+        pair = lambda twice: F.when(once != twice, F.struct(once.alias("once"), twice.alias("twice")))
+        return let(enforced_text(once, book), pair)
+
+    pairs = df.select(id_col, F.explode_outer(F.array(let(enforced_text(text_col, book), changed))).alias("__pair"))
+    return pairs.filter(F.col("__pair").isNotNull()).select(id_col, "__pair.once", "__pair.twice")
 
 
 def length_drift(before: Column | str, after: Column | str) -> Column:

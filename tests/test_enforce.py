@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import flag_band
 from folioforge.operators import enforce as E
 from folioforge.operators import rules as R
-from folioforge.operators.audit import CATEGORY_ORDER, categorise, corrections_log, qa_summary
+from folioforge.operators.audit import CATEGORY_ORDER, categorise, corrections_log, idempotency_check, qa_summary
 from folioforge.operators.enforce import (
     custom_rewrite,
     enforce,
@@ -371,3 +371,15 @@ def test_function_rules_hold_few_rows_at_once():
     some = list(E._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 1)])))
     assert max(b.num_rows for b in some) <= 128
     assert [n for b in some for n in b.column("n").to_pylist()] == [*range(1000), 3]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_second_run_enforces_no_text_for_a_filter(spark):
+    book = R.RuleBook.of(R.Rule("one", "two one", "one"), R.Rule("old", "new", "old"))
+    rows = [(1, "one"), (2, "old"), (3, None), (4, ""), (5, "none")]
+    changed = idempotency_check(spark.createDataFrame(rows, "doc_id int, text string"), book)
+    assert [tuple(r) for r in changed.collect()] == [(1, "two one", "two two one")]
+    assert not [x for x in _plan(changed).splitlines() if "Filter" in x and "regexp_replace" in x]

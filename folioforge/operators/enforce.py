@@ -263,9 +263,10 @@ def _taken_apart(text: Column, rules: Sequence[Rule]) -> Column:
     Matches are sought in any case; one of another case than its rule asks for has no rule.
     """
     # the character before a match is matched, not looked back at, hence the blank in front
-    pattern = f"(?i)([^A-Za-z0-9_])({word_trie([r.phrase for r in rules])})"
+    pattern = f"(?i)(\\W)({word_trie([r.phrase for r in rules])})"
     marked = F.regexp_replace(F.concat(F.lit(" "), text), pattern, f"$1{_MARK}$2{_MARK}")
-    return F.split(F.substring(marked, F.lit(2), F.length(marked)), _MARK)
+    # named once: in a lambda, a second mention would mark the text again
+    return F.split(F.substr(marked, F.lit(2)), _MARK)
 
 
 def _lookup(numbered: Sequence[tuple[int, Rule]]) -> Column:
@@ -284,9 +285,14 @@ def _rule_of(match: Column, lookup: Column) -> Column:
 
 
 def _result(match: Column, rule: Column) -> Column:
-    head = F.left(match, F.lit(1))
-    result = F.when(rule["upper"].isNotNull() & (head == F.upper(head)), rule["upper"])
-    return result.when(rule.isNotNull(), rule["lower"]).otherwise(match)
+    """What becomes of a match; the rule is bound, since looking it up reads through the map."""
+
+    def of(found: Column) -> Column:
+        head = F.left(match, F.lit(1))
+        result = F.when(found["upper"].isNotNull() & (head == F.upper(head)), found["upper"])
+        return result.when(found.isNotNull(), found["lower"]).otherwise(match)
+
+    return let(rule, of)
 
 
 def _joined(pieces: Column, lookup: Column) -> Column:

@@ -383,3 +383,16 @@ def test_second_run_enforces_no_text_for_a_filter(spark):
     changed = idempotency_check(spark.createDataFrame(rows, "doc_id int, text string"), book)
     assert [tuple(r) for r in changed.collect()] == [(1, "two one", "two two one")]
     assert not [x for x in _plan(changed).splitlines() if "Filter" in x and "regexp_replace" in x]
+
+
+def test_rule_of_a_match_is_looked_up_once(spark):
+    df = spark.createDataFrame([("Old",), ("old",), ("none",)], "m string")
+    lookup = E._lookup([(0, R.Rule("old", "new", "old", upper="New"))])
+    out = df.select(E._result(F.col("m"), E._rule_of(F.col("m"), lookup)).alias("to"))
+    assert [r.to for r in out.collect()] == ["New", "new", "none"]
+    # the exact key, the lower-cased one, and the bound rule
+    assert _plan(out).count("element_at(") <= 3
+    # and the text is searched once to be taken apart
+    apart = df.select(E._taken_apart(F.col("m"), [R.Rule("old", "new", "old")]).alias("p"))
+    assert [r.p for r in apart.collect()] == [["", "Old", ""], ["", "old", ""], ["none"]]
+    assert _plan(apart).count("regexp_replace(") == 1

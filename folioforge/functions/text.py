@@ -180,7 +180,8 @@ def _any_pattern(literals: Sequence[str], ignore_case: bool) -> str:
         for ch in word:
             node = node.setdefault(ch, {})
         node[""] = f"(?!{WORD_CHAR})" if is_word_char(word[-1]) else ""
-    inner = f"[^A-Za-z0-9_]({_prefix_regex(inside)})" if inside else None
+    # \\W is ASCII in Java, and with exact case many times faster than the class spelled out
+    inner = f"\\W({_prefix_regex(inside)})" if inside else None
     outer = f"({_prefix_regex(outside)})" if outside else None
     return ("(?i)" if ignore_case else "") + "|".join(p for p in (inner, outer) if p)
 

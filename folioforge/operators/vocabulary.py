@@ -68,10 +68,11 @@ def term_counts(text: Column | str, terms: Sequence[str], ignore_case: bool = Tr
         hits = F.transform(hits, F.lower)
 
     def count(all_hits: Column) -> Column:
+        # array_remove compares without a lambda per hit
         return F.transform(
             F.array_distinct(all_hits),
             lambda t: F.struct(
-                t.alias("term"), F.size(F.filter(all_hits, lambda h: h == t)).alias("count")
+                t.alias("term"), (F.size(all_hits) - F.size(F.array_remove(all_hits, t))).alias("count")
             ),
         )
 

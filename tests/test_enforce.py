@@ -385,6 +385,14 @@ def test_second_run_enforces_no_text_for_a_filter(spark):
     assert not [x for x in _plan(changed).splitlines() if "Filter" in x and "regexp_replace" in x]
 
 
+def test_exact_terms_are_found_by_predefined_classes(spark):
+    text = "la la, LA éla la_ 1la laé (la) la"
+    df = spark.createDataFrame([(1, text, text.replace("(la)", ""))], "doc_id int, b string, a string")
+    lost = protected_terms_check(df, "b", "a", ["la", "LA"])
+    assert [tuple(r) for r in lost.collect()] == [(1, "la", 6, 5)]
+    assert "[^A-Za-z0-9_](" not in _plan(lost)
+
+
 def test_rule_of_a_match_is_looked_up_once(spark):
     df = spark.createDataFrame([("Old",), ("old",), ("none",)], "m string")
     lookup = E._lookup([(0, R.Rule("old", "new", "old", upper="New"))])

@@ -393,6 +393,16 @@ def test_exact_terms_are_found_by_predefined_classes(spark):
     assert "[^A-Za-z0-9_](" not in _plan(lost)
 
 
+def test_small_glossary_does_not_shuffle_runs_of_words(spark):
+    table = glossary_table(spark, "--- A ---\nthat: x\nold that: y\n")
+    df = spark.createDataFrame([(1, "That that-that, Old that thatthat")], "doc_id int, text string")
+    hits = glossary_hits(df, table)
+    assert sorted((r.term, r["count"]) for r in hits.collect()) == [("old that", 1), ("that", 4)]
+    hits = glossary_hits(df, table)
+    assert "hashpartitioning(gram" not in _plan(hits) and "SortMergeJoin" not in _plan(hits)
+    assert "collect_list" not in _plan(hits)
+
+
 def test_rule_of_a_match_is_looked_up_once(spark):
     df = spark.createDataFrame([("Old",), ("old",), ("none",)], "m string")
     lookup = E._lookup([(0, R.Rule("old", "new", "old", upper="New"))])

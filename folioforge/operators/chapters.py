@@ -43,6 +43,21 @@ def _indexed(lines: Column) -> Column:
     return F.transform(lines, lambda s, i: F.struct(trim_ws(s).alias("s"), i.alias("i")))
 
 
+def _numbered(lines: Column) -> Column:
+    """Lines as they are; trimming all of them costs more than most tests."""
+    return F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+
+
+def _trimmed(found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(trim_ws(x["s"]).alias("s"), x["i"].alias("i")))
+
+
+def _blank(line: Column) -> Column:
+    """Nothing but whitespace; the first character tells for most lines without trimming."""
+    first = F.ascii(line)
+    return ((first <= 32) | (first >= 160)) & (trim_ws(line) == "")
+
+
 def skipped_lines(lines: Column) -> Column:
     """Front matter that is not searched: 5 % of the lines, at most 50."""
     return F.least(F.lit(50), F.floor(F.size(lines) * F.lit(0.05)).cast("int"))
@@ -94,13 +109,10 @@ def by_toc(lines: Column) -> Column:
 
     def lookup(entries: Column) -> Column:
         body_from = F.element_at(entries, -1)["i"] + 5
-        headings = F.filter(
-            _indexed(lines),
-            lambda x: (x["i"] >= body_from)
-            & (x["s"] != "")
-            & (trim_ws(F.get(lines, x["i"] - 1)) == "")
-            & (inner_word_count(x["s"]) <= 15),
+        below_blank = F.filter(
+            _numbered(lines), lambda x: (x["i"] >= body_from) & _blank(F.get(lines, x["i"] - 1))
         )
+        headings = F.filter(_trimmed(below_blank), lambda x: (x["s"] != "") & (inner_word_count(x["s"]) <= 15))
 
         def locate(entry: Column, heads: Column) -> Column:
             title = trim_ws(F.regexp_extract(entry["s"], _TOC, 2))
@@ -125,7 +137,8 @@ def by_toc(lines: Column) -> Column:
             lambda f: F.when((F.size(f) >= 3) & (_mean_gap_or_zero(f) > 20), f).otherwise(_none()),
         )
 
-    matched = F.filter(_indexed(lines), lambda x: F.rlike(x["s"], F.lit(_TOC)))
+    listed = F.filter(_numbered(lines), lambda x: F.contains(x["s"], F.lit(".\t")))
+    matched = F.filter(_trimmed(listed), lambda x: F.rlike(x["s"], F.lit(_TOC)))
     entries = F.aggregate(matched, F.array().cast("array<struct<s:string,i:int>>"), accept)
     return let(entries, lambda e: F.when(F.size(e) >= 3, lookup(e)).otherwise(_none()))
 

@@ -281,3 +281,15 @@ def test_long_runs_and_huge_numbers_of_entities(spark):
     assert got[1] == chr(2709) * 200_000
     assert got[2] == "a\ufffdb" and got[4] == "A\0" and got[5] == "\U0001f600" and got[7] is None
     assert got[6] == chr(128512 % 65536)
+
+
+def test_contents_are_sought_before_lines_are_trimmed(spark):
+    body = "\n".join(["word"] * 30)
+    heads = ["First part here", "Second part here", "Third part here"]
+    listed = "\n".join(f" {i + 1}.\t{h}\t{i}" for i, h in enumerate(heads))
+    text = f"Contents\n{listed}\n\n\n\n\n\n" + "".join(f"{blank}\n {h} \n{body}\n" for blank, h in zip(["", "  \t", "﻿"], heads))
+    df = spark.createDataFrame([(1, text), (2, text.replace("﻿", "x")), (3, None)], "doc_id int, text string")
+    got = detect_chapters(df, strategies=("toc",))
+    assert [(r.doc_id, r.title) for r in got.collect()] == [(1, h) for h in heads]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(") < plan.index("ascii(")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import state, transitions
 from ..operators.assemble import assemble_book, assemble_chunks, assemble_pages, final_word_count
 from ..operators.chunk import chunk_documents
+from ..operators.digest import PART_CHARS, md5_of_parts
 from ..operators.ledger import finished_pages, read_ledger, record_pages
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
@@ -142,13 +143,15 @@ def _pages(spark, sf_dir):
 )
 def _book(spark, sf_dir):
     """Documents of one language as the chapters of one book."""
+    # (``when`` keeps the column nullable; otherwise assembly would cast its key and shuffle again)
+    book_id = F.when(F.col("lang").isNull(), "lang-").otherwise(F.concat(F.lit("lang-"), "lang"))
     chapters = load(spark, sf_dir, "documents").select(
-        F.concat(F.lit("lang-"), "lang").alias("book_id"), "doc_id", F.col("text").alias("output")
-    )
-    books = assemble_book(chapters, chapter_col="doc_id")
-    return books.select(
-        "book_id", F.md5("text").alias("text_hash"), F.length("text").alias("n_chars"), "pieces"
+        book_id.alias("book_id"),
+        "doc_id",
+        F.col("text").alias("output"),
     )
+    parts = assemble_book(chapters, chapter_col="doc_id", part_chars=PART_CHARS)
+    return md5_of_parts(parts, id_col="book_id")
 
 
 # --- responses -----------------------------------------------------------------------------

@@ -135,9 +135,11 @@ def md5_of_parts(
     # a leg is a folder, so that its job reads nothing else
     rows.write.partitionBy("leg").parquet(path)
     stored = spark.read.schema(rows.schema).parquet(path)
-    totals = stored.groupBy("key").agg(
-        (F.sum("n_chars") + (F.count("*") - 1) * len(separator)).alias("n_chars"),
-        F.sum("pieces").alias("pieces"),
+    totals = written(
+        stored.groupBy("key").agg(
+            (F.sum("n_chars") + (F.count("*") - 1) * len(separator)).alias("n_chars"),
+            F.sum("pieces").alias("pieces"),
+        )
     )
     legs = sorted(r.leg for r in stored.select("leg").distinct().collect())
     kind = stored.schema["key"].dataType.simpleString()
@@ -152,6 +154,9 @@ def md5_of_parts(
         states = written(
             sorted_rows.mapInArrow(_digest_in_order(separator.encode()), f"key {kind}, state binary, text_hash string")
         )
+    # the result reads the states and totals only; the parts are as large as all texts
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return totals.join(states, "key").select("key.*", "text_hash", "n_chars", "pieces")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -75,6 +76,16 @@ def test_book_query_in_many_legs(spark, tmp_path, monkeypatch):
     assert got == expected and len(got) == 3
 
 
+def test_parts_do_not_stay_in_the_shared_folder(spark, monkeypatch):
+    paths, inner = [], digest.scratch_path
+    monkeypatch.setattr(digest, "scratch_path", lambda *args: paths.append(inner(*args)) or paths[-1])
+    df = spark.createDataFrame([("b", i, f"text {i}") for i in range(9)], "book_id string, chapter_index int, output string")
+    out = digest.md5_of_parts(assemble_book(df, part_chars=10, block_rows=2), id_col="book_id", leg_parts=2)
+    assert len(paths) == 1 and not Path(paths[0].removeprefix("file:")).exists()
+    whole = "\n\n".join(f"text {i}" for i in range(9))
+    assert [tuple(r) for r in out.collect()] == [("b", hashlib.md5(whole.encode()).hexdigest(), len(whole), 9)]
+
+
 def test_no_text_at_all(spark):
     df = spark.createDataFrame([("b", 1, "")], "book_id string, chapter_index int, output string")
     out = digest.md5_of_parts(assemble_book(df, part_chars=10), id_col="book_id")

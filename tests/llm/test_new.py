@@ -392,3 +392,39 @@ def test_scoring_counts_tokens_straight(docs_of, monkeypatch):
         before = [int.from_bytes((bytes(8) + text)[8 + i - back : 8 + i]) for i in range(len(text) + 1)]
         slots = [((b + 1) * int(scoring._FACTORS[back]) % (1 << 64)) >> (65 - scoring.SLOTS.bit_length()) for b in before]
         assert start.tolist() == [s * scoring.LEAVES for s in slots]
+
+
+def test_bits_of_all_depths_are_worked_out_together(small_model, monkeypatch):
+    """One pass a group of places, not one a depth, and the same whatever the groups are."""
+    texts, _, model = small_model
+    assert (np.round(model.odds * 16.0) == model.odds * 16.0).all() and model.tree.node.shape[0] > 2
+    some, passes, exp = [*texts, b"", texts[0] * 40], [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *args, **more: passes.append(1) or exp(*args, **more))
+    odds = model.odds.astype(np.float32)
+    want = scoring.coding_costs(some, model, odds)
+    assert len(passes) == len(scoring.block_bounds(max(map(len, some)) + 1))
+    monkeypatch.setattr(scoring, "PLACES", 700)
+    assert scoring.coding_costs(some, model, odds) == pytest.approx(list(want), rel=1e-6)
+    assert len(passes) > 20
+
+
+def test_stretches_hold_the_odds_of_every_way(small_model):
+    _, _, model = small_model
+    tree, slot = model.tree, 12345
+    assert model.along is model.along and all(a.odds.itemsize == 4 for a in model.along)
+    for leaf in range(scoring.LEAVES):
+        for d in range(tree.node.shape[0]):
+            a, j = model.along[d // scoring.STRETCH], d % scoring.STRETCH
+            sign = 0 if d >= tree.depth[leaf] else 1 - 2 * int(tree.bit[d, leaf])
+            assert a.bias[[a.way[leaf]]].view(np.int8)[j] == sign * scoring.STEPS
+            for c in range(len(scoring.ORDERS)):
+                got = a.odds[c, [slot * a.ways + a.way[leaf]]].view(np.int8)[j] / scoring.STEPS
+                assert got == sign * float(model.odds[c, slot * scoring.LEAVES + tree.node[d, leaf]])
+
+
+def test_words_are_counted_by_arrow_as_python_splits_them():
+    texts = [b" a\x1cb\x85c\xa0D \x0b\x0ce\tf\n", b"", None, b" ", b"\xff\xfe A\xc3\x84 a A\xc3\x84", b"D d\0 d"]
+    word, n = scoring.counted_words([pa.array(texts[:3], pa.binary()), pa.array(texts, pa.binary()).slice(3)])
+    want = Counter(w for t in texts for w in (t or b"").translate(scoring._LOWER).split())
+    assert word.type == pa.binary() and dict(zip(word.to_pylist(), n.to_pylist(), strict=True)) == want
+    assert [len(a) for a in scoring.counted_words([])] == [0, 0]

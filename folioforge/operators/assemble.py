@@ -171,12 +171,14 @@ def assemble(
         parts = F.transform(kept, lambda t: F.struct(t.alias("text")))
     # Documents with one block only have entry 0 and part 0; only the others need the fold.
     # All branches read the same columns of the same grouping, so its shuffle is reused;
-    # the slim key table decides which blocks are summarised at all.  (Inner joins on unique
-    # keys: a semi join would be pushed below the grouping and break the reuse, and so would
-    # a test of the grouped block number; ``nth`` is the same number, read from the rows.)
-    # Sentences are taken apart after the join, so no branch does it for blocks it drops.
-    several = blocks.filter(F.col("nth") != 0).select("key").distinct()
-    needed = blocks.filter(F.size("rows") > 0).select(*on).join(several, "key")
+    # the slim key table decides which blocks are summarised at all: those beyond block 0 and
+    # the block 0 of their documents, so only they are dealt out for it, not every key.
+    # (Inner joins on unique keys: a semi join would be pushed below the grouping and break
+    # the reuse, and so would a test of the grouped block number; ``nth`` is the same number,
+    # read from the rows.) Sentences are taken apart after the join, so no branch does it for
+    # blocks it drops.
+    both = F.explode(F.array(F.lit(0).cast("long"), "block")).alias("block")
+    needed = blocks.filter(F.col("nth") != 0).select("key", both).distinct()
     summary = blocks.join(needed, on).withColumn("parts", parts).select(
         *[F.col("key")[c].alias(c) for c in ids],
         "block",

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from ..functions.text import preview, trim_ws, word_count
 from ..operators.assemble import assemble, assemble_chunks
 from ..operators.chunk import blank_documents, chunk_documents
 from ..operators.enforce import enforce, enforced_text, preserve_macrons
-from ..operators.ledger import HASH, OUTPUT, with_finished
+from ..operators.ledger import HASH, OUTPUT, text_hash, with_finished
 from ..operators.responses import annotate_responses
 from ..operators.rules import RuleBook
 from ..session import cut_lineage, written
@@ -35,6 +36,10 @@ INSTRUCTIONS = {
 }
 
 
+#: Of a page: no other row has its key.
+_ALONE = "__alone"
+
+
 @dataclass
 class FlowResult:
     documents: DataFrame
@@ -109,6 +114,7 @@ def _stage(
     text_col: str,
     lenient: bool | str,
     materialise: bool,
+    cut: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Chunk rows with ``out``, ``out_flags`` and ``out_error`` of one model stage.
 
@@ -125,7 +131,12 @@ def _stage(
         F.col("flags").alias("out_flags"),
         F.col("error").alias("out_error"),
     )
-    return cut_lineage(rows) if materialise else rows
+    return cut(rows) if materialise else rows
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """:func:`..session.written` in few bytes: pages are many, short and written more than once."""
+    return written(df, compression="zstd")
 
 
 def with_fallback(smoothed: Column, fallback: Column) -> tuple[Column, Column]:
@@ -272,18 +283,29 @@ def transliterate_flow(
     that ``finished`` holds (see :mod:`..operators.ledger`) never reach the model: their
     stored output goes into the job's text as it is, and ``chunk_count`` counts the chunks
     of the other pages.  A page that is blank now but has a stored output keeps it.
+
+    Pages are dealt out by their key once, to find those whose key occurs once; such a page
+    of one chunk needs no assembly.  Only the others are shuffled to be put together.
     """
     rules = book or RuleBook.default()
     by_page = by == "page"
     if finished is not None and not by_page:
         raise ValueError("only pages can be resumed")
     keys = [id_col, page_col] if by_page else [id_col]
-    piece, todo = keys, df
+    piece, carried, todo = keys, keys, df
     if by_page:
-        piece = [*keys, HASH]
-        df = with_finished(df, finished, keys, text_col=text_col)
-        todo = df.filter(F.col(OUTPUT).isNull())
-    chunks = chunk_documents(todo, id_col=piece, text_col=text_col, **chunking).drop("words")
+        piece, carried = [*keys, HASH], [*keys, HASH, _ALONE]
+        rows_of_key = F.count(F.lit(1)).over(W.partitionBy(*keys))
+        df = with_finished(df, finished, keys, text_col=text_col).select(
+            *keys,
+            F.when(F.col(OUTPUT).isNull(), F.col(text_col)).alias(text_col),
+            OUTPUT,
+            (rows_of_key == 1).alias(_ALONE),
+        )
+        if finished is not None and materialise:  # read three times below
+            df = _packed(df)
+        todo = df.filter(F.col(OUTPUT).isNull()).withColumn(HASH, text_hash(F.col(text_col)))
+    chunks = chunk_documents(todo, id_col=carried, text_col=text_col, **chunking).drop("words")
     answered = _stage(
         chunks,
         "transliterator",
@@ -292,39 +314,55 @@ def transliterate_flow(
         text_col="text",
         lenient=by_page if lenient is None else lenient,
         materialise=materialise,
+        cut=_packed if by_page else cut_lineage,
     )
     broken = failed = _failed(answered, keys, materialise)
+    good = answered.filter(F.col("out_error").isNull())
+    enforced = enforced_text("out", rules, profile).alias("transliteration")
+
+    def whole(chunks: DataFrame, ids: list[str]) -> DataFrame:
+        return chunks.select(
+            *ids, "chunk_index", "chunk_count", F.col("text").alias("original"), enforced
+        )
+
+    def joined_chunks(chunks: DataFrame) -> DataFrame:
+        return assemble_chunks(
+            whole(chunks.join(broken, keys, "left_anti"), piece),
+            id_col=piece,
+            text_col="transliteration",
+            totals={"chunk_count": ("sum", F.lit(1))},
+        )
+
+    pages = None
     if by_page:
         failed = broken.groupBy(id_col).agg(F.min_by("error", page_col).alias("error"))
-    good = answered.filter(F.col("out_error").isNull()).join(broken, keys, "left_anti")
-    whole = good.select(
-        *piece,
-        "chunk_index",
-        "chunk_count",
-        F.col("text").alias("original"),
-        enforced_text("out", rules, profile).alias("transliteration"),
-    )
-    joined = assemble_chunks(
-        whole, id_col=piece, text_col="transliteration", totals={"chunk_count": ("sum", F.lit(1))}
-    )
-    done, pages = whole.drop(HASH), None
-    if by_page:
-        done = done.join(failed, id_col, "left_anti")
-        joined = joined.withColumn(
-            "text",
-            F.when(F.col("pieces") > 1, enforced_text("text", rules, profile)).otherwise(
-                F.col("text")
-            ),
+        done = whole(good, keys).join(failed, id_col, "left_anti")
+        # the only chunk of the only page with its key: no other row can be joined to it or break it
+        simple = F.col(_ALONE) & (F.col("chunk_count") == 1)
+        joined = joined_chunks(good.filter(~simple)).select(
+            *piece,
+            F.when(F.col("pieces") > 1, enforced_text("text", rules, profile))
+            .otherwise(F.col("text"))
+            .alias(OUTPUT),
+            "chunk_count",
+        )
+        fresh = (
+            whole(good.filter(simple), piece)
+            .select(
+                *piece,
+                F.coalesce("transliteration", F.lit("")).alias(OUTPUT),
+                F.lit(1).cast("long").alias("chunk_count"),
+            )
+            .unionByName(joined)
         )
-        fresh = joined.select(*piece, F.col("text").alias(OUTPUT), "chunk_count")
         if materialise:  # finished pages are an output of their own and feed the job text
-            fresh = cut_lineage(fresh)
+            fresh = _packed(fresh)
         pages = fresh.drop("chunk_count")
         stored = df.filter(F.col(OUTPUT).isNotNull()).select(
-            *piece, OUTPUT, F.lit(0).cast("long").alias("chunk_count")
+            *keys, OUTPUT, F.lit(0).cast("long").alias("chunk_count")
         )
         joined = assemble(
-            fresh.unionByName(stored)
+            fresh.drop(HASH).unionByName(stored)
             .withColumnRenamed(OUTPUT, "text")
             .withColumn(page_col, F.col(page_col).cast("long"))
             .join(failed, id_col, "left_anti"),
@@ -334,6 +372,8 @@ def transliterate_flow(
             trim=False,
             totals={"chunk_count": ("sum", F.col("chunk_count"))},
         )
+    else:
+        done, joined = whole(good.join(broken, keys, "left_anti"), keys), joined_chunks(good)
     documents = enforce(joined, rules, profile, audit=True).select(
         id_col, "part", F.col("text").alias("output"), "chunk_count", "total_fixes"
     )

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge.operators.assemble import assemble
 from folioforge.operators.ledger import latest, read_ledger, record_pages, with_finished
 from folioforge.operators.state import rate_limit
+from folioforge.plans import flows
 from folioforge.plans.flows import (
     batch_model,
     build_requests,
@@ -231,3 +234,45 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_pages_of_many_rows_or_chunks_are_put_together(spark, monkeypatch):
+    """The others are finished where they lie, and repeated or broken keys keep their results."""
+    long = "\n\n".join(f"word{i} " * 299 for i in range(3))
+    rows = [("j", 1, "One. Two."), ("j", 1, "One. Two."), ("j", 2, "b"), ("j", 2, "a"), ("j", 3, "saint"), ("j", 4, " ")]
+    rows += [("k", 1, long), ("l", 1, "fine"), ("l", 2, "bad"), ("l", 3, "bad"), ("l", 3, "good")]
+    rows += [("n", None, "x"), ("n", None, "y"), (None, 1, "z")]
+    joined = []
+
+    def put_together(df, **options):
+        joined.extend((r.doc_id, r.page_num) for r in df.collect())
+        return assemble_chunks(df, **options)
+
+    assemble_chunks = flows.assemble_chunks
+    monkeypatch.setattr(flows, "assemble_chunks", put_together)
+
+    def model(requests):
+        ok = F.concat(F.lit("<transliteration>"), "text", F.lit("</transliteration>"))
+        return requests.withColumn("raw", F.when(F.col("text") != "bad", ok))
+
+    out = transliterate_flow(spark.createDataFrame(rows, "doc_id string, page_num int, text string"), model, by="page")
+    done = {r.doc_id: (r.output, r.chunk_count) for r in out.documents.collect()}
+    assert done.pop("k")[1] == 2
+    assert done == {"j": ("One. Two.\n\n\n\na\n\nb\n\nswami", 5), "n": ("x\n\ny", 2), None: ("z", 1)}
+    assert [r.doc_id for r in out.rejects.collect()] == ["l"]
+    assert sorted((r.page_num, r.output) for r in out.pages.where("doc_id = 'l'").collect()) == [(1, "fine")]
+    assert out.pages.where("doc_id = 'j'").count() == 4 and out.chunks.count() == 10
+    assert {*joined} == {("j", 1), ("j", 2), ("k", 1), ("n", None)}
+
+
+def test_keys_of_one_block_are_not_dealt_out_for_the_fold(spark):
+    rows = [(f"d{i}", o, f"t{o}") for i in range(3) for o in range(1 + 300 * (i == 2))] + [("e", 700, "late"), ("f", -1, "m"), ("f", 0, "n")]
+    joined = assemble(spark.createDataFrame(rows, "doc_id string, chunk_index int, text string"))
+    assert not re.search(r"hashpartitioning\(key#\d+, \d+\)", _plan(joined))
+    got = {r.doc_id: (r.text, r.pieces) for r in joined.collect()}
+    assert got.pop("d2") == ("\n\n".join(f"t{o}" for o in range(301)), 301)
+    assert got == {"d0": ("t0", 1), "d1": ("t0", 1), "e": ("late", 1), "f": ("m\n\nn", 2)}

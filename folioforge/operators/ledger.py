@@ -43,14 +43,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest(ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per page and text: that of the last run, then of the smallest output."""
+    """One row per page and text: that of the last run, then of the smallest output.
+
+    Rows are dealt by page alone, as :func:`with_finished` needs them.
+    """
     order = [F.col(OUTPUT)]
     if RUN in ledger.columns:
         order.insert(0, F.col(RUN).cast("string").desc())
-    place = F.row_number().over(W.partitionBy(*keys, HASH).orderBy(*order))
+    page = W.partitionBy(*keys).orderBy(HASH, *order)
+    first = (F.row_number().over(page) == 1) | ~F.col(HASH).eqNullSafe(F.lag(HASH).over(page))
     usable = ledger.filter(non_blank(F.coalesce(OUTPUT, F.lit(""))))
-    kept = usable.withColumn("__n", place).filter(F.col("__n") == 1)
-    return kept.select(*keys, HASH, OUTPUT)
+    return usable.withColumn("__first", first).filter("__first").select(*keys, HASH, OUTPUT)
 
 
 def with_finished(
@@ -58,9 +61,17 @@ def with_finished(
 ) -> DataFrame:
     """``pages`` plus ``text_hash`` and the stored ``output``, null where there is none.
 
-    A page without a complete key never counts as finished.
+    A page without a complete key never counts as finished.  A page meets all its ledger
+    rows in one, so that only the keys deal the rows out: pages and ledgers that already
+    lie by page are not shuffled again, and no digest is.
     """
-    hashed = pages.drop(HASH, OUTPUT).withColumn(HASH, text_hash(F.col(text_col)))
+    plain, digest = pages.drop(HASH, OUTPUT), text_hash(F.col(text_col))
     if ledger is None:
-        return hashed.withColumn(OUTPUT, F.lit(None).cast("string"))
-    return hashed.join(latest(ledger, keys), [*keys, HASH], "left")
+        return plain.withColumns({HASH: digest, OUTPUT: F.lit(None).cast("string")})
+    row = F.struct(HASH, OUTPUT)
+    complete = F.forall(F.array(*[F.col(c).isNotNull() for c in (*keys, HASH)]), lambda known: known)
+    stored = latest(ledger.filter(complete), keys)
+    texts = stored.groupBy(*keys).agg(F.map_from_entries(F.collect_list(row)).alias("__texts"))
+    found = plain.join(texts, keys, "left").withColumn(HASH, digest)
+    others = [c for c in plain.columns if c not in keys]
+    return found.select(*keys, HASH, *others, F.try_element_at("__texts", F.col(HASH)).alias(OUTPUT))

@@ -269,6 +269,18 @@ def test_only_pages_of_many_rows_or_chunks_are_put_together(spark, monkeypatch):
     assert {*joined} == {("j", 1), ("j", 2), ("k", 1), ("n", None)}
 
 
+def test_pages_dealt_by_key_meet_their_ledger_in_place(spark, monkeypatch):
+    keys = ["doc_id", "page_num"]
+    ddl = "run string, doc_id string, page_num int, text_hash string, output string"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages_in = spark.createDataFrame([("a", 1, "x")], "doc_id string, page_num int, text string")
+        ledger = spark.createDataFrame([("1", "a", 1, "h", "old")], ddl).repartition(5, *keys)
+        assert _plan(with_finished(pages_in.repartition(5, *keys), ledger, keys)).count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_keys_of_one_block_are_not_dealt_out_for_the_fold(spark):
     rows = [(f"d{i}", o, f"t{o}") for i in range(3) for o in range(1 + 300 * (i == 2))] + [("e", 700, "late"), ("f", -1, "m"), ("f", 0, "n")]
     joined = assemble(spark.createDataFrame(rows, "doc_id string, chunk_index int, text string"))

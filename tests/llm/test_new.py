@@ -428,3 +428,40 @@ def test_words_are_counted_by_arrow_as_python_splits_them():
     want = Counter(w for t in texts for w in (t or b"").translate(scoring._LOWER).split())
     assert word.type == pa.binary() and dict(zip(word.to_pylist(), n.to_pylist(), strict=True)) == want
     assert [len(a) for a in scoring.counted_words([])] == [0, 0]
+
+
+def test_weights_are_learned_from_every_training_place(docs_of, monkeypatch):
+    """A Newton step by plain loops: each place is predicted from the counts of all others."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices(["alpha", "beta", "été", "of"], k=rnd.randint(0, 25))) for _ in range(30)] + [None, "", "of " * 90]
+    sent = []
+    scored = scoring.scored
+    monkeypatch.setattr(scoring, "scored", lambda *args: sent.append(args[-1].value) or scored(*args))
+    monkeypatch.setattr(scoring, "PLACES", 100)  # the longest texts are cut
+    docs = [(i, t) for i, t in enumerate(texts)] + [(99, "held out " * 50)]
+    scoring.language_scores(docs_of(*docs), F.col("doc_id") != 99)
+
+    model, raw = sent[0], [(t or "").encode() for t in texts]
+    tree = model.tree
+    leaf, starts, _ = scoring.coded([scoring._padded(t) for t in raw], [True] * len(raw), tree)
+    counts = Counter()
+    seen = [
+        (d, [(c, int(s[i]) + int(tree.node[d, x])) for c, s in enumerate(starts)], int(tree.bit[d, x]))
+        for i, x in enumerate(leaf.tolist())
+        for d in range(tree.depth[x])
+    ]
+    for _, cells, bit in seen:
+        counts.update((*cell, bit) for cell in cells)
+    want = scoring.first_weights(tree).astype(float)
+    grads, curves = np.zeros(want.shape), np.zeros((*want.shape, want.shape[1]))
+    for d, cells, bit in seen:
+        ones_zeros = [(counts[*cell, 1] - bit + 0.4, counts[*cell, 0] - (1 - bit) + 0.4) for cell in cells]
+        x = np.array([round(16 * max(-8, min(8, math.log(a / b)))) for a, b in ones_zeros] + [16])
+        x = np.clip(x, -127, 127) / 16
+        one = 1 / (1 + math.exp(-want[d] @ x))
+        grads[d] += (one - bit) * x
+        curves[d] += one * (1 - one) * np.outer(x, x)
+    for d in range(len(want)):
+        want[d] -= np.linalg.solve(curves[d] + scoring.HOLD * np.eye(4), grads[d])
+    assert np.abs(want - scoring.first_weights(tree)).max() > 0.1
+    assert model.weights == pytest.approx(np.clip(want, -2, 2), abs=2e-3)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import re
 import uuid
 
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import session
 from folioforge.operators.assemble import assemble
 from folioforge.operators.ledger import latest, read_ledger, record_pages, with_finished
 from folioforge.operators.state import rate_limit
@@ -288,3 +290,10 @@ def test_keys_of_one_block_are_not_dealt_out_for_the_fold(spark):
     got = {r.doc_id: (r.text, r.pieces) for r in joined.collect()}
     assert got.pop("d2") == ("\n\n".join(f"t{o}" for o in range(301)), 301)
     assert got == {"d0": ("t0", 1), "d1": ("t0", 1), "e": ("late", 1), "f": ("m\n\nn", 2)}
+
+
+def test_written_tables_are_known_to_go_at_the_end(spark, monkeypatch):
+    """They are named for deletion once they are there; before, Hadoop refuses to note them."""
+    noted = []
+    monkeypatch.setattr(session, "delete_at_end", lambda spark, path: noted.append(os.path.exists(path.removeprefix("file:"))))
+    assert session.written(spark.range(3), compression="zstd").count() == 3 and noted[-1]
